@@ -108,10 +108,18 @@ def llm_tool_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _each(df: DataFrame, array: str, *keep: str) -> DataFrame:
+    """One row (``m``) per element. For a plain explode the optimizer adds a
+    filter on the array's size and moves it below the projection that builds
+    the array, which would then be built twice; the outer form is left alone."""
+    return df.select(*keep, F.explode_outer(array).alias("m")).where(F.col("m").isNotNull())
+
+
 def attribute_key_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         samples.raw_spans(spark, sf_dir)
-        .select(F.explode("span_attributes_keys").alias("attribute"))
+        .select(F.explode_outer("span_attributes_keys").alias("attribute"))
+        .where(F.col("attribute").isNotNull())
         .groupBy("attribute")
         .agg(F.count(F.lit(1)).alias("spans"))
     )
@@ -119,14 +127,14 @@ def attribute_key_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prompts_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = normalize.spans_view(_spans(spark, sf_dir))
-    return view.select("span_id", F.explode("prompts").alias("m")).select(
+    return _each(view, "prompts", "span_id").select(
         "span_id", "m.position", "m.role", "m.message", "m.is_start", "m.is_end"
     )
 
 
 def completions_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = normalize.spans_view(_spans(spark, sf_dir))
-    return view.select("span_id", F.explode("completions").alias("m")).select(
+    return _each(view, "completions", "span_id").select(
         "span_id", "m.position", "m.role", "m.message", "m.is_start", "m.is_end",
         F.size("m.tool_calls").alias("calls"),
     )
@@ -135,7 +143,7 @@ def completions_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tool_calls_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     view = normalize.spans_view(_spans(spark, sf_dir))
     return (
-        view.select("span_id", F.explode("completions").alias("m"))
+        _each(view, "completions", "span_id")
         .select("span_id", "m.position", F.posexplode("m.tool_calls").alias("ordinal", "call"))
         .select("span_id", "position", "ordinal", "call.id", "call.name", "call.arguments")
     )
