@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import attribute_keys as K
 from spanloom.functions import timestamps
 from spanloom.functions.attributes import attribute_keys
+from spanloom.functions.reuse import built_once
 from spanloom.operators.annotations import gate_cluster_keys
 
 BASE_SECONDS = 1_704_067_200
@@ -163,37 +164,39 @@ def _exception_events(at: Column, k: Column) -> Column:
     )
 
 
-def spans_from_events(events: DataFrame) -> DataFrame:
-    """Raw spans: five per trace, the first one its root, dialects in turn."""
-    e, user, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
-    k = F.get_json_object("props", "$.k").cast("bigint")
-    at = epoch_micros(F.col("ts")) * 1000 + e % 1000
-    no_events = F.array().cast(_message_events_type())
-    dialect = e % 4
-    rows = events.select("event_id", "ts", "user_id", "event_type", "value", "props").select(
-        "*",
-        F.when(dialect == 0, _semconv_attributes(e, user, kind, k))
-        .when(dialect == 1, _openinference_attributes(e, user, kind, k))
-        .when(dialect == 2, _event_attributes(e, user, kind, k))
+@built_once
+def _attribute_columns() -> list[Column]:
+    e, user, kind, k = F.col("event_id"), F.col("user_id"), F.col("event_type"), F.col("k")
+    return [
+        F.when(e % 4 == 0, _semconv_attributes(e, user, kind, k))
+        .when(e % 4 == 1, _openinference_attributes(e, user, kind, k))
+        .when(e % 4 == 2, _event_attributes(e, user, kind, k))
         .otherwise(_native_attributes(e, user, kind, k))
-        .alias("span_attributes"),
-        _text("svc-", user % 4).alias("service_name"),
-    )
+        .alias("span_attributes")
+    ]
+
+
+@built_once
+def _span_columns() -> list[Column]:
+    e, kind, k, at = F.col("event_id"), F.col("event_type"), F.col("k"), F.col("at")
+    no_events = F.array().cast(_message_events_type())
     resource = attribute_map({"service.name": F.col("service_name")})
-    return rows.select(
+    return [
         at.alias("timestamp_ns"),
-        F.when(e % 250 == 249, "").otherwise(F.format_string("%032x", F.expr("event_id div 5"))).alias("trace_id"),
+        F.when(e % 250 == 249, "")
+        .otherwise(F.format_string("%032x", F.expr("event_id div 5")))
+        .alias("trace_id"),
         F.format_string("%016x", e).alias("span_id"),
         F.when(e % 5 == 0, "").otherwise(F.format_string("%016x", e - e % 5)).alias("parent_span_id"),
         F.lit("").alias("trace_state"),
         _text("op ", kind).alias("span_name"),
         F.lit("Internal").alias("span_kind"),
-        "service_name",
+        F.col("service_name"),
         resource.alias("resource_attributes"),
         attribute_keys(resource).alias("resource_attributes_keys"),
         F.lit("").alias("scope_name"),
         F.lit("").alias("scope_version"),
-        "span_attributes",
+        F.col("span_attributes"),
         attribute_keys(F.col("span_attributes")).alias("span_attributes_keys"),
         F.round(F.col("value") * 1e6).cast("bigint").alias("duration_ns"),
         F.when(kind.isin("click", "purchase"), "Ok")
@@ -203,10 +206,25 @@ def spans_from_events(events: DataFrame) -> DataFrame:
         .alias("status_code"),
         F.when(kind == "error", _text("failed ", k)).otherwise("").alias("status_message"),
         F.concat(
-            F.when(dialect == 2, _message_events(at, kind, k)).otherwise(no_events),
+            F.when(e % 4 == 2, _message_events(at, kind, k)).otherwise(no_events),
             F.when(kind == "error", _exception_events(at, k)).otherwise(no_events),
         ).alias("events"),
         F.array().cast(_links_type()).alias("links"),
+    ]
+
+
+def spans_from_events(events: DataFrame) -> DataFrame:
+    """Raw spans: five per trace, the first one its root, dialects in turn."""
+    e = F.col("event_id")
+    return (
+        events.select(
+            "event_id", "user_id", "event_type", "value",
+            F.get_json_object("props", "$.k").cast("bigint").alias("k"),
+            (epoch_micros(F.col("ts")) * 1000 + e % 1000).alias("at"),
+            _text("svc-", F.col("user_id") % 4).alias("service_name"),
+        )
+        .select("*", *_attribute_columns())
+        .select(*_span_columns())
     )
 
 
