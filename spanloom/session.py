@@ -33,12 +33,21 @@ def local_session(cpus: int | str = "*", app: str = "spanloom") -> SparkSession:
     return builder.getOrCreate()
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach; a local one only if none is named."""
+    """Folder every executor can reach, as the cluster names it.
+
+    A local session that names none gets a temporary one; on a cluster such a
+    folder would be out of the executors' reach, so there it is an error.
+    """
     named = spark.conf.get(SHARED_DIR, None)
-    if not named:
-        named = spark.sparkContext.getConf().get(SHARED_DIR)
-    if not named:
-        named = tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set(SHARED_DIR, named)
-    return named.rstrip("/")
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError(f"set {SHARED_DIR} to a folder all executors share")
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="spanloom-")
+    return _local_dirs[context.applicationId]
