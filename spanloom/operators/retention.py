@@ -55,7 +55,7 @@ def apply_retention(
         if kept.isEmpty():
             store.drop_partition(table, oldest)
         else:
-            store.overwrite_partitions(kept, table)
+            store.replace_partition(kept, table, oldest)
     return dropped
 
 

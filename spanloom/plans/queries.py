@@ -153,7 +153,8 @@ def tool_calls_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def otlp_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = samples.otlp_documents(samples.table(spark, sf_dir, "events"))
+    events = samples.spread(samples.table(spark, sf_dir, "events"), "event_id")
+    documents = samples.otlp_documents(events)
     attrs = F.col("span_attributes")
     return otlp.parse_documents(documents).select(
         "service_name", "trace_id", "span_id", "span_name", "span_kind", "timestamp_ns",

@@ -8,12 +8,14 @@ filter on, which makes Parquet's min/max statistics selective.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import timestamps
+from spanloom.session import shared_dir
 
 ATTRS = "MAP<STRING, VARIANT>"
 EVENTS = f"ARRAY<STRUCT<timestamp_ns: BIGINT, name: STRING, attributes: {ATTRS}>>"
@@ -319,6 +321,10 @@ def checked(df: DataFrame, table: Table) -> DataFrame:
     return df.withColumns(checks) if checks else df
 
 
+def _literal(table: Table, partition: str) -> str:
+    return f"DATE'{partition}'" if table.partition == "date" else partition
+
+
 class Store:
     """The tables of one database."""
 
@@ -344,10 +350,23 @@ class Store:
     def append(self, df: DataFrame, table: Table) -> None:
         self.laid_out(df, table).write.insertInto(self.table_name(table))
 
-    def overwrite_partitions(self, df: DataFrame, table: Table) -> None:
-        """Replace exactly the partitions that occur in ``df``."""
-        writer = self.laid_out(df, table).write.option("partitionOverwriteMode", "dynamic")
-        writer.insertInto(self.table_name(table), overwrite=True)
+    def replace_partition(self, df: DataFrame, table: Table, value: str) -> None:
+        """Replace one partition by ``df``, which may derive from it.
+
+        The rows are written to the shared folder first: a table cannot be
+        overwritten while it is being read, and the replacement must not depend
+        on files it deletes.
+        """
+        staging = f"{shared_dir(self.spark)}/spanloom/staging/{uuid.uuid4().hex}"
+        df.select(*table.columns).write.parquet(staging)
+        rows = self.laid_out(self.spark.read.parquet(staging), table).drop(table.partition)
+        self.spark.sql(
+            f"INSERT OVERWRITE TABLE {self.table_name(table)} "
+            f"PARTITION (`{table.partition}` = {_literal(table, value)}) SELECT * FROM {{rows}}",
+            rows=rows,
+        )
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(staging)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     def laid_out(self, df: DataFrame, table: Table) -> DataFrame:
         rows = checked(with_defaults(df, table), table)
@@ -365,8 +384,7 @@ class Store:
         return sorted(r.partition.split("=", 1)[1] for r in rows)
 
     def drop_partition(self, table: Table, value: str) -> None:
-        literal = f"DATE'{value}'" if table.partition == "date" else value
         self.spark.sql(
             f"ALTER TABLE {self.table_name(table)} "
-            f"DROP IF EXISTS PARTITION (`{table.partition}` = {literal})"
+            f"DROP IF EXISTS PARTITION (`{table.partition}` = {_literal(table, value)})"
         )
