@@ -24,18 +24,25 @@ def pending_batches(batches: DataFrame) -> DataFrame:
     return latest_batches(batches).where(F.col("status") == "pending")
 
 
-def pending_inputs(inputs: DataFrame, batches: DataFrame, salts: int = 64) -> DataFrame:
+def pending_inputs(
+    inputs: DataFrame, batches: DataFrame, broadcast_limit: int = 100_000, salts: int = 64
+) -> DataFrame:
     """Inputs of the batches that are still pending.
 
-    A batch can hold a large share of all inputs, so its inputs are spread over
-    ``salts`` keys and the (small) list of batches is repeated once per salt.
-    Where the list turns out small enough at run time, Spark broadcasts it.
+    Usually few batches are, so their ids are counted first (a read of the
+    small batch table) and, up to ``broadcast_limit``, sent to every task: the
+    inputs are then filtered where they are read. Beyond that the inputs are
+    shuffled; as one batch can hold a large share of them, each batch is spread
+    over ``salts`` keys and the list of batches repeated once per salt.
     """
-    wanted = pending_batches(batches).select(
+    wanted = pending_batches(batches).select("batch_id")
+    if wanted.limit(broadcast_limit + 1).count() <= broadcast_limit:
+        return inputs.join(F.broadcast(wanted), "batch_id", "left_semi")
+    salted_batches = wanted.select(
         "batch_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
     )
-    salted = inputs.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)))
-    return salted.join(wanted, ["batch_id", "_salt"], "left_semi").drop("_salt")
+    salted_inputs = inputs.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)))
+    return salted_inputs.join(salted_batches, ["batch_id", "_salt"], "left_semi").drop("_salt")
 
 
 def unanswered_inputs(inputs: DataFrame, results: DataFrame) -> DataFrame:
@@ -53,15 +60,15 @@ def run_batches(
     """Answers to every pending, unanswered input, for ``llm_results``.
 
     ``client`` is called once per row; an exception becomes a ``failed`` row.
-    ``partitions`` bounds the number of concurrent callers. Write the result
-    before using it twice: each evaluation calls the client again.
+    ``partitions`` is the number of tasks the calls are spread over (the
+    session's shuffle partitions if not given). It is fixed, because the calls
+    take long however few bytes there are. Write the answers before using them
+    twice: each evaluation calls the client again.
     """
+    if partitions is None:
+        partitions = int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     todo = unanswered_inputs(pending_inputs(inputs, batches), results).select(*REQUEST_COLUMNS)
-    spread = (
-        todo.repartition("batch_id", "row_id")
-        if partitions is None
-        else todo.repartition(partitions, "batch_id", "row_id")
-    )
+    spread = todo.repartition(partitions, "batch_id", "row_id")
 
     def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -54,13 +54,20 @@ def fetch_trace(raw: DataFrame, bounds: DataFrame, trace_id: str) -> DataFrame:
 def fetch_traces(raw: DataFrame, bounds: DataFrame, wanted: DataFrame) -> DataFrame:
     """As :func:`fetch_trace` for a set of trace ids (column ``trace_id``).
 
-    ``wanted`` may be large, so the join type is left to the optimizer; the
-    time range only narrows what the key already selects.
+    ``wanted`` may be large, so the join type is left to the optimizer. On a
+    table with a ``date`` column the days of each trace join as well, so that
+    partitions no wanted trace touches can be skipped.
     """
     ranges = merge_trace_bounds(bounds.join(wanted.distinct(), "trace_id", "left_semi"))
+    keys = ["trace_id"]
+    if "date" in raw.columns:
+        first_day = timestamps.to_date(F.col("first_start_ns"))
+        last_day = timestamps.to_date(F.col("last_start_ns"))
+        ranges = ranges.select("*", F.explode(F.sequence(first_day, last_day)).alias("date"))
+        keys.append("date")
     ns = F.col("timestamp_ns")
     return (
-        raw.join(ranges, "trace_id")
+        raw.join(ranges, keys)
         .where(
             (ns >= F.col("first_start_ns"))
             & (ns < F.col("last_start_ns") + timestamps.NS_PER_SECOND)

@@ -181,6 +181,8 @@ def _ingested(spark: SparkSession, sf_dir: str) -> Store:
     schema = samples.table(spark, sf_dir, "events").schema
     # A pattern, as the table may be one file or a folder of files.
     arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+    if samples.has_few_splits(samples.table(spark, sf_dir, "events")):
+        arriving = arriving.repartition(spark.sparkContext.defaultParallelism, "event_id")
     ingest.start_ingest(
         samples.spans_from_events(arriving), store, checkpoint, every=None
     ).awaitTermination()

@@ -242,6 +242,10 @@ def _links_type() -> str:
     )
 
 
+def has_few_splits(df: DataFrame) -> bool:
+    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give every core a share of a table that has fewer splits than that.
 
@@ -249,7 +253,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     table of ordinary size has splits enough and is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if has_few_splits(df) else df
 
 
 def raw_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,11 +65,26 @@ def test_a_hot_batch_is_spread_over_the_salts(spark):
         [("hot", "pending", 0, 0, 0), ("b1", "pending", 0, 0, 0), ("b2", "complete", 0, 0, 0)],
         "batch_id string, status string, total_rows bigint, completed_rows bigint, failed_rows bigint",
     ).withColumn("created_at", F.timestamp_seconds(F.lit(0)))
-    got = Counter(r.batch_id for r in batch_queue.pending_inputs(inputs, batches).collect())
     expected = Counter(
         b for b in ("hot" if i % 3 == 0 else f"b{i % 7}" for i in range(4000)) if b in ("hot", "b1")
     )
-    assert got == expected
+    for limit in (0, 1, 2, 100):
+        found = batch_queue.pending_inputs(inputs, batches, broadcast_limit=limit)
+        assert Counter(r.batch_id for r in found.collect()) == expected
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" in plan) == (limit >= 2)
+
+
+def test_calls_are_spread_over_a_fixed_number_of_tasks(spark):
+    inputs = spark.createDataFrame(
+        [], "batch_id string, row_id string, model_id string, prompt string, params string, tool_config string"
+    )
+    batches = spark.createDataFrame(
+        [], "batch_id string, status string, total_rows bigint, completed_rows bigint,"
+        " failed_rows bigint, created_at timestamp",
+    )
+    answers = batch_queue.run_batches(inputs, batches, inputs.select("batch_id", "row_id"), client, 3)
+    assert ", 3), REPARTITION_BY_NUM" in answers._jdf.queryExecution().executedPlan().toString()
 
 
 def test_progress_counts_each_row_once(spark):
