@@ -24,25 +24,29 @@ def pending_batches(batches: DataFrame) -> DataFrame:
     return latest_batches(batches).where(F.col("status") == "pending")
 
 
-def pending_inputs(
-    inputs: DataFrame, batches: DataFrame, broadcast_limit: int = 100_000, salts: int = 64
+def in_pending_batches(
+    rows: DataFrame, batches: DataFrame, broadcast_limit: int = 100_000, salts: int = 64
 ) -> DataFrame:
-    """Inputs of the batches that are still pending.
+    """Rows (inputs or results) of the batches that are still pending.
 
     Usually few batches are, so their ids are counted first (a read of the
     small batch table) and, up to ``broadcast_limit``, sent to every task: the
-    inputs are then filtered where they are read. Beyond that the inputs are
+    rows are then filtered where they are read. Beyond that the rows are
     shuffled; as one batch can hold a large share of them, each batch is spread
     over ``salts`` keys and the list of batches repeated once per salt.
     """
     wanted = pending_batches(batches).select("batch_id")
     if wanted.limit(broadcast_limit + 1).count() <= broadcast_limit:
-        return inputs.join(F.broadcast(wanted), "batch_id", "left_semi")
+        return rows.join(F.broadcast(wanted), "batch_id", "left_semi")
     salted_batches = wanted.select(
         "batch_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
     )
-    salted_inputs = inputs.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)))
-    return salted_inputs.join(salted_batches, ["batch_id", "_salt"], "left_semi").drop("_salt")
+    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)))
+    return salted_rows.join(salted_batches, ["batch_id", "_salt"], "left_semi").drop("_salt")
+
+
+def pending_inputs(inputs: DataFrame, batches: DataFrame, broadcast_limit: int = 100_000) -> DataFrame:
+    return in_pending_batches(inputs, batches, broadcast_limit)
 
 
 def unanswered_inputs(inputs: DataFrame, results: DataFrame) -> DataFrame:
@@ -116,11 +120,15 @@ def batch_progress(inputs: DataFrame, results: DataFrame) -> DataFrame:
 def closing_events(
     inputs: DataFrame, batches: DataFrame, results: DataFrame, at: Column | None = None
 ) -> DataFrame:
-    """``complete`` events for the pending batches whose inputs all have results."""
-    done = batch_progress(inputs, results).where(
-        F.col("completed_rows") + F.col("failed_rows") >= F.col("total_rows")
+    """``complete`` events for the pending batches whose inputs all have results.
+
+    Only rows of pending batches are counted, not the whole history.
+    """
+    progress = batch_progress(
+        in_pending_batches(inputs, batches), in_pending_batches(results, batches)
     )
-    return done.join(pending_batches(batches).select("batch_id"), "batch_id", "left_semi").select(
+    done = progress.where(F.col("completed_rows") + F.col("failed_rows") >= F.col("total_rows"))
+    return done.select(
         "batch_id",
         F.lit("complete").alias("status"),
         "total_rows",

@@ -426,6 +426,10 @@ ORACLES: dict[str, str] = {
     "streamed_spans": STREAMED_SPANS,
     "streamed_trace_bounds": TRACE_BOUNDS,
     "stored_turns": STORED_TURNS,
+    "stored_raw_spans": RETAINED_SPANS,
+    "stored_scores": UNEXPIRED_SCORES,
+    "stored_clusters": CLUSTERS_JOINED,
+    "stored_progress": BATCH_PROGRESS,
     "turn_texts": TURN_TEXTS,
     "turn_numbers": TURN_NUMBERS,
     "conversation_rollup": CONVERSATION_ROLLUP,

@@ -28,7 +28,7 @@ from spanloom.operators import (
     turns,
 )
 from spanloom.session import shared_dir
-from spanloom.sources import otlp, tables
+from spanloom.sources import otlp, sinks, tables
 from spanloom.sources import sample_traces as samples
 from spanloom.sources.tables import Store
 from spanloom.streaming import ingest
@@ -39,6 +39,7 @@ AS_OF = dt.datetime(2024, 2, 10)
 """Fixed instant the retention queries look from."""
 TTL_DAYS = 30
 SCORE_TTL_DAYS = 40
+SCORES_AS_OF = AS_OF + dt.timedelta(hours=2)
 
 
 def _day(name: str = "date") -> Column:
@@ -211,6 +212,44 @@ def stored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_raw_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored spans after the expired days were dropped."""
+    store, _ = _new_store(spark)
+    sinks.write_raw_spans(store, samples.raw_spans(spark, sf_dir))
+    retention.apply_retention(store, tables.RAW_SPANS, AS_OF, TTL_DAYS)
+    return store.read(tables.RAW_SPANS).select("span_id", _day())
+
+
+def stored_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored scores after the expired rows were removed."""
+    store, _ = _new_store(spark)
+    sinks.append_eval_scores(store, samples.eval_scores(spark, sf_dir))
+    retention.apply_retention(store, tables.EVAL_SCORES, SCORES_AS_OF, SCORE_TTL_DAYS)
+    return store.read(tables.EVAL_SCORES).select(
+        "conversation_id", "eval_type", "reasoning", _seconds("scored_at")
+    )
+
+
+def stored_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored turns and labels, joined as a client reads them."""
+    store, _ = _new_store(spark)
+    sinks.write_turns(store, _turns(spark, sf_dir))
+    sinks.append_cluster_assignments(store, samples.cluster_assignments(spark, sf_dir))
+    return reads.clustered_conversations(store).select(
+        "service_name", "conversation_id", "space_uuid", "cluster_key", "predicted_cluster_key",
+        "turns", "status",
+    )
+
+
+def stored_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored requests, answers and events; progress per batch."""
+    store, _ = _new_store(spark)
+    sinks.append_llm_inputs(store, samples.queue_inputs(spark, sf_dir))
+    sinks.append_llm_batches(store, samples.queue_batches(spark, sf_dir))
+    sinks.append_llm_results(store, samples.queue_results(spark, sf_dir))
+    return reads.progress(store)
+
+
 # --- turns and conversations ---------------------------------------------------
 
 
@@ -468,9 +507,9 @@ def retained_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unexpired_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = samples.eval_scores(spark, sf_dir)
     clock = timestamps.from_timestamp(F.col("scored_at"))
-    return retention.unexpired(
-        scores, clock, SCORE_TTL_DAYS, AS_OF + dt.timedelta(hours=2)
-    ).select("conversation_id", "eval_type", "reasoning", _seconds("scored_at"))
+    return retention.unexpired(scores, clock, SCORE_TTL_DAYS, SCORES_AS_OF).select(
+        "conversation_id", "eval_type", "reasoning", _seconds("scored_at")
+    )
 
 
 QUERIES: dict[str, Query] = {
@@ -487,6 +526,10 @@ QUERIES: dict[str, Query] = {
         streamed_spans,
         streamed_trace_bounds,
         stored_turns,
+        stored_raw_spans,
+        stored_scores,
+        stored_clusters,
+        stored_progress,
         turn_texts,
         turn_numbers,
         conversation_rollup,

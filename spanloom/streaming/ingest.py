@@ -15,7 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 from spanloom.operators.normalize import normalize_spans
 from spanloom.operators.traces import trace_bounds
 from spanloom.operators.turns import to_turns
-from spanloom.sources.tables import RAW_SPANS, SPANS_NORMALIZED, TRACE_BOUNDS, TURNS, Store
+from spanloom.sources import sinks
+from spanloom.sources.tables import Store
 
 
 def write_block(store: Store, raw: DataFrame, ingest_id: int) -> None:
@@ -27,11 +28,11 @@ def write_block(store: Store, raw: DataFrame, ingest_id: int) -> None:
     """
     block = raw.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        store.append(block, RAW_SPANS)
-        store.append(trace_bounds(block), TRACE_BOUNDS)
+        sinks.write_raw_spans(store, block)
+        sinks.write_trace_bounds(store, trace_bounds(block))
         normalized = normalize_spans(block.withColumn("_ingest_id", F.lit(ingest_id)))
-        store.append(normalized, SPANS_NORMALIZED)
-        store.append(to_turns(normalized), TURNS)
+        sinks.write_spans(store, normalized)
+        sinks.write_turns(store, to_turns(normalized))
     finally:
         block.unpersist()
 
