@@ -32,6 +32,8 @@ from spanloom.functions.attributes import (
 PLAIN_NUMBER = r"(0|[1-9]\d{0,8})"
 ANY_NUMBER = r"(\d+)"
 
+TOOL_CALLS_TYPE = "array<struct<id: string, name: string, arguments: string>>"
+
 
 def _no_positions() -> Column:
     return F.array().cast("array<int>")
@@ -149,6 +151,10 @@ def _event_texts(events: Column, names: Sequence[str], text_keys: Sequence[str])
 
 
 def _messages(side: Side, attrs: Column, events: Column, with_tool_calls: bool) -> Column:
+    fields_type = "struct<message: string, position: int, role: string>"
+    if with_tool_calls:
+        fields_type = fields_type[:-1] + f", tool_calls: {TOOL_CALLS_TYPE}>"
+
     def build(found: Column) -> Column:
         entries = found["own"]
         parsed = {
@@ -162,7 +168,12 @@ def _messages(side: Side, attrs: Column, events: Column, with_tool_calls: bool)
             parsed["tools"] = F.map_from_entries(
                 F.filter(entries, lambda e: e["key"].contains(".tool_calls."))
             )
-        return let(parsed, lambda known: F.transform(known["at"], lambda i: message(found, known, i)))
+        built = let(parsed, lambda known: F.transform(known["at"], lambda i: message(found, known, i)))
+        # Most spans of a trace (tools, chains, storage) carry no messages.
+        carries_any = (
+            (F.size(entries) > 0) | (F.size(found["event_text"]) > 0) | (found["native_text"] != "")
+        )
+        return F.when(carries_any, built).otherwise(F.array().cast(f"array<{fields_type}>"))
 
     def message(found: Column, known: Column, i: Column) -> Column:
         text = F.coalesce(
@@ -246,8 +257,7 @@ def tool_calls(attrs: Column, message: Column) -> Column:
             field(t, ".arguments", "function.arguments").alias("arguments"),
         ),
     )
-    none = F.array().cast("array<struct<id: string, name: string, arguments: string>>")
-    return F.when(F.size(attrs) > 0, calls).otherwise(none)
+    return F.when(F.size(attrs) > 0, calls).otherwise(F.array().cast(TOOL_CALLS_TYPE))
 
 
 def message_flags(messages: Column, fields: Sequence[str]) -> Column:
