@@ -26,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def epoch_micros(ts: Column) -> Column:
-    """Works for timestamps with and without time zone alike, as UTC."""
+    """The table's timestamps carry no time zone; they are read as UTC."""
     origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
     return F.timestamp_diff("MICROSECOND", origin, ts.cast("timestamp_ntz"))
 

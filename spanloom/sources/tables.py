@@ -56,7 +56,9 @@ class Table:
     def ddl(self, database: str) -> str:
         kind = "DATE" if self.partition == "date" else "INT"
         columns = ", ".join(f"`{n}` {t}" for n, t in self.columns.items())
-        options = {"compression": "zstd"} | {
+        # Adaptive: sized by the ids in the file, not 1 MB per column and file,
+        # which would outweigh the data of small micro-batches.
+        options = {"compression": "zstd", "parquet.bloom.filter.adaptive.enabled": "true"} | {
             f"parquet.bloom.filter.enabled#{c}": "true" for c in self.bloom
         }
         option_list = ", ".join(f"'{k}'='{v}'" for k, v in options.items())
