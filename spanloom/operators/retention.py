@@ -25,14 +25,22 @@ def unexpired(df: DataFrame, clock_ns: Column, days: int, as_of: dt.datetime) ->
     return df.where(clock_ns > F.lit(_epoch_ns(as_of) - days * timestamps.NS_PER_DAY))
 
 
-def first_kept_day(days: int, as_of: dt.datetime) -> dt.date:
-    """Oldest day with a row that may still be unexpired at ``as_of``."""
-    return (as_of - dt.timedelta(days=days)).date()
+def first_kept_day(days: int, as_of: dt.datetime, by_day: bool = False) -> dt.date:
+    """Oldest day still stored at ``as_of``.
+
+    Where the age counts from the instant of a row, a day stays as long as any
+    of it may be unexpired; where it counts from the day, the whole day expires
+    when it begins to be ``days`` old.
+    """
+    day = (as_of - dt.timedelta(days=days)).date()
+    return day + dt.timedelta(days=1) if by_day else day
 
 
-def in_kept_days(df: DataFrame, days: int, as_of: dt.datetime) -> DataFrame:
+def in_kept_days(
+    df: DataFrame, days: int, as_of: dt.datetime, by_day: bool = False
+) -> DataFrame:
     """Rows that are still stored when only whole days are dropped."""
-    return df.where(F.col("date") >= F.lit(first_kept_day(days, as_of)))
+    return df.where(F.col("date") >= F.lit(first_kept_day(days, as_of, by_day)))
 
 
 def apply_retention(
@@ -44,7 +52,7 @@ def apply_retention(
     expire one by one, the partition the cut-off falls into is rewritten
     without its expired rows.
     """
-    kept_from = first_kept_day(ttl_days(table, days), as_of)
+    kept_from = first_kept_day(ttl_days(table, days), as_of, table.expires_by_day)
     oldest = str(kept_from) if table.partition == "date" else kept_from.strftime("%Y%m")
     dropped = [p for p in store.partitions(table) if p < oldest]
     for value in dropped:

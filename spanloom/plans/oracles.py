@@ -231,6 +231,10 @@ RETAINED_SPANS = f"""
 WITH {EVENTS}
 SELECT span_id, {DAY} AS date FROM ev WHERE {DAY} >= '2024-01-11'"""
 
+STORED_RAW_SPANS = f"""
+WITH {EVENTS}
+SELECT span_id, {DAY} AS date FROM ev WHERE {DAY} >= '2024-01-12'"""
+
 # --- turns -----------------------------------------------------------------------
 
 TURNS = f"""
@@ -426,7 +430,7 @@ ORACLES: dict[str, str] = {
     "streamed_spans": STREAMED_SPANS,
     "streamed_trace_bounds": TRACE_BOUNDS,
     "stored_turns": STORED_TURNS,
-    "stored_raw_spans": RETAINED_SPANS,
+    "stored_raw_spans": STORED_RAW_SPANS,
     "stored_scores": UNEXPIRED_SCORES,
     "stored_clusters": CLUSTERS_JOINED,
     "stored_progress": BATCH_PROGRESS,

@@ -43,6 +43,8 @@ class Table:
     uuids: tuple[str, ...] = ()
     whole_partitions: bool = False
     """Expired rows leave with their whole day, not one by one."""
+    expires_by_day: bool = False
+    """Age counts from the row's day, not from its instant."""
     follows_retention_setting: bool = True
 
     def clock_ns(self) -> Column:
@@ -97,6 +99,7 @@ RAW_SPANS = Table(
     order=("service_name", "span_name", "timestamp_ns"),
     bloom=("trace_id",),
     whole_partitions=True,
+    expires_by_day=True,
 )
 
 TRACE_BOUNDS = Table(
@@ -107,6 +110,7 @@ TRACE_BOUNDS = Table(
     order=("trace_id", "first_start_ns"),
     bloom=("trace_id",),
     whole_partitions=True,
+    expires_by_day=True,
 )
 
 SPANS_NORMALIZED = Table(

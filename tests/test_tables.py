@@ -61,12 +61,16 @@ def test_spans_are_partitioned_by_day_and_read_back(store, make_raw):
 
 
 def test_whole_days_expire(store, make_raw):
-    spans = [{"start": JAN1_NS + d * DAY_NS + 5} for d in range(4)]
-    store.append(make_raw(*spans), tables.RAW_SPANS)
+    raw = make_raw(*({"start": JAN1_NS + d * DAY_NS + 5} for d in range(4)))
+    store.append(raw, tables.RAW_SPANS)
+    store.append(normalize_spans(raw), tables.SPANS_NORMALIZED)
     as_of = dt.datetime(2024, 2, 2, 12)
-    assert retention.apply_retention(store, tables.RAW_SPANS, as_of) == ["2024-01-01", "2024-01-02"]
-    # 3 January is partly expired at noon and stays whole.
-    assert store.partitions(tables.RAW_SPANS) == ["2024-01-03", "2024-01-04"]
+    # Normalized spans age from their instant: 3 January is only partly expired
+    # at noon and stays whole. Raw spans age from their day.
+    assert retention.apply_retention(store, tables.SPANS_NORMALIZED, as_of) == ["2024-01-01", "2024-01-02"]
+    assert store.partitions(tables.SPANS_NORMALIZED) == ["2024-01-03", "2024-01-04"]
+    retention.apply_retention(store, tables.RAW_SPANS, as_of)
+    assert store.partitions(tables.RAW_SPANS) == ["2024-01-04"]
     assert retention.apply_retention(store, tables.RAW_SPANS, as_of) == []
 
 
