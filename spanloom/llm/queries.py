@@ -7,18 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import jaccard
+from spanloom.llm import bpe, jaccard
 from spanloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def bpe_digests(docs: DataFrame) -> DataFrame:
+    model = vocabulary("byte_bpe_50k.json")
+    decoded = bpe.decode(bpe.encode(docs, model, vocabulary("byte_bpe_50k.tiktoken")), model)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again."""
+    return bpe_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-grams, similarity of 0.85 or more."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, above=85, below=100)
 
 
 QUERIES: dict[str, Query] = {
+    "op4_bpe": op4_bpe,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
 }
 
