@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, jaccard
-from spanloom.llm.common import table
+from spanloom.llm import bpe, jaccard, language
+from spanloom.llm.common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,9 +41,23 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, above=85, below=100)
 
 
+def language_model(docs: DataFrame) -> language.LanguageModel:
+    """Learned from all documents that are not held out."""
+    pieces = language.read_pieces(vocabulary("byte_bpe_50k.tiktoken"))
+    return language.fit(docs.where(id_remainder(3) != 1), pieces)
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text; a third of the documents is held out from learning."""
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language_model(docs))
+    return found.select("doc_id", (id_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op4_bpe": op4_bpe,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {}
