@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, jaccard, language
+from spanloom.llm import bpe, decontamination, jaccard, language, lines
 from spanloom.llm.common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,11 +36,30 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside ten-word windows of benchmark items."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.contamination(docs, items).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-grams, similarity of 0.85 or more."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, above=85, below=100)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the later occurrences of repeated three-line windows."""
+    docs = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def language_model(docs: DataFrame) -> language.LanguageModel:
     """Learned from all documents that are not held out."""
     pieces = language.read_pieces(vocabulary("byte_bpe_50k.tiktoken"))
@@ -56,8 +75,31 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op4_bpe": op4_bpe,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+    "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_line_dedup": r"""
+        WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents),
+        places AS (SELECT doc_id, a, unnest(range(1, len(a) - 1)) AS i FROM split),
+        windows AS (
+            SELECT doc_id, i, row_number() OVER (PARTITION BY a[i], a[i + 1], a[i + 2] ORDER BY doc_id, i) AS nth
+            FROM places WHERE translate(a[i] || a[i + 1] || a[i + 2], ' ' || chr(9) || chr(13), '') <> ''
+        ),
+        covered AS (
+            SELECT DISTINCT doc_id, i + k AS spot
+            FROM windows, (SELECT unnest([0, 1, 2]) AS k) AS ks WHERE nth > 1
+        ),
+        lines AS (SELECT doc_id, unnest(a) AS line, unnest(range(1, len(a) + 1)) AS spot FROM split),
+        kept AS (
+            SELECT doc_id, string_agg(line, chr(10) ORDER BY spot) AS text, count(*) AS n
+            FROM lines ANTI JOIN covered USING (doc_id, spot) GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(len(a), 0) AS n_lines, coalesce(len(a), 0) - coalesce(kept.n, 0) AS n_removed,
+               CASE WHEN split.text IS NOT NULL THEN coalesce(kept.text, '') END AS text
+        FROM split LEFT JOIN kept USING (doc_id)
+    """,
+}
