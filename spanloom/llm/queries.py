@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontamination, jaccard, language, lines
+from spanloom.llm import bpe, decontamination, jaccard, language, lines, sharding
 from spanloom.llm.common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,16 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A uniform shuffle into 40 shards, row counts at most one apart."""
+    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32")
+    )
+    dealt = sharding.uniform_shards(rows, 40)
+    return dealt.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
 def bpe_digests(docs: DataFrame) -> DataFrame:
     model = vocabulary("byte_bpe_50k.json")
     decoded = bpe.decode(bpe.encode(docs, model, vocabulary("byte_bpe_50k.tiktoken")), model)
@@ -74,6 +84,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sharding": op1_sharding,
     "op4_bpe": op4_bpe,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
