@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontamination, jaccard, language, lines, sharding
+from spanloom.llm import bpe, decontamination, jaccard, language, lines, sharding, topk
 from spanloom.llm.common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,12 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best vectors for every hundredth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-grams, similarity of 0.85 or more."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, above=85, below=100)
@@ -87,12 +93,26 @@ QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op4_bpe": op4_bpe,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op7_exact_top_k": op7_exact_top_k,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+            FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+        )
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank,
+               vec_id, score
+        FROM scored QUALIFY rank <= 10
+    """,
     "op9_line_dedup": r"""
         WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents),
         places AS (SELECT doc_id, a, unnest(range(1, len(a) - 1)) AS i FROM split),
