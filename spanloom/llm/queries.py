@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontamination, jaccard, language, lines, sharding, topk
+from spanloom.llm import bpe, decontamination, jaccard, language, lines, sharding, topk, toxicity
 from spanloom.llm.common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,19 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text; a fifth of the documents is held out from learning."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(id_remainder(5) != 0))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        (id_remainder(5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.array_join("telling", " ").alias("telling"),
+    )
+
+
 def bpe_digests(docs: DataFrame) -> DataFrame:
     model = vocabulary("byte_bpe_50k.json")
     decoded = bpe.decode(bpe.encode(docs, model, vocabulary("byte_bpe_50k.tiktoken")), model)
@@ -91,6 +104,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
+    "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_exact_top_k": op7_exact_top_k,
