@@ -12,17 +12,20 @@ blocks, the fullest ones (d of them may differ, one must agree); the larger is
 *indexed* under all blocks of every band its partner may be in. Nearly empty
 blocks, which many unrelated sets share, are so indexed but hardly ever probed.
 
-Equal blocks are joined by a hash of the block, and candidates are verified on
-the whole sets. Equal sets are one node from the start. Within a group of sets
-that share a block, each is first verified against the most connected one; only
-members that this leaves in another component than most are compared with the
-rest. So a large group of near copies costs about one comparison per member and
-block, no pair of it is skipped that could join two components, and the
-components are exact.
+Equal sets are one node from the start. Nodes that share a block are candidates;
+their connected groups, cut by size so that only sizes that may be similar meet,
+are compared in chunks of bounded rows and bytes: by the Hamming distance of
+whole sketches first, then on the whole sets. A chunk keeps to itself, without
+emitting pairs, what is connected already, and returns links only. Groups of
+several chunks are compared in two steps: each chunk in itself and with the most
+connected nodes of the group; then, only what is still apart from most of its
+group, with all of it. So no link is missed that could join two components, and
+a large group of near copies costs about a comparison per member.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +45,13 @@ BAND_RATIO = 1.6
 SPARE = 0.1
 """Blocks beyond d + 1, as a share of them: what a probe may leave out."""
 NO_ID = -(2**63)
+SKETCH_BITS = 4096
+"""Bits of the whole sketch by which two sets are compared first."""
+CHUNK_ROWS = 140
+CHUNK_BYTES = 8_000_000
+"""A chunk holds about so many nodes and bytes of sets, or one larger set."""
+CENTRES = 8
+"""Most connected nodes of a group that every chunk of it is compared with."""
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -188,29 +198,65 @@ def _sets(docs: DataFrame, wanted: np.ndarray, n: int) -> DataFrame:
     return docs.select(rep, "text").mapInArrow(run, "node long, rep long, set binary")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, above: int, below: int) -> DataFrame:
-    """Those (a, b) whose whole sets are similar enough."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node")
-    ends = written(ends.select("node", "rep", F.col("node").bitwiseXOR(F.col("rep")).alias("mark")), "ends")
-    wanted = bloom.build(ends, "mark")
-    sets = written(_sets(docs, wanted, n).join(ends.select("node", "rep"), ["node", "rep"]), "sets")
+def _links(units: DataFrame, sets: DataFrame, above: int, below: int) -> DataFrame:
+    """Verified links (a, b) inside units: rows (unit, node, group, low, role), compared left (1) with right (2) ones.
+
+    Nodes of one group are connected already; of a pair one must be low.
+    """
+
+    def compare(node, group, low, role, raw) -> list[tuple[int, int]]:
+        found: list[tuple[int, int]] = []
+        hashes = [np.frombuffer(r, dtype=U64) for r in raw]
+        sizes = np.array([len(h) for h in hashes])
+        bits = [np.bincount((arrays.mix(h) & U64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1 for h in hashes]
+        sketch = np.packbits(np.array(bits, dtype=np.uint8), axis=1).view(U64)
+        root = {g: g for g in group}
+
+        def find(g: int) -> int:
+            while root[g] != g:
+                root[g] = root[root[g]]
+                g = root[g]
+            return g
+
+        right = (role & 2) > 0
+        for x in np.flatnonzero(role & 1):
+            fits = right & (np.minimum(sizes, sizes[x]) * below >= np.maximum(sizes, sizes[x]) * above)
+            fits &= (low | low[x]) & (((role & 1) == 0) | (node > node[x])) & (node != node[x])
+            ys = np.flatnonzero(fits)
+            distance = np.bitwise_count(sketch[ys] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+            bound = (sizes[ys] + sizes[x]) * (below - above) // (below + above)
+            near = distance <= bound
+            for y in ys[near][np.argsort(distance[near], kind="stable")]:
+                one, two = find(group[x]), find(group[y])
+                if one == two:
+                    continue
+                common = sizes[x] + sizes[y] - len(np.union1d(hashes[x], hashes[y]))
+                if below * common >= above * (sizes[x] + sizes[y] - common):
+                    found.append((node[x], node[y]))
+                    root[one] = two
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        current = None
+
+        def done() -> pa.RecordBatch:
+            node, group, low, role, raw = zip(*held, strict=True)
+            pairs = compare(np.array(node), group, np.array(low), np.array(role), raw) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
         for batch in batches:
-            good = []
-            left, right = batch.column(2), batch.column(3)
-            for i in range(len(batch)):
-                x, y = (np.frombuffer(side[i].as_buffer(), dtype=U64) for side in (left, right))
-                common = len(x) + len(y) - len(np.union1d(x, y)) if len(x) and len(y) else 0
-                good.append(below * common >= above * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays(
-                [c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], ["a", "b"]
-            )
+            for unit, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and unit != current:
+                    yield done()
+                    held.clear()
+                current = unit
+                held.append(tuple(row))
+        if held:
+            yield done()
 
-    left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(run, "a long, b long").distinct()
+    rows = units.join(sets, "node").select("unit", "node", "group", "low", "role", "set")
+    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_components(
@@ -252,38 +298,61 @@ def similar_links(docs: DataFrame, full: DataFrame, reps: DataFrame, n: int, abo
     shared = (
         emitted.select("node", key, probes.alias("probe"))
         .groupBy("key")
-        .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("probe").alias("probe"))
-        .where("low <> high AND probe = 1")
+        .agg(F.min("node").alias("first"), F.max("node").alias("last"), F.max("probe").alias("probe"))
+        .where("first <> last AND probe = 1")
     )
-    shared = written(shared.select("key"), "shared")
-    members = emitted.select("node", key, probes.alias("probe")).join(shared, "key", "left_semi").distinct()
-    members = written(members.join(reps.select("node", "size"), "node"), "members")
-
-    # Stars: everyone against the member of its group with most shared blocks for its size.
-    rank = members.groupBy("node", "size").count()
-    rank = written(rank.select("node", (F.col("count") * 1000 / F.col("size")).cast("long").alias("rank")), "rank")
-    ranked = members.join(rank, "node")
-    centre = ranked.groupBy("key").agg(F.max(F.struct("rank", "node", "size")).alias("centre"))
-    centre = written(centre.select("key", F.col("centre.node").alias("centre"), F.col("centre.size").alias("other")), "centre")
-    fits = F.least("size", "other") * below >= F.greatest("size", "other") * above
-    stars = members.join(centre, "key").where((F.col("node") != F.col("centre")) & fits)
-    ends = [F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")]
-    stars = written(stars.select(*ends).distinct(), "stars")
-    links = written(_verify(stars, docs, reps, n, above, below), "links")
-
-    # Whoever is still apart from most of a group, against all of it.
-    groups = components(links, "a", "b").withColumnRenamed("component", "group")
-    placed = members.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    placed = written(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
-    tallies = placed.join(open_keys.select("key"), "key", "left_semi").groupBy("key", "group").count()
-    most = tallies.groupBy("key").agg(F.max(F.struct("count", "group")).alias("most"))
-    most = written(most.select("key", F.col("most.group").alias("most")), "most")
-    open_members = written(placed.join(most, "key"), "open")
-    apart = open_members.where("group <> most").drop("most")
-    other = open_members.select("key", *(F.col(c).alias(f"{c}_2") for c in ("node", "probe", "size", "group")))
-    fits = F.least("size", "size_2") * below >= F.greatest("size", "size_2") * above
-    apart = apart.join(other, "key").where((F.col("group") != F.col("group_2")) & (F.col("probe") + F.col("probe_2") > 0) & fits)
-    pairs = apart.select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b")).distinct()
-    pairs = written(pairs.join(stars, ["a", "b"], "left_anti"), "pairs")
-    return links.union(_verify(pairs, docs, reps, n, above, below))
+    shared = written(shared.select("key", "first"), "shared")
+    members = written(emitted.select("node", key).join(shared, "key").select("node", "first").distinct(), "members")
+    # Nodes that share a block, directly or by way of others.
+    wide = components(members, "node", "first").withColumnRenamed("component", "wide")
+    rank = members.groupBy("node").agg(F.count("*").alias("shared"))
+    found = wide.join(reps, "node").join(rank, "node")
+    band = F.floor(F.log(F.col("size").cast("double")) / math.log(below / above * 1.000001)).cast("int")
+    found = found.select("node", "rep", "wide", "size", (F.col("shared") / F.col("size")).alias("rank"), band.alias("own"))
+    found = written(found, "candidates")
+
+    mark = F.col("node").bitwiseXOR(F.col("rep"))
+    wanted = bloom.build(found.select(mark.alias("mark")), "mark")
+    sets = written(_sets(docs, wanted, n).join(found.select("node", "rep"), ["node", "rep"]).dropDuplicates(["node"]), "sets")
+    sets = sets.select("node", "set")
+
+    # A pair's bands are the same or neighbours: each group holds a band and the next.
+    group = ["wide", "band"]
+    rows = found.select("*", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("band"))
+    rows = rows.withColumn("low", F.col("own") == F.col("band"))
+    parts = F.ceil(F.greatest(F.count("*") / CHUNK_ROWS, F.sum("size") * 8 / CHUNK_BYTES))
+    chunks = rows.groupBy(*group).agg(parts.cast("int").alias("chunks"), F.count("*").alias("n")).where("n > 1")
+    chunks = written(chunks.select(*group, "chunks"), "groups")
+    placed = rows.join(chunks, group).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    placed = written(placed.select("node", *group, "size", "rank", "low", "chunks", "chunk"), "placed")
+
+    salt = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(CENTRES)).alias("salt")
+    centres = placed.where("chunks > 1").groupBy(*group, salt).agg(F.max(F.struct("rank", "node", "low", "chunks")).alias("c"))
+    centres = centres.select("c.node", *group, "c.low", F.explode(F.sequence(F.lit(0), F.col("c.chunks") - 1)).alias("chunk"))
+    own = F.col("node").alias("group")
+    columns = [_unit(*group, "chunk"), "node", own, "low"]
+    units = placed.select(*columns, F.lit(3).alias("role")).union(centres.select(*columns, F.lit(2).alias("role")))
+    links = written(_links(units, sets, above, below), "links")
+
+    joined = components(links, "a", "b").withColumnRenamed("component", "group")
+    large = placed.where("chunks > 1").join(joined, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    large = written(large, "large")
+    tallies = large.groupBy(*group, "group").agg(F.count("*").alias("n"))
+    most = tallies.groupBy(*group).agg(F.max(F.struct("n", "group")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+    most = written(most.select(*group, F.col("most.group").alias("most")), "most")
+    open_rows = written(large.join(most, group), "open")
+    apart = open_rows.where("group <> most")
+    parts = F.ceil(F.greatest(F.count("*") / CHUNK_ROWS, F.sum("size") * 8 / CHUNK_BYTES)).cast("int")
+    sides = written(apart.groupBy(*group).agg(parts.alias("sides")), "sides")
+    side = F.pmod(F.xxhash64("node"), F.col("sides")).cast("int").alias("side")
+    left = apart.join(sides, group).select("node", "group", *group, "low", side, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    right = open_rows.join(sides, group)
+    right = right.select("node", "group", *group, "low", "chunk", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"))
+    columns = [_unit(*group, "chunk", "side"), "node", "group", "low"]
+    units = left.select(*columns, F.lit(1).alias("role")).union(right.select(*columns, F.lit(2).alias("role")))
+    return links.union(written(_links(units, sets, above, below), "late-links"))
+
+
+def _unit(*columns: str):
+    """Number of a unit; should two units get the same, they are compared as one, which adds no wrong link."""
+    return F.xxhash64(*columns).alias("unit")
