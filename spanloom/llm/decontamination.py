@@ -210,3 +210,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         "doc_id", *KEY, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
     )
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` in which no window of any item occurs; all columns stay."""
+    hit = written(matches(docs, items, window).select(*KEY).distinct(), "contaminated")
+    return docs.select("*", *row_key()).join(hit, KEY, "left_anti").drop(*KEY)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import arrays, bloom
 from spanloom.llm.arrays import U64
-from spanloom.llm.common import written
+from spanloom.llm.common import KEY, row_key, written
 from spanloom.llm.components import components
 
 WORD_BYTES = ~arrays.flags((0x20, 0x20), (0x09, 0x0D))
@@ -148,7 +148,7 @@ def _digests(text: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def nodes(docs: DataFrame, n: int, above: int, below: int) -> DataFrame:
-    """(doc_id, size, node, check, keys) per document.
+    """(doc_id, row key, size, node, check, keys) per document.
 
     ``node`` and ``check`` are digests of the set; both and the size together
     tell sets apart. Documents without words have size 0 and no keys.
@@ -164,17 +164,16 @@ def nodes(docs: DataFrame, n: int, above: int, below: int) -> DataFrame:
             owner, keys = sketch_keys(text, hashes, sizes, bands)
             order = np.argsort(owner, kind="stable")
             columns = [
-                rows.column(rows.schema.get_field_index("doc_id")),
+                *rows.columns[:4],
                 pa.array(sizes.astype(np.int64)),
                 pa.array(one.view(np.int64)),
                 pa.array(two.view(np.int64)),
                 _runs(keys[order], owner[order], many),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "size", "node", "check", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *KEY, "size", "node", "check", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, size long, node long, check long, keys array<long>"
-    )
+    schema = "doc_id long, key_id long, key_hash long, key_size long, size long, node long, check long, keys array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), "text").mapInArrow(run, schema)
 
 
 def _sets(docs: DataFrame, wanted: np.ndarray, n: int) -> DataFrame:
@@ -262,7 +261,7 @@ def _links(units: DataFrame, sets: DataFrame, above: int, below: int) -> DataFra
 def jaccard_components(
     docs: DataFrame, n: int = 5, above: int = 4, below: int = 5
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs``.
+    """(doc_id, row key, n_shingles, component_id) for every row of ``docs``.
 
     Words are what ASCII white space separates, A-Z lower-cased; a document's
     set holds its distinct ``n``-grams of words, or its whole sequence if it has
@@ -275,7 +274,7 @@ def jaccard_components(
     """
     info = written(nodes(docs, n, above, below), "nodes")
     full = info.where("size > 0")
-    labelled = info.select("doc_id", "size", "node")
+    labelled = info.select("doc_id", *KEY, "size", "node")
     reps = full.groupBy("node").agg(
         F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep"), F.min("doc_id").alias("least"), F.max("size").alias("size")
     )
@@ -285,9 +284,21 @@ def jaccard_components(
     ids = reps.select("node", "least").join(joined, "node", "left").withColumn("group", F.coalesce("group", "node"))
     least = written(ids.groupBy("group").agg(F.min("least").alias("component_id")), "least")
     named = written(ids.select("node", "group").join(least, "group").select("node", "component_id"), "named")
-    found = labelled.where("size > 0").join(named, "node").select("doc_id", "size", "component_id")
-    lone = labelled.where("size = 0").select("doc_id", "size", F.col("doc_id").alias("component_id"))
-    return found.union(lone).withColumnRenamed("size", "n_shingles").select("doc_id", "n_shingles", "component_id")
+    columns = ["doc_id", *KEY, F.col("size").alias("n_shingles")]
+    found = labelled.where("size > 0").join(named, "node").select(*columns, "component_id")
+    return found.union(labelled.where("size = 0").select(*columns, F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, above: int = 4, below: int = 5) -> DataFrame:
+    """The rows of ``docs`` but those that are linked to a smaller doc_id; all columns stay.
+
+    Documents without words stay, as do those without a doc_id, which no group
+    can be named by. Rows that agree in doc_id and text become one.
+    """
+    found = jaccard_components(docs, n, above, below)
+    kept = found.where("doc_id = component_id OR doc_id IS NULL").select(*KEY).distinct()
+    keyed = docs.select("*", *row_key())
+    return keyed.join(written(kept, "kept"), KEY, "left_semi").dropDuplicates(KEY).drop(*KEY)
 
 
 def similar_links(docs: DataFrame, full: DataFrame, reps: DataFrame, n: int, above: int, below: int) -> DataFrame:

@@ -80,7 +80,8 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """4-grams, similarity of 0.85 or more."""
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, above=85, below=100)
+    found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, above=85, below=100)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
