@@ -181,6 +181,29 @@ def shared_chunks(docs: DataFrame) -> DataFrame:
     return found.groupBy("chunk").count().where("count > 1").select("chunk")
 
 
+def _texts(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """(doc_id, text, key) of the documents with a chunk that the field may hold."""
+    names = ["doc_id", "text", *KEY]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in arrays.slices(batches):
+            yield rows.filter(pa.array(_any_shared(data, offsets, wanted)))
+
+    docs = docs.select("doc_id", "text", *row_key()).select(names)
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _any_shared(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Flags of the texts with a chunk that the field may hold."""
+    begins = cuts(data, offsets)
+    ends = np.append(begins[1:], len(data))
+    hashes = [_hash(data[a:b]) for a, b in zip(begins, ends, strict=True)]
+    hit = begins[bloom.holds(wanted, _half(hashes))] if hashes else begins
+    out = np.zeros(len(offsets) - 1, dtype=bool)
+    out[np.searchsorted(offsets, hit, side="right") - 1] = True
+    return out
+
+
 def _occurrences(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     """(key, place, chunk, piece): where chunks the field may hold occur; each task tells a chunk's text once."""
 
@@ -229,10 +252,13 @@ def encode(docs: DataFrame, model: str, ranks: str) -> DataFrame:
     pieces = places.where("piece IS NOT NULL").join(shared, "chunk", "left_semi")
     pieces = pieces.groupBy("chunk").agg(F.first("piece").alias("piece"))
 
+    largest = max(json.loads(files.value[0])["model"]["vocab"].values(), default=0)
+    width = np.uint16 if largest + 1000 < 2**16 else np.uint32  # as stored between the stages
+
     def encode_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(*files.value)
         for rows, data, offsets in arrays.slices(batches, "piece"):
-            ids = [encoder(data[a:b]).astype(np.int32).tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
+            ids = [encoder(data[a:b]).astype(width).tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.binary())], ["chunk", "ids"])
 
     tokens = written(pieces.mapInArrow(encode_pieces, "chunk binary, ids binary"), "chunk-tokens")
@@ -253,17 +279,27 @@ def encode(docs: DataFrame, model: str, ranks: str) -> DataFrame:
                 a, b = offsets[i], offsets[i + 1]
                 own = begins[np.searchsorted(begins, a) : np.searchsorted(begins, b)] - a
                 parts = lists[i].as_py() or ()
-                chunks = {p["place"]: np.frombuffer(p["ids"], dtype=np.int32).astype(np.int64) for p in parts}
+                chunks = {p["place"]: np.frombuffer(p["ids"], dtype=width).astype(np.int64) for p in parts}
                 ids.append(assemble(encoder, data[a:b], own, chunks))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            flat = np.concatenate([*ids, np.zeros(0, dtype=np.int64)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "ids"]
-            )
-
-    joined = docs.select("doc_id", "text", *row_key()).join(known, KEY, "left").select("doc_id", "text", "known")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(finish, f"doc_id {id_type}, ids array<int>")
+            yield pa.RecordBatch.from_arrays([rows.column(0), _lists(ids)], ["doc_id", "ids"])
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(*files.value)
+        for rows, data, offsets in arrays.slices(batches):
+            whole = np.flatnonzero(~_any_shared(data, offsets, wanted))
+            ids = [encoder(data[offsets[i] : offsets[i + 1]]) for i in whole]
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(whole)), _lists(ids)], ["doc_id", "ids"])
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>"
+    # Only texts with shared chunks are shuffled; the others are encoded where they are read.
+    joined = _texts(docs, wanted).join(known, KEY, "left").select("doc_id", "text", "known").mapInArrow(finish, schema)
+    return docs.mapInArrow(alone, schema).union(joined)
+
+
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    flat = np.concatenate([*ids, np.zeros(0, dtype=np.int64)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
 def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
