@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontamination, jaccard, language, lines, sharding, topk, toxicity
+from spanloom.llm import bpe, decontamination, jaccard, language, licenses, lines, secrets, sharding, topk, toxicity
 from spanloom.llm.common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences that a document, a paragraph or a line of it is."""
+    found = licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+    return found.select("doc_id", "whole_license", F.array_join("licenses", ",").alias("licenses"), "n_found")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text; a fifth of the documents is held out from learning."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -72,6 +78,22 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates and which of them are secrets; a fifth of the documents is held out from learning."""
+    found = secrets.described(secrets.candidates(table(spark, sf_dir, "documents")))
+    model = secrets.train(secrets.certain_labels(found.where(id_remainder(5) != 0)))
+    return secrets.judged(found, model).select(
+        "doc_id",
+        "line",
+        "nth",
+        F.sha2("candidate", 256).alias("candidate_sha256"),
+        F.col("length").cast("int").alias("length"),
+        (id_remainder(5) == 0).alias("held_out"),
+        "probability",
+        "is_secret",
+    )
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten best vectors for every hundredth vector."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -105,9 +127,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
+    "op2_license_scan": op2_license_scan,
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_secret_scan": op6_secret_scan,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
@@ -115,6 +139,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_license_scan": licenses.scan_sql(),
     "op7_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
