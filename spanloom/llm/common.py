@@ -51,3 +51,8 @@ KEY = ["key_id", "key_hash", "key_size"]
 def id_remainder(divisor: int, column: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``divisor``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """``docs`` as one column ``row``, beside the row key and ``more``: no name can clash. ``row.*`` unpacks it."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *row_key(), *more)

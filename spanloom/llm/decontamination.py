@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import arrays, bloom
-from spanloom.llm.common import KEY, row_key, written
+from spanloom.llm.common import KEY, packed, row_key, written
 
 WORD_BYTES = arrays.flags((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 WINDOW = 10
@@ -215,4 +215,4 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no window of any item occurs; all columns stay."""
     hit = written(matches(docs, items, window).select(*KEY).distinct(), "contaminated")
-    return docs.select("*", *row_key()).join(hit, KEY, "left_anti").drop(*KEY)
+    return packed(docs).join(hit, KEY, "left_anti").select("row.*")

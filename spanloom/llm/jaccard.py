@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import arrays, bloom
 from spanloom.llm.arrays import U64
-from spanloom.llm.common import KEY, row_key, written
+from spanloom.llm.common import KEY, packed, row_key, written
 from spanloom.llm.components import components
 
 WORD_BYTES = ~arrays.flags((0x20, 0x20), (0x09, 0x0D))
@@ -297,8 +297,7 @@ def one_of_each(docs: DataFrame, n: int = 5, above: int = 4, below: int = 5) ->
     """
     found = jaccard_components(docs, n, above, below)
     kept = found.where("doc_id = component_id OR doc_id IS NULL").select(*KEY).distinct()
-    keyed = docs.select("*", *row_key())
-    return keyed.join(written(kept, "kept"), KEY, "left_semi").dropDuplicates(KEY).drop(*KEY)
+    return packed(docs).join(written(kept, "kept"), KEY, "left_semi").dropDuplicates(KEY).select("row.*")
 
 
 def similar_links(docs: DataFrame, full: DataFrame, reps: DataFrame, n: int, above: int, below: int) -> DataFrame:

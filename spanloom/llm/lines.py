@@ -59,16 +59,14 @@ def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_removed")
     covered = repeated_positions(docs.select("doc_id", "text"), lines)
-    split = docs.select("*", *row_key(), F.split("text", "\n", -1).alias("_lines")).drop("text")
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
+    split = docs.select(others, *row_key(), F.split("text", "\n", -1).alias("lines"))
     joined = split.join(covered, KEY, "left")
-    count = F.coalesce(F.size("_lines"), F.lit(0))
-    every = F.sequence(F.lit(0), F.size("_lines") - 1)
-    kept = F.transform(F.array_except(every, "covered"), lambda i: F.get("_lines", i))
-    text = F.when(F.col("covered").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(kept, "\n"))
-    names = [text.alias(c) if c == "text" else F.col(c) for c in docs.columns]
-    removed = F.coalesce(F.size("covered"), F.lit(0)).cast("long")
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    kept = F.transform(F.array_except(every, "covered"), lambda i: F.get("lines", i))
+    text = F.array_join(F.when(F.col("covered").isNull(), F.col("lines")).otherwise(kept), "\n")
     return joined.select(
-        *names,
-        F.when(F.col("_lines").isNull(), 0).otherwise(count).cast("long").alias("n_lines"),
-        F.when(F.col("covered").isNull(), 0).otherwise(removed).cast("long").alias("n_removed"),
+        *(text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns),
+        F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.when(F.col("covered").isNull(), 0).otherwise(F.size("covered")).cast("long").alias("n_removed"),
     )

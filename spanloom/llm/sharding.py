@@ -54,8 +54,8 @@ def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
     return int(min(max(round(rng.normal(n * p, spread)), n - bad, 0), good, n))
 
 
-def _hash(seed: int, columns: list[Column]) -> Column:
-    return F.xxhash64(F.lit(seed), *columns)
+def _hash(seed: int, row: Column) -> Column:
+    return F.xxhash64(F.lit(seed), row)
 
 
 def uniform_shards(df: DataFrame, shards: int, seed: int = 1, cells: int = CELLS) -> DataFrame:
@@ -68,28 +68,28 @@ def uniform_shards(df: DataFrame, shards: int, seed: int = 1, cells: int = CELLS
     two names are replaced.
     """
     df = df.drop("shard", "slot")
-    values = [F.col(c) for c in df.columns]
-    hashed = df.withColumns({"_cell": F.pmod(_hash(seed, values), F.lit(cells)), "_first": _hash(seed + 1, values)})
-    sizes = {r["_cell"]: r["count"] for r in hashed.groupBy("_cell").count().collect()}
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    hashed = df.select(row.alias("row"), F.pmod(_hash(seed, row), F.lit(cells)).alias("cell"), _hash(seed + 1, row).alias("first"))
+    sizes = {r["cell"]: r["count"] for r in hashed.groupBy("cell").count().collect()}
     order = sorted(sizes)
     sent = matrix([sizes[c] for c in order], shards, seed)
     bounds = df.sparkSession.createDataFrame(
-        [(int(c), np.cumsum(row).tolist()) for c, row in zip(order, sent, strict=True)], "_cell long, _bounds array<long>"
+        [(int(c), np.cumsum(row).tolist()) for c, row in zip(order, sent, strict=True)], "cell long, bounds array<long>"
     )
-    within = Window.partitionBy("_cell").orderBy("_first", *values)
-    dealt = hashed.withColumn("_rank", F.row_number().over(within))
+    within = Window.partitionBy("cell").orderBy("first", "row")
+    dealt = hashed.withColumn("rank", F.row_number().over(within))
     # At most ``cells`` rows of ``shards`` numbers.
-    dealt = dealt.join(F.broadcast(bounds), "_cell")
-    shard = F.size(F.filter("_bounds", lambda b: b < F.col("_rank")))
-    second = _hash(seed + 2, values)
+    dealt = dealt.join(F.broadcast(bounds), "cell")
+    shard = F.size(F.filter("bounds", lambda b: b < F.col("rank")))
+    second = _hash(seed + 2, F.col("row"))
     # The hash's highest bits name its bucket: buckets are ranges of the hash, in order.
     bucket = F.shiftrightunsigned(second, 64 - int(np.log2(BUCKETS)))
-    dealt = dealt.select(*values, shard.alias("shard"), second.alias("_second"), bucket.alias("_bucket"))
-    counted = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.select("row", shard.alias("shard"), second.alias("second"), bucket.alias("bucket"))
+    counted = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     # At most ``shards`` times BUCKETS rows.
-    before = dealt.groupBy("shard", "_bucket").count()
-    before = before.select("shard", "_bucket", F.coalesce(F.sum("count").over(counted), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("shard", "_bucket").orderBy("_second", *values)
-    numbered = dealt.withColumn("_place", F.row_number().over(inside))
-    numbered = numbered.join(F.broadcast(before), ["shard", "_bucket"])
-    return numbered.select(*values, "shard", (F.col("_before") + F.col("_place") - 1).cast("long").alias("slot"))
+    before = dealt.groupBy("shard", "bucket").count()
+    before = before.select("shard", "bucket", F.coalesce(F.sum("count").over(counted), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("shard", "bucket").orderBy("second", "row")
+    numbered = dealt.withColumn("place", F.row_number().over(inside))
+    numbered = numbered.join(F.broadcast(before), ["shard", "bucket"])
+    return numbered.select("row.*", "shard", (F.col("before") + F.col("place") - 1).cast("long").alias("slot"))
