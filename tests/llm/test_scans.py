@@ -1,0 +1,99 @@
+from __future__ import annotations
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from spanloom.llm import licenses, secrets, toxicity
+
+
+@pytest.fixture(scope="module")
+def labelled(spark):
+    """Made-up prose; documents with an insult, some of them disguised, are toxic."""
+    rng = random.Random(11)
+    parts = ["ta", "re", "mon", "sil", "vo", "ku", "ing", "an", "er"]
+    rows = []
+    for i in range(400):
+        words = ["".join(rng.choices(parts, k=rng.randrange(1, 4))) for _ in range(60)]
+        toxic = i % 5 == 0
+        if toxic:
+            words[rng.randrange(60)] = ["stupid", "idiot", "moron"][i // 5 % 3]
+        rows.append((i, " ".join(words), int(toxic)))
+    return spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+
+
+@pytest.fixture(scope="module")
+def model(labelled):
+    return toxicity.fit(labelled.select("doc_id", "text"), labelled.select("doc_id", "toxic"))
+
+
+@pytest.mark.parametrize(
+    ("text", "toxic"),
+    [
+        ("you 1d10t there", 1), ("so $tup1d again", 1), ("what a m0r0n!!", 1), ("stuuuupid tare", 1), ("an iiddiioott", 1),
+        ("i.d.i.o.t", 1), ("tare s t u p i d", 1), ("MORON", 1), ("m-o-r-o-n", 1), ("tare ingan silvo", 0), ("", 0),
+        ("vo 12.05.2024 and 3 kuer 100%", 0), ("sil@mail3.example.com", 0), ("a b c d", 0), ("=====", 0), ("x" * 50_000, 0),
+    ],
+)
+def test_disguised_words_are_restored(spark, model, text, toxic):
+    row = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert (row.score >= 0.5) == bool(toxic), row
+
+
+def test_held_out_accuracy_and_every_row(labelled, model, odd_docs, no_docs, clashing):
+    found = toxicity.score(labelled, model).join(labelled, "doc_id")
+    assert found.where((F.col("score") >= 0.5) == (F.col("toxic") == 1)).count() == 400
+    scores = {(r.doc_id, r.score) for r in toxicity.score(odd_docs, model).collect()}
+    assert all(0 <= s <= 1 for _, s in scores)
+    assert toxicity.score(clashing, model).count() == clashing.count()
+    assert toxicity.score(no_docs, model).count() == 0
+
+
+def test_no_labels_no_verdict(odd_docs, spark):
+    none = toxicity.fit(odd_docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.score(odd_docs, none).where("score >= 0.5").count() == 0
+
+
+def test_curve_never_falls():
+    curve = toxicity.rising(np.array([5.0, 1.0, 2.0, 9.0]), np.array([10.0, 10.0, 10.0, 10.0]))
+    assert (np.diff(curve) >= 0).all() and np.isclose(curve.sum(), 1.7)
+
+
+def test_licences_in_any_spelling(spark, odd_docs, no_docs):
+    known = licenses.known_licenses(spark)
+    rows = [
+        (1, "LICENCED under the Apache Licence Version 2.0"),
+        (2, "prose\n\n  Copyright (c) 2020 Somebody\nReleased under the MIT license!\n\nmore"),
+        (3, "Permission to use, copy, modify, and/or distribute this software for any purpose with or without\n"
+            "fee is hereby granted, provided that the above copyright notice and this permission\nnotice appear in all copies."),
+        (4, "This is licensed under nothing"), (5, None), (6, ""), (7, "Copyright 2020 Me"),
+    ]
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()}
+    assert (found[1].whole_license, found[1].n_found) == ("Apache-2.0", 3)
+    assert (found[2].whole_license, found[2].licenses) == (None, ["MIT"])
+    assert (found[3].whole_license, found[3].licenses) == ("ISC", ["ISC"])
+    assert all(found[i].n_found == 0 and found[i].licenses == [] for i in (4, 5, 6, 7))
+    assert licenses.scan(odd_docs, known).count() == odd_docs.count()
+    assert licenses.scan(no_docs, known).count() == 0
+
+
+def test_forest_keeps_secrets_and_drops_the_rest(spark, odd_docs, no_docs):
+    rng = random.Random(8)
+    hexes = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    rows = []
+    for i in range(200):
+        key = "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=12)) + "7" + "QXZ"
+        text = [f'tare token = "{hexes(40)}" vo', f"re password={hexes(18)} sil", f"see {key} now",
+                f"mail ku.{i}@mail3.example.com ing", f"from 10.20.{i}.144 an", f"call 4929{rng.randrange(10**11, 10**12)} er"][i % 6]
+        rows.append((i, f"line\n{text}", "src1"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secrets.described(secrets.candidates(docs)).cache()
+    model = secrets.train(secrets.certain_labels(found.where("doc_id < 120")))
+    held = {r.doc_id: r.is_secret for r in secrets.judged(found.where("doc_id >= 120"), model).collect()}
+    assert all(held[i] == (i % 6 < 3) for i in range(120, 200))
+    assert secrets.candidates(no_docs).count() == 0
+    assert secrets.train(secrets.certain_labels(secrets.described(secrets.candidates(no_docs)))) is None
+    unjudged = secrets.judged(secrets.described(secrets.candidates(odd_docs)), None)
+    assert unjudged.where("NOT is_secret").count() == 0
