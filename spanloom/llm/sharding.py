@@ -41,14 +41,14 @@ def matrix(sizes: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """Hypergeometric; beyond numpy's range by halves, which keeps the law."""
+    """Hypergeometric: exact while fewer than 10**9 rows are left to deal, beyond that by its normal limit."""
     if not good or not n:
         return 0
     if not bad:
         return n
     if good + bad < 10**9:
         return int(rng.hypergeometric(good, bad, n))
-    # Binomial with the finite-population variance, rounded and held to what is possible: at this size the law's limit.
+    # Its mean and variance, rounded and held to what is possible. Shard sizes are exact all the same.
     p = good / (good + bad)
     spread = np.sqrt(n * p * (1 - p) * (good + bad - n) / max(good + bad - 1, 1))
     return int(min(max(round(rng.normal(n * p, spread)), n - bad, 0), good, n))
