@@ -29,14 +29,14 @@ from spanloom.functions.attributes import (
 )
 
 # A number as it is written when a key is built from it: no leading zeros.
-PLAIN_NUMBER = r"(0|[1-9]\d{0,8})"
+PLAIN_NUMBER = r"(0|[1-9]\d*)"
 ANY_NUMBER = r"(\d+)"
 
 TOOL_CALLS_TYPE = "array<struct<id: string, name: string, arguments: string>>"
 
 
 def _no_positions() -> Column:
-    return F.array().cast("array<int>")
+    return F.array().cast("array<bigint>")
 
 
 def _key_pattern(prefix: str, number: str, suffix: str) -> str:
@@ -55,22 +55,21 @@ def _own_entries(attrs: Column, semconv: str, openinference: str) -> Column:
 def _numbered_positions(entries: Column, prefix: str, suffix: str) -> Column:
     pattern = _key_pattern(prefix, ANY_NUMBER, suffix)
     matching = F.filter(entries, lambda e: e["key"].rlike(pattern))
-    return F.transform(matching, lambda e: F.regexp_extract(e["key"], pattern, 1).try_cast("int"))
+    return F.transform(matching, lambda e: F.regexp_extract(e["key"], pattern, 1).try_cast("bigint"))
 
 
 def _numbered_strings(entries: Column, prefix: str, suffix: str) -> Column:
-    """``MAP<INT, STRING>`` of the string values under ``<prefix><n><suffix>``."""
+    """``MAP<BIGINT, STRING>`` of the string values under ``<prefix><n><suffix>``."""
     pattern = _key_pattern(prefix, PLAIN_NUMBER, suffix)
     matching = F.filter(entries, lambda e: e["key"].rlike(pattern))
-    return F.map_from_entries(
-        F.transform(
-            matching,
-            lambda e: F.struct(
-                F.regexp_extract(e["key"], pattern, 1).cast("int"),
-                strict_string(e["value"]),
-            ),
-        )
+    numbered = F.transform(
+        matching,
+        lambda e: F.struct(
+            F.regexp_extract(e["key"], pattern, 1).try_cast("bigint").alias("number"),
+            strict_string(e["value"]).alias("value"),
+        ),
     )
+    return F.map_from_entries(F.filter(numbered, lambda e: e["number"].isNotNull()))
 
 
 def matching_events(events: Column, names: Sequence[str]) -> Column:
@@ -85,11 +84,11 @@ def nth_event_attributes(events: Column, names: Sequence[str], n: Column | int)
 
 def _ordinals(items: Column) -> Column:
     """``[0, 1, ...]``, one number per item."""
-    return F.transform(items, lambda _, i: i)
+    return F.transform(items, lambda _, i: i.cast("bigint"))
 
 
 def _native_position(native_text: Column) -> Column:
-    return F.when(native_text != "", F.array(F.lit(0))).otherwise(_no_positions())
+    return F.when(native_text != "", F.array(F.lit(0).cast("bigint"))).otherwise(_no_positions())
 
 
 def _sorted_union(*arrays: Column) -> Column:
@@ -151,7 +150,7 @@ def _event_texts(events: Column, names: Sequence[str], text_keys: Sequence[str])
 
 
 def _messages(side: Side, attrs: Column, events: Column, with_tool_calls: bool) -> Column:
-    fields_type = "struct<message: string, position: int, role: string>"
+    fields_type = "struct<message: string, position: bigint, role: string>"
     if with_tool_calls:
         fields_type = fields_type[:-1] + f", tool_calls: {TOOL_CALLS_TYPE}>"
 
@@ -168,18 +167,26 @@ def _messages(side: Side, attrs: Column, events: Column, with_tool_calls: bool)
             parsed["tools"] = F.map_from_entries(
                 F.filter(entries, lambda e: e["key"].contains(".tool_calls."))
             )
-        built = let(parsed, lambda known: F.transform(known["at"], lambda i: message(found, known, i)))
+
+        def each(known: Column) -> Column:
+            if not with_tool_calls:
+                return F.transform(known["at"], lambda i: message(found, known, i))
+            # Matched against the patterns once per span, not once per message.
+            paired = {"pairs": _tool_pairs(known["tools"])}
+            return let(paired, lambda p: F.transform(known["at"], lambda i: message(found, known, i, p["pairs"])))
+
+        built = let(parsed, each)
         # Most spans of a trace (tools, chains, storage) carry no messages.
         carries_any = (
             (F.size(entries) > 0) | (F.size(found["event_text"]) > 0) | (found["native_text"] != "")
         )
         return F.when(carries_any, built).otherwise(F.array().cast(f"array<{fields_type}>"))
 
-    def message(found: Column, known: Column, i: Column) -> Column:
+    def message(found: Column, known: Column, i: Column, pairs: Column | None = None) -> Column:
         text = F.coalesce(
             non_empty(known["semconv_text"][i]),
             non_empty(known["oi_text"][i]),
-            non_empty(F.get(found["event_text"], i)),
+            non_empty(F.get(found["event_text"], i.try_cast("int"))),
             F.when(i == 0, found["native_text"]),
             F.lit(""),
         )
@@ -190,7 +197,7 @@ def _messages(side: Side, attrs: Column, events: Column, with_tool_calls: bool)
         )
         fields = [text.alias("message"), i.alias("position"), role.alias("role")]
         if with_tool_calls:
-            fields.append(tool_calls(known["tools"], i).alias("tool_calls"))
+            fields.append(tool_calls(known["tools"], i, pairs).alias("tool_calls"))
         return F.struct(*fields)
 
     return let(side.bound(attrs, events), build)
@@ -214,29 +221,36 @@ def _tool_positions(keys: Column, prefix: str, middle: str, suffix: str) -> Colu
     return F.transform(
         F.filter(keys, lambda k: k.rlike(pattern)),
         lambda k: F.struct(
-            F.regexp_extract(k, pattern, 1).cast("int").alias("message"),
-            F.regexp_extract(k, pattern, 2).try_cast("int").alias("call"),
+            F.regexp_extract(k, pattern, 1).try_cast("bigint").alias("message"),
+            F.regexp_extract(k, pattern, 2).try_cast("bigint").alias("call"),
         ),
     )
 
 
-def tool_call_indices(attrs: Column, message: Column) -> Column:
-    """Sorted numbers of the tool calls that belong to one completion.
-
-    The patterns are the same for every message, so each is compiled once; the
-    message is picked by number afterwards.
-    """
+def _tool_pairs(attrs: Column) -> Column:
+    """All pairs (message number, tool-call number) of a span."""
     keys = F.map_keys(attrs)
-    pairs = F.concat(
+    return F.concat(
         _tool_positions(keys, K.SEMCONV_COMPLETION, ".tool_calls.", ".name"),
         _tool_positions(keys, K.OPENINFERENCE_OUTPUT, ".message.tool_calls.", ".tool_call.id"),
     )
+
+
+def _calls_of(pairs: Column, message: Column) -> Column:
     own = F.filter(pairs, lambda p: p["message"] == message)
     return _sorted_union(F.transform(own, lambda p: p["call"]))
 
 
-def tool_calls(attrs: Column, message: Column) -> Column:
-    """``ARRAY<STRUCT<id, name, arguments>>`` of one completion."""
+def tool_call_indices(attrs: Column, message: Column) -> Column:
+    """Sorted numbers of the tool calls that belong to one completion."""
+    return _calls_of(_tool_pairs(attrs), message)
+
+
+def tool_calls(attrs: Column, message: Column, pairs: Column | None = None) -> Column:
+    """``ARRAY<STRUCT<id, name, arguments>>`` of one completion.
+
+    ``pairs`` are :func:`_tool_pairs` of the span where they are known already.
+    """
 
     def field(call: Column, semconv: str, openinference: str) -> Column:
         n, c = message.cast("string"), call.cast("string")
@@ -250,7 +264,7 @@ def tool_calls(attrs: Column, message: Column) -> Column:
         )
 
     calls = F.transform(
-        tool_call_indices(attrs, message),
+        tool_call_indices(attrs, message) if pairs is None else _calls_of(pairs, message),
         lambda t: F.struct(
             field(t, ".id", "id").alias("id"),
             field(t, ".name", "function.name").alias("name"),

@@ -17,6 +17,7 @@ Client = Callable[[str, str, str, str], str]
 """``client(model_id, prompt, params, tool_config) -> response``"""
 
 REQUEST_COLUMNS = ("batch_id", "row_id", "model_id", "prompt", "params", "tool_config")
+ROW = ["batch_id", "row_id"]
 ANSWER_SCHEMA = "batch_id string, row_id string, response string, status string, error string"
 
 
@@ -63,7 +64,9 @@ def run_batches(
 ) -> DataFrame:
     """Answers to every pending, unanswered input, for ``llm_results``.
 
-    ``client`` is called once per row; an exception becomes a ``failed`` row.
+    ``client`` is called once per (batch_id, row_id), however often the input
+    was enqueued; an exception becomes a ``failed`` row. The requests are
+    shuffled once, for all steps on these keys.
     ``partitions`` is the number of tasks the calls are spread over (the
     session's shuffle partitions if not given). It is fixed, because the calls
     take long however few bytes there are. Write the answers before using them
@@ -71,8 +74,9 @@ def run_batches(
     """
     if partitions is None:
         partitions = int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    todo = unanswered_inputs(pending_inputs(inputs, batches), results).select(*REQUEST_COLUMNS)
-    spread = todo.repartition(partitions, "batch_id", "row_id")
+    pending = pending_inputs(inputs, batches).repartition(partitions, *ROW)
+    todo = limit_by(unanswered_inputs(pending, results), 1, ROW, _first_input(inputs))
+    spread = todo.select(*REQUEST_COLUMNS)
 
     def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -94,27 +98,26 @@ def _answer_row(client: Client, row) -> tuple[str, str, str, str, str]:
         return row.batch_id, row.row_id, "", "failed", f"{type(problem).__name__}: {problem}"
 
 
+def _first_input(inputs: DataFrame) -> list[Column]:
+    """Order in which repeated inputs are preferred: the earliest, else any fixed one."""
+    made = [F.asc("created_at")] if "created_at" in inputs.columns else []
+    return [*made, F.xxhash64("model_id", "prompt", "params", "tool_config")]
+
+
 def batch_progress(inputs: DataFrame, results: DataFrame) -> DataFrame:
     """Rows per batch: total, completed, failed.
 
-    A row answered more than once counts once, by its newest result. Each side
-    is counted before the join, which sees one row per batch.
+    Rows are told by (batch_id, row_id): an input enqueued twice counts once, a
+    row answered more than once counts once, by its newest result, and results
+    without an input do not count.
     """
-    current = limit_by(
-        results, 1, ["batch_id", "row_id"], [F.desc("created_at"), F.asc("status")]
-    )
-    counted = current.groupBy("batch_id").agg(
+    current = limit_by(results, 1, ROW, [F.desc("created_at"), F.asc("status")])
+    rows = inputs.select(*ROW).distinct().join(current.select(*ROW, "status"), ROW, "left")
+    return rows.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("total_rows"),
         F.count_if(F.col("status") == "complete").alias("completed_rows"),
         F.count_if(F.col("status") == "failed").alias("failed_rows"),
     )
-    totals = inputs.groupBy("batch_id").agg(F.count(F.lit(1)).alias("total_rows"))
-    zero = F.lit(0).cast("bigint")
-    return totals.join(counted, "batch_id", "left").select(
-        "batch_id",
-        "total_rows",
-        F.coalesce("completed_rows", zero).alias("completed_rows"),
-        F.coalesce("failed_rows", zero).alias("failed_rows"),
-    )
 
 
 def closing_events(
@@ -127,7 +130,7 @@ def closing_events(
     progress = batch_progress(
         in_pending_batches(inputs, batches), in_pending_batches(results, batches)
     )
-    done = progress.where(F.col("completed_rows") + F.col("failed_rows") >= F.col("total_rows"))
+    done = progress.where(F.col("completed_rows") + F.col("failed_rows") == F.col("total_rows"))
     return done.select(
         "batch_id",
         F.lit("complete").alias("status"),
@@ -141,7 +144,8 @@ def closing_events(
 def pending_events(inputs: DataFrame, at: Column | None = None) -> DataFrame:
     """The ``pending`` event each new batch starts with."""
     zero = F.lit(0).cast("bigint")
-    return inputs.groupBy("batch_id").agg(F.count(F.lit(1)).alias("total_rows")).select(
+    distinct = inputs.select(*ROW).distinct()
+    return distinct.groupBy("batch_id").agg(F.count(F.lit(1)).alias("total_rows")).select(
         "batch_id",
         F.lit("pending").alias("status"),
         "total_rows",

@@ -64,16 +64,27 @@ def enqueue(store: Store, batch_id: str, rows: DataFrame) -> None:
     """
     store.append(rows.withColumn("batch_id", F.lit(batch_id)), tables.LLM_INPUTS)
     # Counted from what was stored: running ``rows`` again could give others.
-    stored = store.read(tables.LLM_INPUTS).where(F.col("batch_id") == batch_id)
+    stored = store.read(tables.LLM_INPUTS).where(F.col("batch_id") == batch_id.lower())
     store.append(batch_queue.pending_events(stored), tables.LLM_BATCHES)
 
 
-def work(store: Store, client: batch_queue.Client, partitions: int | None = None) -> None:
-    """Answer everything that is pending, then close the finished batches."""
+def work(
+    store: Store, client: batch_queue.Client, partitions: int | None = None, wave_rows: int = 10_000
+) -> None:
+    """Answer everything that is pending, then close the finished batches.
+
+    The rows are answered in waves of about ``wave_rows``, each stored before
+    the next begins, so that a failure costs the answers of one wave only.
+    """
     inputs, batches = store.read(tables.LLM_INPUTS), store.read(tables.LLM_BATCHES)
-    answers = batch_queue.run_batches(
-        inputs, batches, store.read(tables.LLM_RESULTS), client, partitions
-    )
-    store.append(answers, tables.LLM_RESULTS)
+    pending = batch_queue.pending_inputs(inputs, batches)
+    todo = batch_queue.unanswered_inputs(pending, store.read(tables.LLM_RESULTS))
+    waves = max(1, -(-todo.select(*batch_queue.ROW).distinct().count() // wave_rows))
+    wave = F.pmod(F.xxhash64(*batch_queue.ROW), F.lit(waves))
+    for number in range(waves):
+        answers = batch_queue.run_batches(
+            inputs.where(wave == number), batches, store.read(tables.LLM_RESULTS), client, partitions
+        )
+        store.append(answers, tables.LLM_RESULTS)
     done = batch_queue.closing_events(inputs, batches, store.read(tables.LLM_RESULTS))
     store.append(done, tables.LLM_BATCHES)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import timestamps
 from spanloom.operators.filters import _epoch_ns
-from spanloom.sources.tables import TABLES, Store, Table
+from spanloom.sources.tables import PARTITION, TABLES, Store, Table
 
 DEFAULT_DAYS = 30
 QUEUE_DAYS = 30
@@ -32,7 +32,8 @@ def first_kept_day(days: int, as_of: dt.datetime, by_day: bool = False) -> dt.da
     of it may be unexpired; where it counts from the day, the whole day expires
     when it begins to be ``days`` old.
     """
-    day = (as_of - dt.timedelta(days=days)).date()
+    utc = as_of if as_of.tzinfo is None else as_of.astimezone(dt.timezone.utc)
+    day = (utc - dt.timedelta(days=days)).date()
     return day + dt.timedelta(days=1) if by_day else day
 
 
@@ -49,16 +50,17 @@ def apply_retention(
     """Remove what has expired; returns the partitions that were dropped.
 
     Whole partitions are dropped by name, without reading them. Where rows
-    expire one by one, the partition the cut-off falls into is rewritten
-    without its expired rows.
+    expire one by one, the day the cut-off falls into is rewritten without its
+    expired rows. Rows appended to that very day meanwhile would be lost; it is
+    ``days`` old, so nothing is, unless late rows carry old clocks.
     """
     kept_from = first_kept_day(ttl_days(table, days), as_of, table.expires_by_day)
-    oldest = str(kept_from) if table.partition == "date" else kept_from.strftime("%Y%m")
+    oldest = str(kept_from)
     dropped = [p for p in store.partitions(table) if p < oldest]
     for value in dropped:
         store.drop_partition(table, value)
     if not table.whole_partitions and oldest in store.partitions(table):
-        boundary = store.read(table).where(F.col(table.partition) == F.lit(oldest))
+        boundary = store.read(table).where(F.col(PARTITION) == F.lit(kept_from))
         kept = unexpired(boundary, table.clock_ns(), ttl_days(table, days), as_of)
         if kept.isEmpty():
             store.drop_partition(table, oldest)

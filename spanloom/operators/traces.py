@@ -81,23 +81,47 @@ def count_rows(df: DataFrame, condition: str | None = None) -> DataFrame:
     return kept.agg(F.count(F.lit(1)).alias("n"))
 
 
-def trace_time_series(spans: DataFrame, bucket_seconds: int, ns_col: str = "start_ns") -> DataFrame:
+SPINE_CHUNK = 100_000
+"""Buckets that one row of the spine stands for before it is expanded."""
+
+
+def trace_time_series(
+    spans: DataFrame,
+    bucket_seconds: int,
+    ns_col: str = "start_ns",
+    first_ns: int | None = None,
+    last_ns: int | None = None,
+) -> DataFrame:
     """Spans per time bucket from the first to the last one, empty ones as 0.
 
-    Spine and counts have one row per bucket: the spans themselves are counted
-    before any shuffle.
+    ``first_ns`` and ``last_ns`` (inclusive) bound the series, and the spans
+    counted, where they are given. The spans are read once and counted before
+    any shuffle; first and last come from the counts. The spine between them is
+    laid out in chunks that are expanded in parallel, however far apart they are.
     """
     width = bucket_seconds * timestamps.NS_PER_SECOND
+    if first_ns is not None:
+        spans = spans.where(F.col(ns_col) >= first_ns)
+    if last_ns is not None:
+        spans = spans.where(F.col(ns_col) <= last_ns)
     counts = (
-        spans.groupBy(timestamps.floor_div(F.col(ns_col), width).alias("bucket"))
+        spans.where(F.col(ns_col).isNotNull())
+        .groupBy(timestamps.floor_div(F.col(ns_col), width).alias("bucket"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    spine = spans.agg(
-        timestamps.floor_div(F.min(ns_col), width).alias("first"),
-        timestamps.floor_div(F.max(ns_col), width).alias("last"),
-    ).where(F.col("first").isNotNull()).select(
-        F.explode(F.sequence("first", "last")).alias("bucket")
-    )
+    ends = counts.agg(F.min("bucket").alias("first"), F.max("bucket").alias("last"))
+    given = {"first": first_ns, "last": last_ns}
+    ends = ends.withColumns(
+        {name: F.coalesce(F.lit(None if ns is None else ns // width).cast("bigint"), F.col(name)) for name, ns in given.items()}
+    ).where("first IS NOT NULL AND first <= last")
+    chunks = ends.select(
+        "first",
+        "last",
+        F.explode(F.sequence(timestamps.floor_div(F.col("first"), SPINE_CHUNK), timestamps.floor_div(F.col("last"), SPINE_CHUNK))).alias("chunk"),
+    ).repartition("chunk")
+    begin = F.greatest("first", F.col("chunk") * SPINE_CHUNK)
+    end = F.least("last", F.col("chunk") * SPINE_CHUNK + (SPINE_CHUNK - 1))
+    spine = chunks.select(F.explode(F.sequence(begin, end)).alias("bucket"))
     return spine.join(counts, "bucket", "left").select(
         (F.col("bucket") * width).alias("bucket_ns"),
         F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),

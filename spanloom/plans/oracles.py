@@ -183,6 +183,9 @@ FROM ev WHERE trace_id <> '' GROUP BY 1"""
 DEDUP_SPANS = f"""
 WITH {EVENTS} SELECT trace_id, span_id, start_ns, 1 AS delivery FROM ev"""
 
+STREAMED_DEDUP = f"""
+WITH {EVENTS} SELECT trace_id, span_id, start_ns AS timestamp_ns FROM ev"""
+
 TRACE_LOOKUP = f"""
 WITH {EVENTS}
 SELECT service_name, 'op ' || y AS span_name, trace_id FROM ev WHERE trace_id = printf('%032x', 20)"""
@@ -414,6 +417,14 @@ WITH {PROGRESS}
 SELECT batch_id, 'complete' AS status, total_rows, completed_rows, failed_rows
 FROM progress WHERE pending AND completed_rows + failed_rows >= total_rows"""
 
+_WORKED = f"({_ANSWERED} AND doc_id % 10 <> 7 OR NOT {_ANSWERED} AND length(text) % 10 <> 0)"
+
+WORKED_QUEUE = f"""
+SELECT {_BATCH} AS batch_id, 'complete' AS status, count(*) AS total_rows,
+       count(*) FILTER (WHERE NOT {_PENDING} OR {_WORKED}) AS completed_rows,
+       count(*) FILTER (WHERE {_PENDING} AND NOT {_WORKED}) AS failed_rows
+FROM documents GROUP BY 1"""
+
 PENDING_EVENTS = f"""
 SELECT {_BATCH} AS batch_id, 'pending' AS status, count(*) AS total_rows,
        0 AS completed_rows, 0 AS failed_rows FROM documents GROUP BY 1"""
@@ -429,11 +440,13 @@ ORACLES: dict[str, str] = {
     "otlp_spans": OTLP_SPANS,
     "streamed_spans": STREAMED_SPANS,
     "streamed_trace_bounds": TRACE_BOUNDS,
+    "streamed_dedup": STREAMED_DEDUP,
     "stored_turns": STORED_TURNS,
     "stored_raw_spans": STORED_RAW_SPANS,
     "stored_scores": UNEXPIRED_SCORES,
     "stored_clusters": CLUSTERS_JOINED,
     "stored_progress": BATCH_PROGRESS,
+    "worked_queue": WORKED_QUEUE,
     "turn_texts": TURN_TEXTS,
     "turn_numbers": TURN_NUMBERS,
     "conversation_rollup": CONVERSATION_ROLLUP,
@@ -464,6 +477,7 @@ ORACLES: dict[str, str] = {
     "unanswered_inputs": UNANSWERED_INPUTS,
     "batch_answers": BATCH_ANSWERS,
     "batch_progress": BATCH_PROGRESS,
+    "repeated_inputs_progress": BATCH_PROGRESS,
     "closed_batches": CLOSED_BATCHES,
     "pending_events": PENDING_EVENTS,
     "retained_spans": RETAINED_SPANS,

@@ -182,6 +182,7 @@ def _ingested(spark: SparkSession, sf_dir: str) -> Store:
     schema = samples.table(spark, sf_dir, "events").schema
     # A pattern, as the table may be one file or a folder of files.
     arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+    arriving = arriving.where(F.input_file_name().rlike(r"/events\.parquet(/|$)"))
     if samples.has_few_splits(samples.table(spark, sf_dir, "events")):
         arriving = arriving.repartition(spark.sparkContext.defaultParallelism, "event_id")
     ingest.start_ingest(
@@ -202,6 +203,20 @@ def streamed_trace_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.merge_trace_bounds(_ingested(spark, sf_dir).read(tables.TRACE_BOUNDS))
 
 
+def streamed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span delivered twice, in no order of time: each stays once, in the stream."""
+    _, place = _new_store(spark)
+    schema = samples.table(spark, sf_dir, "events").schema
+    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+    arriving = arriving.where(F.input_file_name().rlike(r"/events\.parquet(/|$)"))
+    twice = arriving.withColumn("delivery", F.explode(F.array(F.lit(0), F.lit(1)))).drop("delivery")
+    spans = ingest.dedup_redeliveries(samples.spans_from_events(twice), "1 minute")
+    writer = spans.select("trace_id", "span_id", "timestamp_ns").writeStream.format("parquet")
+    writer = writer.option("path", f"{place}-spans").option("checkpointLocation", place)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{place}-spans")
+
+
 def stored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same block delivered twice leaves each turn once."""
     store, _ = _new_store(spark)
@@ -250,6 +265,21 @@ def stored_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.progress(store)
 
 
+def worked_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A queue with repeated inputs, answers to nothing and ids in either case, worked off in waves."""
+    store, _ = _new_store(spark)
+    inputs, results = samples.queue_inputs(spark, sf_dir), samples.queue_results(spark, sf_dir)
+    sinks.append_llm_inputs(store, inputs)
+    sinks.append_llm_inputs(store, inputs.where(F.length("prompt") % 3 == 0))
+    sinks.append_llm_batches(store, samples.queue_batches(spark, sf_dir))
+    sinks.append_llm_results(store, results.withColumns({c: F.upper(c) for c in batch_queue.ROW}))
+    foreign = F.concat(F.lit("f"), F.substring("row_id", 2, 35))
+    sinks.append_llm_results(store, results.withColumn("row_id", foreign))
+    todo = inputs.count()
+    reads.work(store, digest_client, wave_rows=max(1, todo // 8))
+    return latest.latest_batches(store.read(tables.LLM_BATCHES)).drop("created_at", tables.PARTITION)
+
+
 # --- turns and conversations ---------------------------------------------------
 
 
@@ -485,6 +515,16 @@ def batch_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_inputs_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progress where a third of the inputs is enqueued twice and answers without an input lie about."""
+    inputs, results = _inputs(spark, sf_dir), samples.queue_results(spark, sf_dir)
+    foreign = F.concat(F.lit("f"), F.substring("row_id", 2, 35))
+    return batch_queue.batch_progress(
+        inputs.unionByName(inputs.where(F.length("prompt") % 3 == 0)),
+        results.unionByName(results.withColumn("row_id", foreign)),
+    )
+
+
 def closed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch_queue.closing_events(
         _inputs(spark, sf_dir),
@@ -525,11 +565,13 @@ QUERIES: dict[str, Query] = {
         otlp_spans,
         streamed_spans,
         streamed_trace_bounds,
+        streamed_dedup,
         stored_turns,
         stored_raw_spans,
         stored_scores,
         stored_clusters,
         stored_progress,
+        worked_queue,
         turn_texts,
         turn_numbers,
         conversation_rollup,
@@ -560,6 +602,7 @@ QUERIES: dict[str, Query] = {
         unanswered_inputs,
         batch_answers,
         batch_progress,
+        repeated_inputs_progress,
         closed_batches,
         pending_events,
         retained_spans,

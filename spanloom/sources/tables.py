@@ -1,6 +1,7 @@
 """The stored tables: schema, layout, defaults, and the one way to append.
 
-Plain Parquet tables, partitioned by day or month. Appends rebalance rows by
+Plain Parquet tables, partitioned by day: what expires row by row is rewritten
+a day at a time, and never the day still appended to. Appends rebalance rows by
 partition value (so a day that holds most of a load is split over many tasks
 and a small one gets one file) and sort inside each file by the columns reads
 filter on, which makes Parquet's min/max statistics selective.
@@ -20,11 +21,13 @@ from spanloom.session import shared_dir
 ATTRS = "MAP<STRING, VARIANT>"
 EVENTS = f"ARRAY<STRUCT<timestamp_ns: BIGINT, name: STRING, attributes: {ATTRS}>>"
 LINKS = f"ARRAY<STRUCT<trace_id: STRING, span_id: STRING, trace_state: STRING, attributes: {ATTRS}>>"
-PROMPTS = "ARRAY<STRUCT<message: STRING, position: INT, role: STRING>>"
+PROMPTS = "ARRAY<STRUCT<message: STRING, position: BIGINT, role: STRING>>"
 TOOL_CALLS = "ARRAY<STRUCT<id: STRING, name: STRING, arguments: STRING>>"
 COMPLETIONS = (
-    f"ARRAY<STRUCT<message: STRING, position: INT, role: STRING, tool_calls: {TOOL_CALLS}>>"
+    f"ARRAY<STRUCT<message: STRING, position: BIGINT, role: STRING, tool_calls: {TOOL_CALLS}>>"
 )
+PARTITION = "date"
+"""Every table's partition column: the day of its clock."""
 UUID_PATTERN = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 
 
@@ -34,13 +37,13 @@ class Table:
     columns: dict[str, str]
     clock: str
     """Column that says when a row was made: BIGINT ns or TIMESTAMP."""
-    partition: str
-    """``date`` or ``month``, derived from the clock."""
     order: tuple[str, ...]
     bloom: tuple[str, ...] = ()
     defaults: dict[str, Column | str | int] = field(default_factory=dict)
     allowed: dict[str, tuple[str, ...]] = field(default_factory=dict)
     uuids: tuple[str, ...] = ()
+    uint32: tuple[str, ...] = ()
+    """Columns that hold 0 to 2^32 - 1."""
     whole_partitions: bool = False
     """Expired rows leave with their whole day, not one by one."""
     expires_by_day: bool = False
@@ -52,11 +55,9 @@ class Table:
         return column if self.columns[self.clock] == "BIGINT" else timestamps.from_timestamp(column)
 
     def partition_value(self) -> Column:
-        day = timestamps.to_date(self.clock_ns())
-        return day if self.partition == "date" else F.date_format(day, "yyyyMM").cast("int")
+        return timestamps.to_date(self.clock_ns())
 
     def ddl(self, database: str) -> str:
-        kind = "DATE" if self.partition == "date" else "INT"
         columns = ", ".join(f"`{n}` {t}" for n, t in self.columns.items())
         # Adaptive: sized by the ids in the file, not 1 MB per column and file,
         # which would outweigh the data of small micro-batches.
@@ -66,8 +67,8 @@ class Table:
         option_list = ", ".join(f"'{k}'='{v}'" for k, v in options.items())
         return (
             f"CREATE TABLE IF NOT EXISTS `{database}`.`{self.name}` "
-            f"({columns}, `{self.partition}` {kind}) USING parquet "
-            f"OPTIONS ({option_list}) PARTITIONED BY (`{self.partition}`)"
+            f"({columns}, `{PARTITION}` DATE) USING parquet "
+            f"OPTIONS ({option_list}) PARTITIONED BY (`{PARTITION}`)"
         )
 
 
@@ -95,7 +96,6 @@ RAW_SPANS = Table(
         "links": LINKS,
     },
     clock="timestamp_ns",
-    partition="date",
     order=("service_name", "span_name", "timestamp_ns"),
     bloom=("trace_id",),
     whole_partitions=True,
@@ -106,7 +106,6 @@ TRACE_BOUNDS = Table(
     name="trace_bounds",
     columns={"trace_id": "STRING", "first_start_ns": "BIGINT", "last_start_ns": "BIGINT"},
     clock="first_start_ns",
-    partition="date",
     order=("trace_id", "first_start_ns"),
     bloom=("trace_id",),
     whole_partitions=True,
@@ -152,7 +151,6 @@ SPANS_NORMALIZED = Table(
         "_ingest_id": "BIGINT",
     },
     clock="start_ns",
-    partition="date",
     order=("service_name", "start_ns", "trace_id", "span_id"),
     bloom=("trace_id", "span_id", "conversation_id"),
     whole_partitions=True,
@@ -177,7 +175,6 @@ TURNS = Table(
         "_ingest_id": "BIGINT",
     },
     clock="turn_ns",
-    partition="date",
     order=("service_name", "turn_ns", "conversation_id", "trace_id"),
     bloom=("conversation_id",),
     whole_partitions=True,
@@ -195,7 +192,6 @@ LLM_INPUTS = Table(
         "created_at": "TIMESTAMP",
     },
     clock="created_at",
-    partition="month",
     order=("batch_id", "row_id"),
     defaults={"params": "{}", "tool_config": "", "created_at": F.current_timestamp},
     uuids=("batch_id", "row_id"),
@@ -213,7 +209,6 @@ LLM_RESULTS = Table(
         "created_at": "TIMESTAMP",
     },
     clock="created_at",
-    partition="month",
     order=("batch_id", "row_id"),
     defaults={"error": "", "created_at": F.current_timestamp},
     allowed={"status": ("complete", "failed")},
@@ -232,7 +227,6 @@ LLM_BATCHES = Table(
         "created_at": "TIMESTAMP",
     },
     clock="created_at",
-    partition="month",
     order=("batch_id", "created_at"),
     defaults={
         "total_rows": 0,
@@ -242,6 +236,7 @@ LLM_BATCHES = Table(
     },
     allowed={"status": ("pending", "complete")},
     uuids=("batch_id",),
+    uint32=("total_rows", "completed_rows", "failed_rows"),
     follows_retention_setting=False,
 )
 
@@ -258,7 +253,6 @@ EVAL_SCORES = Table(
         "scored_at": "TIMESTAMP",
     },
     clock="scored_at",
-    partition="month",
     order=("service_name", "conversation_id", "monitor_uuid", "eval_type"),
     uuids=("monitor_uuid", "batch_id"),
 )
@@ -277,9 +271,9 @@ CLUSTER_ASSIGNMENTS = Table(
         "classified_at": "TIMESTAMP",
     },
     clock="classified_at",
-    partition="month",
     order=("service_name", "conversation_id", "space_uuid"),
     uuids=("space_uuid", "batch_id"),
+    uint32=("taxonomy_version",),
 )
 
 TABLES = {
@@ -309,28 +303,28 @@ def with_defaults(df: DataFrame, table: Table) -> DataFrame:
 
 def _check(column: Column, valid: Column, what: str) -> Column:
     """The column itself; a row that breaks the rule fails the write."""
-    problem = F.concat(F.lit(what + ": "), F.coalesce(column, F.lit("NULL")))
-    return F.when(F.coalesce(valid, F.lit(False)), column).otherwise(
-        F.raise_error(problem).cast("string")
-    )
+    problem = F.concat(F.lit(what + ": "), F.coalesce(column.cast("string"), F.lit("NULL")))
+    return F.when(F.coalesce(valid, F.lit(False)), column).otherwise(F.raise_error(problem))
 
 
 def checked(df: DataFrame, table: Table) -> DataFrame:
-    """Enforce the allowed values and the UUID form."""
+    """Enforce the allowed values, the UUID form and the number range.
+
+    UUIDs compare by value: they are stored in lower case.
+    """
     checks = {
         name: _check(F.col(name), F.col(name).isin(*values), f"{table.name}.{name} not allowed")
         for name, values in table.allowed.items()
     } | {
-        name: _check(F.col(name), F.col(name).rlike(UUID_PATTERN), f"{table.name}.{name} not a UUID")
+        name: F.lower(_check(F.col(name), F.col(name).rlike(UUID_PATTERN), f"{table.name}.{name} not a UUID"))
         for name in table.uuids
+    } | {
+        name: _check(F.col(name), F.col(name).between(0, 2**32 - 1), f"{table.name}.{name} out of range")
+        for name in table.uint32
     }
     return df.withColumns(checks) if checks else df
 
 
-def _literal(table: Table, partition: str) -> str:
-    return f"DATE'{partition}'" if table.partition == "date" else partition
-
-
 class Store:
     """The tables of one database."""
 
@@ -364,25 +358,27 @@ class Store:
         on files it deletes.
         """
         staging = f"{shared_dir(self.spark)}/spanloom/staging/{uuid.uuid4().hex}"
-        df.select(*table.columns).write.parquet(staging)
-        rows = self.laid_out(self.spark.read.parquet(staging), table).drop(table.partition)
-        self.spark.sql(
-            f"INSERT OVERWRITE TABLE {self.table_name(table)} "
-            f"PARTITION (`{table.partition}` = {_literal(table, value)}) SELECT * FROM {{rows}}",
-            rows=rows,
-        )
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(staging)
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        try:
+            df.select(*table.columns).write.parquet(staging)
+            rows = self.laid_out(self.spark.read.parquet(staging), table).drop(PARTITION)
+            self.spark.sql(
+                f"INSERT OVERWRITE TABLE {self.table_name(table)} "
+                f"PARTITION (`{PARTITION}` = DATE'{value}') SELECT * FROM {{rows}}",
+                rows=rows,
+            )
+        finally:
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(staging)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
     def laid_out(self, df: DataFrame, table: Table) -> DataFrame:
         rows = checked(with_defaults(df, table), table)
         selected = rows.select(
             *(F.col(n).cast(t).alias(n) if "VARIANT" not in t else F.col(n)
               for n, t in table.columns.items()),
-            table.partition_value().alias(table.partition),
+            table.partition_value().alias(PARTITION),
         )
-        return selected.hint("rebalance", table.partition).sortWithinPartitions(
-            table.partition, *table.order
+        return selected.hint("rebalance", PARTITION).sortWithinPartitions(
+            PARTITION, *table.order
         )
 
     def partitions(self, table: Table) -> list[str]:
@@ -392,5 +388,5 @@ class Store:
     def drop_partition(self, table: Table, value: str) -> None:
         self.spark.sql(
             f"ALTER TABLE {self.table_name(table)} "
-            f"DROP IF EXISTS PARTITION (`{table.partition}` = {_literal(table, value)})"
+            f"DROP IF EXISTS PARTITION (`{PARTITION}` = DATE'{value}')"
         )

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from spanloom.functions import timestamps
 from spanloom.operators.normalize import normalize_spans
 from spanloom.operators.traces import trace_bounds
 from spanloom.operators.turns import to_turns
@@ -55,13 +56,18 @@ def start_ingest(
 
 
 def dedup_redeliveries(stream: DataFrame, window: str = "30 minutes") -> DataFrame:
-    """Drop exact re-deliveries of a span that arrive within ``window``.
+    """Drop exact re-deliveries of a span that arrive within ``window`` of the first.
 
-    Keeps the first copy; use it only where copies are identical.
+    The watermark follows arrival, not the span's own time: a span that began
+    long before others, or is exported late, is no repeat and stays, and the
+    window only bounds how long a span is remembered. Keeps the first copy; use
+    it only where copies are identical. As on read, a span is known by service,
+    minute, trace and span id.
     """
     return (
-        stream.withColumn("_event_time", F.timestamp_micros(F.expr("timestamp_ns div 1000")))
-        .withWatermark("_event_time", window)
-        .dropDuplicatesWithinWatermark(["service_name", "trace_id", "span_id"])
-        .drop("_event_time")
+        stream.withColumn("_arrived", F.current_timestamp())
+        .withColumn("_minute", timestamps.to_minute(F.col("timestamp_ns")))
+        .withWatermark("_arrived", window)
+        .dropDuplicatesWithinWatermark(["service_name", "_minute", "trace_id", "span_id"])
+        .drop("_arrived", "_minute")
     )

@@ -117,9 +117,9 @@ def test_leading_zeros_name_a_position_but_not_its_text(extract):
     attrs = {
         "gen_ai.prompt.00.role": "system", "gen_ai.prompt.00.content": "x",
         "gen_ai.prompt.0.role": "user",
-        "gen_ai.prompt.99999999999.role": "beyond any position",
+        "gen_ai.prompt.99999999999.role": "far", "gen_ai.prompt.99999999999.content": "kept",
     }
-    assert extract(attrs)[0] == [(0, "user", "")]
+    assert extract(attrs)[0] == [(0, "user", ""), (99999999999, "far", "kept")]
 
 
 def test_indices_are_sorted_and_distinct(make_raw):

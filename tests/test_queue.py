@@ -95,3 +95,50 @@ def test_progress_counts_each_row_once(spark):
     )
     got = {r.batch_id: tuple(r)[1:] for r in batch_queue.batch_progress(inputs, results).collect()}
     assert got == {"b": (2, 1, 1), "c": (1, 0, 0)}
+
+
+def test_repeated_inputs_and_foreign_results_close_no_batch(spark):
+    """An input enqueued twice counts once; an answer to nothing answers nothing."""
+    inputs = spark.createDataFrame([("b", "1"), ("b", "1"), ("b", "2"), ("c", "1"), ("c", "1")], "batch_id string, row_id string")
+    results = spark.createDataFrame(
+        [("b", "1", "complete", 1), ("b", "x", "complete", 1), ("b", "y", "failed", 1), ("c", "1", "complete", 1)],
+        "batch_id string, row_id string, status string, created_at int",
+    )
+    batches = spark.createDataFrame(
+        [("b", "pending", 2, 0, 0), ("c", "pending", 1, 0, 0)],
+        "batch_id string, status string, total_rows bigint, completed_rows bigint, failed_rows bigint",
+    ).withColumn("created_at", F.timestamp_seconds(F.lit(0)))
+    closed = batch_queue.closing_events(inputs, batches, results).collect()
+    assert [(r.batch_id, r.total_rows, r.completed_rows) for r in closed] == [("c", 1, 1)]
+    counted = {r.batch_id: r.total_rows for r in batch_queue.pending_events(inputs).collect()}
+    assert counted == {"b": 2, "c": 1}
+
+
+def test_a_failing_wave_keeps_earlier_answers(spark, store):
+    ids = [f"{i:08x}-0000-0000-0000-000000000000" for i in range(12)]
+    rows = spark.createDataFrame([(i, "m", "p") for i in ids], "row_id string, model_id string, prompt string")
+    reads.enqueue(store, ids[0].replace("0-", "A-"), rows)
+    waves = []
+
+    class Broken(BaseException):
+        pass
+
+    append = store.append
+
+    def failing(df, table):
+        if table is tables.LLM_RESULTS:
+            waves.append(1)
+            if len(waves) == 3:
+                raise Broken
+        append(df, table)
+
+    store.append = failing
+    try:
+        reads.work(store, client, 2, wave_rows=3)
+    except Broken:
+        pass
+    assert 0 < store.read(tables.LLM_RESULTS).count() < 12
+    store.append = append
+    reads.work(store, client, 2, wave_rows=3)
+    assert store.read(tables.LLM_RESULTS).count() == 12
+    assert store.read(tables.LLM_BATCHES).where("status = 'complete' AND completed_rows + failed_rows = 12").count() == 1

@@ -86,6 +86,24 @@ def test_redeliveries_are_dropped_in_the_stream(spark, tmp_path):
     assert sorted(r.span_id for r in spark.table("deduplicated").collect()) == ["0", "1", "2"]
 
 
+def test_spans_that_began_early_are_no_repeats(spark, tmp_path):
+    """The second file holds a span that began hours before the first file's, and a repeat."""
+    source = tmp_path / "in"
+    source.mkdir()
+    one, two, three = _documents(3)
+    early = three.replace('"startTimeUnixNano": "17', '"startTimeUnixNano": "16').replace('"startTimeUnixNano":"17', '"startTimeUnixNano":"16')
+    assert early != three
+    (source / "0.json").write_text("\n".join([one, two]))
+    (source / "1.json").write_text("\n".join([early, one]))
+    stream = ingest.dedup_redeliveries(otlp.stream_spans(spark, str(source), 1), "1 minute")
+    query = (
+        stream.select("span_id").writeStream.format("memory").queryName("early")
+        .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert sorted(r.span_id for r in spark.table("early").collect()) == ["0", "1", "2"]
+
+
 def test_turn_derivation_needs_no_shuffle(spark, make_raw):
     from spanloom.operators.normalize import normalize_spans
     from spanloom.operators.turns import to_turns

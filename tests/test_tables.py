@@ -88,17 +88,50 @@ def test_rows_expire_one_by_one(store):
     store.append(_scores(store.spark, *times), tables.EVAL_SCORES)
     as_of = dt.datetime(2024, 2, 2, 12)
     dropped = retention.apply_retention_everywhere(store, as_of)
-    assert dropped["conversation_eval_scores"] == ["202312"]
+    assert dropped["conversation_eval_scores"] == ["2023-12-05", "2024-01-02"]
     assert sorted(r.scored_at for r in store.read(tables.EVAL_SCORES).collect()) == times[2:]
 
 
+def test_the_days_kept_do_not_depend_on_the_time_zone():
+    east = dt.datetime(2024, 2, 10, 3, tzinfo=dt.timezone(dt.timedelta(hours=5)))
+    assert retention.first_kept_day(30, east) == retention.first_kept_day(30, east.astimezone(dt.timezone.utc))
+    assert retention.first_kept_day(30, east) == dt.date(2024, 1, 10)
+
+
+def test_only_the_cut_off_day_is_rewritten(store, monkeypatch):
+    """On the 31st too, rows of the current month stay where they are."""
+    times = [dt.datetime(2024, 1, 1, 1), dt.datetime(2024, 1, 1, 23), dt.datetime(2024, 1, 31, 11)]
+    store.append(_scores(store.spark, *times), tables.EVAL_SCORES)
+    rewritten = []
+    replace = store.replace_partition
+    monkeypatch.setattr(store, "replace_partition", lambda df, t, day: (rewritten.append(day), replace(df, t, day)))
+    retention.apply_retention(store, tables.EVAL_SCORES, dt.datetime(2024, 1, 31, 12))
+    assert rewritten == ["2024-01-01"]
+    assert sorted(r.scored_at for r in store.read(tables.EVAL_SCORES).collect()) == times[1:]
+
+
+def test_ids_compare_by_value_and_counts_are_checked(store):
+    rows = store.spark.createDataFrame([(B1.upper(), 1)], "batch_id string, total_rows bigint")
+    rows = rows.withColumn("status", F.lit("pending"))
+    store.append(rows, tables.LLM_BATCHES)
+    assert store.read(tables.LLM_BATCHES).first().batch_id == B1.lower()
+    with pytest.raises(Exception, match="out of range"):
+        store.append(rows.withColumn("total_rows", F.lit(2**32)), tables.LLM_BATCHES)
+
+
 def test_queue_tables_ignore_the_setting(store):
+    old, new = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 20)
+    rows = store.spark.createDataFrame([(B1, B1, "m", "p", t) for t in (old, new)],
+                                       "batch_id string, row_id string, model_id string, prompt string, created_at timestamp")
+    store.append(rows, tables.LLM_INPUTS)
+    retention.apply_retention(store, tables.LLM_INPUTS, dt.datetime(2024, 2, 5), days=7)
+    assert [r.created_at for r in store.read(tables.LLM_INPUTS).collect()] == [new]
     assert retention.ttl_days(tables.LLM_INPUTS, 7) == 30
     assert retention.ttl_days(tables.EVAL_SCORES, 7) == 7
 
 
-def test_boundary_month_without_any_row_left_is_dropped(store):
-    store.append(_scores(store.spark, dt.datetime(2024, 1, 2)), tables.EVAL_SCORES)
+def test_boundary_day_without_any_row_left_is_dropped(store):
+    store.append(_scores(store.spark, dt.datetime(2024, 1, 11)), tables.EVAL_SCORES)
     retention.apply_retention(store, tables.EVAL_SCORES, dt.datetime(2024, 2, 10))
     assert store.partitions(tables.EVAL_SCORES) == []
     assert store.read(tables.EVAL_SCORES).count() == 0

@@ -43,6 +43,15 @@ def test_series_fills_gaps(make_raw):
     assert traces.trace_time_series(raw.where("false"), 10, "timestamp_ns").count() == 0
 
 
+def test_series_over_decades_is_not_one_array(make_raw):
+    raw = make_raw({"start": 0}, {"start": 1_704_067_200 * SECOND})
+    series = traces.trace_time_series(raw, 60, "timestamp_ns")
+    assert series.count() == 1_704_067_200 // 60 + 1
+    assert series.where("n > 0").count() == 2
+    bounded = traces.trace_time_series(raw, 60, "timestamp_ns", 60 * SECOND, 180 * SECOND)
+    assert sorted((r.bucket_ns // SECOND, r.n) for r in bounded.collect()) == [(60, 0), (120, 0), (180, 0)]
+
+
 def test_samples_keep_whole_traces_and_are_repeatable(spark):
     df = spark.range(3000).select((F.col("id") % 600).cast("string").alias("trace_id"), "id")
     sampled = filters.sample_traces(df, 0.3)
