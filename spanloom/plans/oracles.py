@@ -167,6 +167,11 @@ SELECT service_name, printf('%032x', e // 5) AS trace_id, span_id, y AS span_nam
        '["' || y || '",' || k || ']' AS tags, 's-' || e AS session_id
 FROM ev"""
 
+OTLP_REJECTS = f"""
+WITH {EVENTS}
+SELECT span_id, CASE e % 7 WHEN 0 THEN 'malformed document' WHEN 1 THEN 'no start time' ELSE 'kept' END AS fate
+FROM ev"""
+
 STREAMED_SPANS = f"""
 WITH {EVENTS}
 SELECT service_name, trace_id, span_id, start_ns, start_ns + duration_ns AS end_ns,
@@ -438,6 +443,7 @@ ORACLES: dict[str, str] = {
     "completions_flat": COMPLETIONS_FLAT,
     "tool_calls_flat": TOOL_CALLS_FLAT,
     "otlp_spans": OTLP_SPANS,
+    "otlp_rejects": OTLP_REJECTS,
     "streamed_spans": STREAMED_SPANS,
     "streamed_trace_bounds": TRACE_BOUNDS,
     "streamed_dedup": STREAMED_DEDUP,

@@ -169,6 +169,19 @@ def otlp_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def otlp_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of documents of which some are cut off and some have a span without a start."""
+    documents = samples.otlp_documents(samples.spread(samples.table(spark, sf_dir, "events"), "event_id"))
+    identity = r'"spanId":"([0-9a-f]{16})"'
+    kind = F.conv(F.regexp_extract("value", identity, 1), 16, 10).cast("bigint") % 7
+    cut = F.expr("substr(value, 1, length(value) - 2)")
+    unstarted = F.regexp_replace("value", '"startTimeUnixNano":"[0-9]+"', '"startTimeUnixNano":"soon"')
+    damaged = documents.select(F.when(kind == 0, cut).when(kind == 1, unstarted).otherwise(F.col("value")).alias("value"))
+    kept = otlp.parse_documents(damaged).where("timestamp_ns > 0").select("span_id", F.lit("kept").alias("fate"))
+    lost = otlp.rejected(damaged).select(F.regexp_extract("text", identity, 1).alias("span_id"), F.col("reason").alias("fate"))
+    return kept.union(lost)
+
+
 def _new_store(spark: SparkSession) -> tuple[Store, str]:
     """A store of its own in the shared folder, and a place for checkpoints."""
     run = uuid.uuid4().hex
@@ -563,6 +576,7 @@ QUERIES: dict[str, Query] = {
         completions_flat,
         tool_calls_flat,
         otlp_spans,
+        otlp_rejects,
         streamed_spans,
         streamed_trace_bounds,
         streamed_dedup,
