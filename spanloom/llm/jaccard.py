@@ -331,7 +331,9 @@ def similar_links(docs: DataFrame, full: DataFrame, reps: DataFrame, n: int, abo
     rows = found.select("*", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("band"))
     rows = rows.withColumn("low", F.col("own") == F.col("band"))
     parts = F.ceil(F.greatest(F.count("*") / CHUNK_ROWS, F.sum("size") * 8 / CHUNK_BYTES))
-    chunks = rows.groupBy(*group).agg(parts.cast("int").alias("chunks"), F.count("*").alias("n")).where("n > 1")
+    # Only groups with a pair to compare: one of its nodes must be of the group's own band.
+    tallies = rows.groupBy(*group).agg(parts.cast("int").alias("chunks"), F.count("*").alias("n"), F.max("low").alias("low"))
+    chunks = tallies.where("n > 1 AND low")
     chunks = written(chunks.select(*group, "chunks"), "groups")
     placed = rows.join(chunks, group).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     placed = written(placed.select("node", *group, "size", "rank", "low", "chunks", "chunk"), "placed")
@@ -350,9 +352,11 @@ def similar_links(docs: DataFrame, full: DataFrame, reps: DataFrame, n: int, abo
     tallies = large.groupBy(*group, "group").agg(F.count("*").alias("n"))
     most = tallies.groupBy(*group).agg(F.max(F.struct("n", "group")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
     most = written(most.select(*group, F.col("most.group").alias("most")), "most")
-    open_rows = written(large.join(most, group), "open")
+    pairs = {"chunk": F.expr("chunk div 2").cast("int"), "chunks": F.expr("(chunks + 1) div 2").cast("int")}
+    open_rows = written(large.join(most, group).withColumns(pairs), "open")
     apart = open_rows.where("group <> most")
-    parts = F.ceil(F.greatest(F.count("*") / CHUNK_ROWS, F.sum("size") * 8 / CHUNK_BYTES)).cast("int")
+    # Two chunks at a time from here on, which halves how often a set is sent.
+    parts = F.ceil(F.greatest(F.count("*") / (2 * CHUNK_ROWS), F.sum("size") * 8 / (2 * CHUNK_BYTES))).cast("int")
     sides = written(apart.groupBy(*group).agg(parts.alias("sides")), "sides")
     side = F.pmod(F.xxhash64("node"), F.col("sides")).cast("int").alias("side")
     left = apart.join(sides, group).select("node", "group", *group, "low", side, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
