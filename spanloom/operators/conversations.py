@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import timestamps
+from spanloom.operators import latest
 
 CONVERSATION = ["service_name", "conversation_id"]
 
 
-def number_turns(turns: DataFrame, slice_seconds: int = 1) -> DataFrame:
+def number_turns(turns: DataFrame, slice_seconds: int = 60) -> DataFrame:
     """Add ``turn``: 1, 2, ... within a conversation by start, then trace id.
 
     One window per conversation would bring a very long conversation into one
@@ -20,6 +21,22 @@ def number_turns(turns: DataFrame, slice_seconds: int = 1) -> DataFrame:
     """
     slice_ns = slice_seconds * timestamps.NS_PER_SECOND
     sliced = turns.withColumn("_slice", timestamps.floor_div(F.col("turn_ns"), slice_ns))
+    return _numbered(sliced.repartition(*CONVERSATION, "_slice")).select(*turns.columns, "turn")
+
+
+def number_deliveries(turns: DataFrame) -> DataFrame:
+    """:func:`number_turns` of the turns without repeated deliveries.
+
+    A turn's repeats share its minute, so one distribution by conversation and
+    minute serves removing them, ranking, and counting; the turns move once.
+    """
+    sliced = turns.withColumn("_slice", timestamps.to_minute(F.col("turn_ns")))
+    kept = latest.dedup_turns(sliced.repartition(*CONVERSATION, "_slice"), "_slice")
+    return _numbered(kept).select(*turns.columns, "turn")
+
+
+def _numbered(sliced: DataFrame) -> DataFrame:
+    """Turns that carry ``_slice`` and are distributed by conversation and slice."""
     inside = Window.partitionBy(*CONVERSATION, "_slice").orderBy("turn_ns", "trace_id")
     earlier = (
         Window.partitionBy(*CONVERSATION)
@@ -36,7 +53,7 @@ def number_turns(turns: DataFrame, slice_seconds: int = 1) -> DataFrame:
     return (
         sliced.withColumn("_rank", F.row_number().over(inside))
         .join(before, [*CONVERSATION, "_slice"])
-        .select(*turns.columns, (F.col("_rank") + F.col("_before")).cast("bigint").alias("turn"))
+        .withColumn("turn", (F.col("_rank") + F.col("_before")).cast("bigint"))
     )
 
 

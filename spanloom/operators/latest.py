@@ -71,11 +71,13 @@ def dedup_spans(spans: DataFrame) -> DataFrame:
     )
 
 
-def dedup_turns(turns: DataFrame) -> DataFrame:
+def dedup_turns(turns: DataFrame, minute: str | None = None) -> DataFrame:
+    """One row per turn; the last delivery wins. ``minute`` names a column that
+    holds the minute already."""
+    at = timestamps.to_minute(F.col("turn_ns")) if minute is None else F.col(minute)
     return limit_by(
         turns,
         1,
-        ["date", "service_name", timestamps.to_minute(F.col("turn_ns")), "conversation_id",
-         "trace_id"],
+        ["date", "service_name", at, "conversation_id", "trace_id"],
         [F.desc("_ingest_id"), F.desc("turn_ns")],
     )

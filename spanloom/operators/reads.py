@@ -25,7 +25,7 @@ def turns(store: Store) -> DataFrame:
 
 
 def numbered_turns(store: Store) -> DataFrame:
-    return conversations.number_turns(turns(store))
+    return conversations.number_deliveries(store.read(tables.TURNS))
 
 
 def conversation_summary(store: Store) -> DataFrame:

@@ -306,7 +306,7 @@ def turn_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turn_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversations.number_turns(latest.dedup_turns(_turns(spark, sf_dir))).select(
+    return conversations.number_deliveries(_turns(spark, sf_dir)).select(
         "service_name", "conversation_id", "trace_id", "turn"
     )
 

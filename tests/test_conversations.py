@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from spanloom.operators import annotations, conversations
 
 TURNS = (
@@ -54,3 +56,18 @@ def test_cluster_gate_keeps_the_raw_pick(spark):
     assert [(r.predicted_cluster_key, r.cluster_key) for r in got] == [
         ("a", "Uncategorized"), ("b", "b"), ("c", "c")
     ]
+
+
+def test_turns_move_once(spark):
+    rows = [("s", f"c{i % 3}" if i % 2 else "hot", f"t{i // 2}", i * 20_000_000_000, i % 2) for i in range(200)]
+    turns = spark.createDataFrame(rows, "service_name string, conversation_id string, trace_id string, turn_ns bigint, _ingest_id int")
+    turns = turns.withColumn("date", F.lit("d"))
+    repeated = turns.unionByName(turns.withColumn("_ingest_id", F.col("_ingest_id") + 5))
+    numbered = conversations.number_deliveries(repeated)
+    numbered.collect()
+    plan = numbered._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "Reused" not in line]
+    # The turns; their keys once more for counting; the counts by conversation and, small, back by slice.
+    assert len(shuffles) <= 4, plan
+    key = lambda r: (r.conversation_id, r.turn, r.trace_id)
+    assert sorted(map(key, numbered.collect())) == sorted(map(key, conversations.number_turns(turns).collect()))
