@@ -40,7 +40,8 @@ def _large(stars: DataFrame) -> DataFrame:
     both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     larger = both.where("v > u").join(least, "u")
-    return larger.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    # Repeats go in the small step, one shuffle later.
+    return larger.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small(stars: DataFrame) -> DataFrame:

@@ -50,6 +50,8 @@ SKETCH_BITS = 4096
 CHUNK_ROWS = 140
 CHUNK_BYTES = 8_000_000
 """A chunk holds about so many nodes and bytes of sets, or one larger set."""
+LATE = 4
+"""Chunks taken together in the second step, where each is sent to all others."""
 CENTRES = 8
 """Most connected nodes of a group that every chunk of it is compared with."""
 
@@ -352,11 +354,10 @@ def similar_links(docs: DataFrame, full: DataFrame, reps: DataFrame, n: int, abo
     tallies = large.groupBy(*group, "group").agg(F.count("*").alias("n"))
     most = tallies.groupBy(*group).agg(F.max(F.struct("n", "group")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
     most = written(most.select(*group, F.col("most.group").alias("most")), "most")
-    pairs = {"chunk": F.expr("chunk div 2").cast("int"), "chunks": F.expr("(chunks + 1) div 2").cast("int")}
-    open_rows = written(large.join(most, group).withColumns(pairs), "open")
+    joint = {"chunk": F.floor(F.col("chunk") / LATE).cast("int"), "chunks": F.ceil(F.col("chunks") / LATE).cast("int")}
+    open_rows = written(large.join(most, group).withColumns(joint), "open")
     apart = open_rows.where("group <> most")
-    # Two chunks at a time from here on, which halves how often a set is sent.
-    parts = F.ceil(F.greatest(F.count("*") / (2 * CHUNK_ROWS), F.sum("size") * 8 / (2 * CHUNK_BYTES))).cast("int")
+    parts = F.ceil(F.greatest(F.count("*") / (LATE * CHUNK_ROWS), F.sum("size") * 8 / (LATE * CHUNK_BYTES))).cast("int")
     sides = written(apart.groupBy(*group).agg(parts.alias("sides")), "sides")
     side = F.pmod(F.xxhash64("node"), F.col("sides")).cast("int").alias("side")
     left = apart.join(sides, group).select("node", "group", *group, "low", side, F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
