@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry_point
+from spanloom.plans.oracles import ORACLES
+from spanloom.plans.queries import QUERIES
 from tests.conftest import SF_DIR
 from tests.oracle import connect, difference
 
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
 # Nothing of these is left (or old enough) in the smallest tables.
 EMPTY_HERE = {"unexpired_scores", "stored_scores", "conversation_lookup"}
 
@@ -19,6 +20,7 @@ def duck():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLES) <= set(entry_point.oracle_sql())
 
 
 def test_entry(spark):
