@@ -19,8 +19,13 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import row_key
 
-CANDIDATE = r"[A-Za-z0-9+/=_.@-]{10,}"
+SIGN = "[A-Za-z0-9+/=_.@-]"
+"""What candidates consist of. Only they are consumed, so that neighbours stay whole; the text around is looked at."""
 NEAR = r"[A-Za-z_]{0,24}[\s\"'=:]{0,4}"
+_BMP = r"[\x{0}-\x{D7FF}\x{E000}-\x{FFFF}]"
+BEHIND = f"(?<=((?<!{_BMP}){_BMP}{{0,59}}|{_BMP}{{60}}))"
+"""Captures up to 60 characters before a place; those before a character of two code units are left out."""
+AHEAD = f"(?=((?!{SIGN})[^A-Za-z0-9+/=_.@-]{{0,2}}[A-Za-z]{{0,12}}))"
 KEYWORDS = "pass|pwd|secret|token|key|auth|cred|bearer"
 PLAIN_PATHS = "test|example|sample|doc|readme|fixture"
 WORDS = "mail|example|test|user|name|the|and|http|www|com|org|info|home|page|item|data|file"
@@ -43,10 +48,11 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
     lines = docs.select("doc_id", *row_key(), where.alias("path"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
     lines = lines.where(F.col("content").rlike("[0-9]"))
-    spot = F.regexp_extract_all("content", F.lit(f"({NEAR})({CANDIDATE})([^A-Za-z0-9+/=_.@-]{{0,2}}[A-Za-z]{{0,12}})"), F.lit(0))
-    spots = lines.select("doc_id", "path", "line", F.posexplode(spot).alias("nth", "spot"))
-    part = lambda i: F.regexp_extract("spot", f"^({NEAR})({CANDIDATE})(.*)$", i)
-    found = spots.select("doc_id", "path", "line", "nth", part(1).alias("before"), part(2).alias("candidate"), part(3).alias("after"))
+    group = lambda i: F.regexp_extract_all("content", F.lit(f"(?<!{SIGN})(?={SIGN}{{10}}){BEHIND}({SIGN}+){AHEAD}"), F.lit(i))
+    spots = F.arrays_zip(group(1).alias("behind"), group(2).alias("candidate"), group(3).alias("after"))
+    spots = lines.select("doc_id", "path", "line", F.posexplode(spots).alias("nth", "spot"))
+    before = F.regexp_extract("spot.behind", f"{NEAR}$", 0).alias("before")
+    found = spots.select("doc_id", "path", "line", "nth", before, "spot.candidate", "spot.after")
     return found.where(F.col("candidate").rlike("[0-9]"))
 
 
