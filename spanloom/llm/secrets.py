@@ -1,6 +1,6 @@
 """Secret scans whose false positives a random forest removes, in DataFrame functions only.
 
-Candidates are long tokens with a digit. Each is described by its length, how
+Candidates are long tokens, and whatever is given to a keyword. Each is described by its length, how
 often neighbouring characters change class, how much of it common words cover,
 the path it was found under and the words around it. A random forest trained on
 labelled findings (findings with a column ``label``) tells secrets from the rest.
@@ -27,6 +27,17 @@ BEHIND = f"(?<=((?<!{_BMP}){_BMP}{{0,59}}|{_BMP}{{60}}))"
 """Captures up to 60 characters before a place; those before a character of two code units are left out."""
 AHEAD = f"(?=((?!{SIGN})[^A-Za-z0-9+/=_.@-]{{0,2}}[A-Za-z]{{0,12}}))"
 KEYWORDS = "pass|pwd|secret|token|key|auth|cred|bearer"
+_NAME = "[A-Za-z0-9_.-]"
+_GIVEN = r"\\*[\"']?\s*[=:]+>?\s*"
+_NEXT = f"[&;,](?!{_NAME}*?(?:{KEYWORDS}){_NAME}*=)"
+KEYED = rf"(?i)(?<!{_NAME})(?={_NAME}*?(?:{KEYWORDS}))({_NAME}++\\*+[\"']?\s*+[=:]++>?\s*+)"
+ASSIGNED = (
+    rf"{KEYED}(?=(\\+\"[^\"\\]++|\\+'[^'\\]++|\"[^\"]++|'[^']++|(?=[^\s\"'])[^\s\"'&;,]*+(?:{_NEXT}[^\s\"'&;,]*+)*+){AHEAD[3:-1]})"
+)
+"""A name with a keyword and = or :, and the value up to the quote that ends it, or to a blank, a quote or the next
+such name. Values are looked at only, so that names inside of them are found too."""
+COVERED = [f"(?i)(?:{KEYWORDS}){_NAME}*{_GIVEN}(?:\\\\*[\"'])?$", f"(?i)^(?=[A-Za-z_.-]*?(?:{KEYWORDS}))[A-Za-z_.-]++=+[^=]"]
+"""Text before a token, or its own form, that tells that an assigned value holds it."""
 PLAIN_PATHS = "test|example|sample|doc|readme|fixture"
 WORDS = "mail|example|test|user|name|the|and|http|www|com|org|info|home|page|item|data|file"
 """Common words whose share of a token tells against chance characters."""
@@ -42,18 +53,35 @@ TREES, DEPTH = 20, 6
 def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """(doc_id, path, line, nth, before, candidate, after) for every candidate of every whole text.
 
-    Only lines with a digit can hold one, so only those are searched. ``line``
-    and ``nth`` count from 0. Null and empty texts have none; a null path is empty.
+    These are the runs of ten or more signs, then the values given to names
+    with a keyword, of any length and signs; runs that such a value holds from
+    its beginning are not listed twice. ``line`` and ``nth`` count from 0. Null
+    and empty texts have none; a null path is empty.
     """
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
     lines = docs.select("doc_id", *row_key(), where.alias("path"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    lines = lines.where(F.col("content").rlike("[0-9]"))
-    group = lambda i: F.regexp_extract_all("content", F.lit(f"(?<!{SIGN})(?={SIGN}{{10}}){BEHIND}({SIGN}+){AHEAD}"), F.lit(i))
-    spots = F.arrays_zip(group(1).alias("behind"), group(2).alias("candidate"), group(3).alias("after"))
-    spots = lines.select("doc_id", "path", "line", F.posexplode(spots).alias("nth", "spot"))
-    before = F.regexp_extract("spot.behind", f"{NEAR}$", 0).alias("before")
-    found = spots.select("doc_id", "path", "line", "nth", before, "spot.candidate", "spot.after")
-    return found.where(F.col("candidate").rlike("[0-9]"))
+    run = f"(?<!{SIGN})(?={SIGN}{{10}}){BEHIND}({SIGN}+){AHEAD}"
+    group = lambda pattern, i: F.regexp_extract_all("content", F.lit(pattern), F.lit(i))
+    names = ["behind", "token", "after"]
+    spots = lambda pattern: F.arrays_zip(*(group(pattern, i).alias(name) for i, name in enumerate(names, 1)))
+    none = F.array().cast("array<struct<behind:string,token:string,after:string>>")
+    runs = F.when(F.col("content").rlike(f"{SIGN}{{10}}"), spots(run)).otherwise(none)
+    given = F.when(F.col("content").rlike(KEYED), spots(ASSIGNED)).otherwise(none)
+    lines = lines.select("doc_id", "path", "line", runs.alias("runs"), given.alias("given"))
+    # Not posexplode, for which the patterns would be searched once more to leave out lines that have none.
+    spot = F.posexplode_outer(F.concat("runs", "given")).alias("nth", "spot")
+    found = lines.select("doc_id", "path", "line", F.size("runs").alias("n_runs"), spot).where("spot IS NOT NULL")
+    assigned, token = F.col("nth") >= F.col("n_runs"), F.col("spot.token")
+    covered = ~assigned & (F.col("spot.behind").rlike(COVERED[0]) | token.rlike(COVERED[1]))
+    found = found.where(~covered)
+    quote = F.when(assigned, F.regexp_extract(token, r"^\\*[\"']", 0)).otherwise("")
+    before = F.when(assigned, F.concat("spot.behind", quote)).otherwise(F.regexp_extract("spot.behind", f"{NEAR}$", 0))
+    found = found.select(
+        "doc_id", "path", "line", "nth", before.alias("before"),
+        F.substring(token, F.length(quote) + 1, F.length(token)).alias("candidate"),
+        "spot.after",
+    )
+    return found.where("candidate <> ''")
 
 
 def described(found: DataFrame) -> DataFrame:
@@ -88,14 +116,15 @@ def described(found: DataFrame) -> DataFrame:
 
 def certain_labels(found: DataFrame) -> DataFrame:
     """Findings whose form settles it, with ``label`` 1 (a known key format, a long hex value given to a keyword) or 0
-    (addresses, numbers, dates, host names, version numbers)."""
+    (addresses, numbers, dates, host names, version numbers, words)."""
     token, before = F.col("candidate"), F.lower("before")
-    named = before.rlike(f"({KEYWORDS})[a-z_]*[\\s\"'=:]+$") | F.lower(token).rlike(f"^({KEYWORDS})[a-z_]*=")
-    secret = token.rlike("^AKIA[0-9A-Z]{16}$") | (named & token.rlike("[0-9a-f]{16,}$"))
+    named = before.rlike(f"({KEYWORDS})[a-z0-9_.-]*[\\s\"'=:>\\\\]+$") | F.lower(token).rlike(f"^({KEYWORDS})[a-z_]*=")
+    secret = token.rlike("(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])") | (named & token.rlike("[0-9a-f]{16,}[,;.)]?$"))
     plain = (
         token.rlike(r"^[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+$")
         | token.rlike(r"^[+]?[0-9][0-9./-]*[0-9.]$")
         | token.rlike(r"^[A-Za-z]+(?:[._/-][A-Za-z0-9]+)+[.]?$") & ~named
+        | token.rlike(r"^[A-Za-z]?[a-z]+[.]?$") & ~named
     )
     label = F.when(secret & ~plain, 1.0).when(plain & ~secret, 0.0)
     return found.withColumn("label", label).where("label IS NOT NULL")
