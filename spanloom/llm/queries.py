@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import bpe, decontamination, jaccard, language, licenses, lines, secrets, sharding, topk, toxicity
-from spanloom.llm.common import id_remainder, table
+from spanloom.llm.common import id_remainder, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,7 +80,8 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates and which of them are secrets; a fifth of the documents is held out from learning."""
-    found = secrets.described(secrets.candidates(table(spark, sf_dir, "documents")))
+    # Learning reads them twice and judging once more.
+    found = written(secrets.described(secrets.candidates(table(spark, sf_dir, "documents"))), "candidates")
     model = secrets.train(secrets.certain_labels(found.where(id_remainder(5) != 0)))
     return secrets.judged(found, model).select(
         "doc_id",

@@ -22,28 +22,41 @@ from spanloom.llm.common import row_key
 SIGN = "[A-Za-z0-9+/=_.@-]"
 """What candidates consist of. Only they are consumed, so that neighbours stay whole; the text around is looked at."""
 NEAR = r"[A-Za-z_]{0,24}[\s\"'=:]{0,4}"
-_BMP = r"[\x{0}-\x{D7FF}\x{E000}-\x{FFFF}]"
-BEHIND = f"(?<=((?<!{_BMP}){_BMP}{{0,59}}|{_BMP}{{60}}))"
-"""Captures up to 60 characters before a place; those before a character of two code units are left out."""
-AHEAD = f"(?=((?!{SIGN})[^A-Za-z0-9+/=_.@-]{{0,2}}[A-Za-z]{{0,12}}))"
+MARGIN = "\x01" * 60
+"""Put before a line, so that there are 60 characters before each place."""
+_AFTER = "[^A-Za-z0-9+/=_.@-]{0,2}[A-Za-z]{0,12}"
+RUN = rf"(?<!{SIGN})(?=({SIGN}{{10,}}+{_AFTER}))(?<=([\x{{0}}-\x{{FFFF}}]{{60}})){SIGN}++"
+"""A whole run with what is after it, and the 60 characters before it."""
 KEYWORDS = "pass|pwd|secret|token|key|auth|cred|bearer"
 _NAME = "[A-Za-z0-9_.-]"
 _GIVEN = r"\\*[\"']?\s*[=:]+>?\s*"
 _NEXT = f"[&;,](?!{_NAME}*?(?:{KEYWORDS}){_NAME}*=)"
 KEYED = rf"(?i)(?<!{_NAME})(?={_NAME}*?(?:{KEYWORDS}))({_NAME}++\\*+[\"']?\s*+[=:]++>?\s*+)"
 ASSIGNED = (
-    rf"{KEYED}(?=(\\+\"[^\"\\]++|\\+'[^'\\]++|\"[^\"]++|'[^']++|(?=[^\s\"'])[^\s\"'&;,]*+(?:{_NEXT}[^\s\"'&;,]*+)*+){AHEAD[3:-1]})"
+    rf"{KEYED}(?=(\\+\"[^\"\\]++|\\+'[^'\\]++|\"[^\"]++|'[^']++|(?=[^\s\"'])[^\s\"'&;,]*+(?:{_NEXT}[^\s\"'&;,]*+)*+)(?!{SIGN})({_AFTER}))"
 )
 """A name with a keyword and = or :, and the value up to the quote that ends it, or to a blank, a quote or the next
 such name. Values are looked at only, so that names inside of them are found too."""
 COVERED = [f"(?i)(?:{KEYWORDS}){_NAME}*{_GIVEN}(?:\\\\*[\"'])?$", f"(?i)^(?=[A-Za-z_.-]*?(?:{KEYWORDS}))[A-Za-z_.-]++=+[^=]"]
 """Text before a token, or its own form, that tells that an assigned value holds it."""
+# Forms of keys whose issuers begin them alike.
+KEY_FORMATS = [
+    "(?:AKIA|ASIA)[0-9A-Z]{16}", "gh[pousr]_[A-Za-z0-9]{30,}", "github_pat_[A-Za-z0-9_]{22,}", "gl[a-z]{2,5}-[A-Za-z0-9_-]{20,}",
+    "(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{16,}", "whsec_[A-Za-z0-9+/=]{16,}", "xox[a-z]-[A-Za-z0-9-]{10,}", "xapp-[0-9]-[A-Za-z0-9-]{10,}",
+    "npm_[A-Za-z0-9]{30,}", "pypi-[A-Za-z0-9_-]{16,}", "hf_[A-Za-z0-9]{30,}", "AIza[A-Za-z0-9_-]{35}", r"ya29\.[A-Za-z0-9_-]{20,}",
+    r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}", "sk-(?:[a-z0-9]+-)*[A-Za-z0-9_-]{20,}", "shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}", "do[opr]_v1_[0-9a-f]{64}",
+    r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
+]
+KEY_FORMAT = f"(?<![A-Za-z0-9])(?:{'|'.join(KEY_FORMATS)})(?![A-Za-z0-9])"
+CHANCE = "(?:(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{12,})"
+"""A long part in which letters and digits are mixed."""
 PLAIN_PATHS = "test|example|sample|doc|readme|fixture"
 WORDS = "mail|example|test|user|name|the|and|http|www|com|org|info|home|page|item|data|file"
 """Common words whose share of a token tells against chance characters."""
 FEATURES = [
     "length", "digits", "uppers", "letters", "changes", "changes_per_char", "covered", "dots", "at_signs",
     "distinct_share", "hex_only", "keyword_before", "quoted", "assigned", "word_after", "plain_path", "path_length",
+    "key_format",
 ]
 TRAIN_ROWS = 50_000
 """The forest is fitted on about so many labelled findings, a hash of the finding choosing; all if there are fewer."""
@@ -60,27 +73,32 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     """
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
     lines = docs.select("doc_id", *row_key(), where.alias("path"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    run = f"(?<!{SIGN})(?={SIGN}{{10}}){BEHIND}({SIGN}+){AHEAD}"
-    group = lambda pattern, i: F.regexp_extract_all("content", F.lit(pattern), F.lit(i))
-    names = ["behind", "token", "after"]
-    spots = lambda pattern: F.arrays_zip(*(group(pattern, i).alias(name) for i, name in enumerate(names, 1)))
-    none = F.array().cast("array<struct<behind:string,token:string,after:string>>")
-    runs = F.when(F.col("content").rlike(f"{SIGN}{{10}}"), spots(run)).otherwise(none)
-    given = F.when(F.col("content").rlike(KEYED), spots(ASSIGNED)).otherwise(none)
-    lines = lines.select("doc_id", "path", "line", runs.alias("runs"), given.alias("given"))
+    content = F.col("content")
+    # A character of two code units before a run counts as one of the 60.
+    ascii_only = F.octet_length(content) == F.length(content)
+    padded = F.concat(F.lit(MARGIN), F.when(ascii_only, content).otherwise(F.regexp_replace(content, r"[^\x{0}-\x{FFFF}]", "\ufffd")))
+    group = lambda text, pattern, i: F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
+    kind = "array<struct<behind:string,ahead:string,value:string>>"
+    none = F.array().cast("array<string>")
+    runs = F.arrays_zip(group(padded, RUN, 2), group(padded, RUN, 1), none).cast(kind)
+    given = F.arrays_zip(group(content, ASSIGNED, 1), group(content, ASSIGNED, 3), group(content, ASSIGNED, 2)).cast(kind)
+    some_given = F.when(content.rlike("[=:]") & content.rlike(KEYED), given).otherwise(F.array().cast(kind))
+    spots = F.when(content.rlike(f"{SIGN}{{10}}"), F.concat(runs, some_given)).otherwise(some_given)
     # Not posexplode, for which the patterns would be searched once more to leave out lines that have none.
-    spot = F.posexplode_outer(F.concat("runs", "given")).alias("nth", "spot")
-    found = lines.select("doc_id", "path", "line", F.size("runs").alias("n_runs"), spot).where("spot IS NOT NULL")
-    assigned, token = F.col("nth") >= F.col("n_runs"), F.col("spot.token")
-    covered = ~assigned & (F.col("spot.behind").rlike(COVERED[0]) | token.rlike(COVERED[1]))
-    found = found.where(~covered)
-    quote = F.when(assigned, F.regexp_extract(token, r"^\\*[\"']", 0)).otherwise("")
-    before = F.when(assigned, F.concat("spot.behind", quote)).otherwise(F.regexp_extract("spot.behind", f"{NEAR}$", 0))
+    found = lines.select("doc_id", "path", "line", F.posexplode_outer(spots).alias("nth", "spot")).where("spot IS NOT NULL")
+    behind, value, token = F.col("spot.behind"), F.col("spot.value"), F.col("token")
+    run = F.regexp_extract("spot.ahead", f"^{SIGN}+", 0)
+    found = found.select("doc_id", "path", "line", "nth", "spot", F.coalesce(value, run).alias("token"))
+    given_before = behind.rlike("[=:]") & behind.rlike(COVERED[0])
+    found = found.where(value.isNotNull() | ~(given_before | token.contains("=") & token.rlike(COVERED[1])))
+    quote = F.regexp_extract(token, r"^\\*[\"']", 0)
+    assigned = value.isNotNull()
     found = found.select(
-        "doc_id", "path", "line", "nth", before.alias("before"),
-        F.substring(token, F.length(quote) + 1, F.length(token)).alias("candidate"),
-        "spot.after",
-    )
+        "doc_id", "path", "line", "nth",
+        F.when(assigned, F.concat(behind, quote)).otherwise(F.regexp_extract(behind, f"{NEAR}$", 0)).alias("before"),
+        F.when(assigned, F.substring(token, F.length(quote) + 1, F.length(token))).otherwise(token).alias("candidate"),
+        F.when(assigned, F.col("spot.ahead")).otherwise(F.substring("spot.ahead", F.length(token) + 1, F.lit(14))).alias("after"),
+    )
     return found.where("candidate <> ''")
 
 
@@ -110,23 +128,25 @@ def described(found: DataFrame) -> DataFrame:
         "word_after": F.col("after").rlike("[A-Za-z]$"),
         "plain_path": F.lower("path").rlike(PLAIN_PATHS),
         "path_length": F.length("path"),
+        "key_format": ~token.rlike("^[A-Z]?[a-z]+$") & token.rlike(KEY_FORMAT),
     }
     return found.select("*", *(features[name].cast("double").alias(name) for name in FEATURES))
 
 
 def certain_labels(found: DataFrame) -> DataFrame:
-    """Findings whose form settles it, with ``label`` 1 (a known key format, a long hex value given to a keyword) or 0
-    (addresses, numbers, dates, host names, version numbers, words)."""
+    """Findings whose form settles it, with ``label`` 1 (a known key format, see KEY_FORMATS, a long hex value given to a keyword) or 0
+    (addresses, numbers, dates, host names and paths without a long part of mixed letters and digits, version numbers, words)."""
     token, before = F.col("candidate"), F.lower("before")
     named = before.rlike(f"({KEYWORDS})[a-z0-9_.-]*[\\s\"'=:>\\\\]+$") | F.lower(token).rlike(f"^({KEYWORDS})[a-z_]*=")
-    secret = token.rlike("(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])") | (named & token.rlike("[0-9a-f]{16,}[,;.)]?$"))
+    issued = ~token.rlike("^[A-Z]?[a-z]+$") & token.rlike(KEY_FORMAT)
+    secret = issued | (named & token.rlike("[0-9a-f]{16,}[,;.)]?$"))
     plain = (
         token.rlike(r"^[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+$")
         | token.rlike(r"^[+]?[0-9][0-9./-]*[0-9.]$")
-        | token.rlike(r"^[A-Za-z]+(?:[._/-][A-Za-z0-9]+)+[.]?$") & ~named
+        | token.rlike(r"^[A-Za-z]+(?:[._/-][A-Za-z0-9]+)+[.]?$") & ~named & ~token.rlike(CHANCE)
         | token.rlike(r"^[A-Za-z]?[a-z]+[.]?$") & ~named
     )
-    label = F.when(secret & ~plain, 1.0).when(plain & ~secret, 0.0)
+    label = F.when(issued | (secret & ~plain), 1.0).when(plain & ~secret, 0.0)
     return found.withColumn("label", label).where("label IS NOT NULL")
 
 
@@ -136,8 +156,12 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, seed: int = 7) -> RandomF
     if set(kinds) != {0.0, 1.0}:
         return None
     mark = F.xxhash64("doc_id", "line", "nth", "candidate")
-    part = min(1.0, rows / sum(kinds.values()))
-    sample = labelled.where(mark.bitwiseAND(2**31 - 1) < int(part * 2**31))
+    # The rarer kind may take up half of the rows: few words among very many are secrets.
+    rare = min(kinds, key=kinds.__getitem__)
+    few = min(kinds[rare], rows / 2)
+    part = {rare: few / kinds[rare], 1 - rare: min(1.0, (rows - few) / kinds[1 - rare])}
+    threshold = F.when(F.col("label") == rare, int(part[rare] * 2**31)).otherwise(int(part[1 - rare] * 2**31))
+    sample = labelled.where(mark.bitwiseAND(2**31 - 1) < threshold)
     # The same rows in the same partitions and order: the forest's own sampling depends on them.
     sample = sample.select(*FEATURES, "label").repartition(8, *FEATURES, "label").sortWithinPartitions(*FEATURES, "label")
     data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample).select("features", "label")

@@ -131,3 +131,19 @@ def test_values_of_keywords_and_tokens_without_digits(spark):
     for i, (_, wanted) in enumerate(values):
         assert [r.candidate for r in found[i]] == wanted, found[i]
     assert found[1][0].before == 'password = "' and found[1][0].after == '"'
+
+
+def test_issued_keys_are_not_taken_for_plain(spark):
+    rng = random.Random(5)
+    chance = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n - 2)) + "k7"
+    issued = ["ghp_" + chance(36), "sk_live_" + chance(24), "xoxb-123456789012-1234567890123-" + chance(24), "glpat-" + chance(20), "npm_" + chance(36)]
+    plain = ["mail.example3.com", "docs/guide-2/page.html", "international", "release-1.20.3-beta4", "10.20.30.144"]
+    unsure = ["internal." + chance(24)]
+    docs = spark.createDataFrame(list(enumerate(f"see {t} now" for t in issued + plain + unsure)), "doc_id long, text string")
+    found = secrets.described(secrets.candidates(docs))
+    labels = {r.candidate: r.label for r in secrets.certain_labels(found).collect()}
+    assert labels == {t: 1.0 for t in issued} | {t: 0.0 for t in plain}
+    rows = [(i, [f"see AKIA{chance(16).upper()} now", f"mail ku.{i}@mail3.example.com ing", "vo international an"][i % 3]) for i in range(90)]
+    trained = secrets.train(secrets.certain_labels(secrets.described(secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string")))))
+    held = {r.candidate: r.is_secret for r in secrets.judged(found, trained).collect()}
+    assert all(held[t] for t in issued) and not any(held[t] for t in plain[:4])
