@@ -52,8 +52,7 @@ _EDGE = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$!|+)€£]+$")
 _TAIL = re.compile(r"([^\w])\1+$|[!|+(.,;:?]+$")
 _SIGN_INSIDE = re.compile("[" + re.escape("".join(SIGNS)) + "]")
 _SPREAD_SIGNS = re.compile(r"^[\w@$!|+(€£](?:[.\-_*~/,']{1,3}[\w@$!|+(€£]){2,}$")
-_LONG_RUN = re.compile(r"(.)\1\1")
-_DOUBLES = re.compile(r"(.)\1.*(?!\1)(.)\2")
+_REPEATED = re.compile(r"(.)\1")
 
 
 class CharacterModel:
@@ -119,14 +118,13 @@ def viterbi(units: list[list[str]], model: CharacterModel) -> str:
 
 def lattice(written_form: str, spread: bool) -> list[list[str]]:
     """Options of each run of one sign."""
-    doubled = bool(_DOUBLES.search(written_form))
     units = []
     for run in re.finditer(r"(.)\1*", written_form):
         sign, n = run[1], len(run[0])
         letters = SIGNS.get(sign, sign if sign.isalpha() else "")
         if not letters:
             continue
-        options = [c * k for c in letters for k in ({1, 2} if n > 2 or (n == 2 and doubled) else {n})]
+        options = [c * k for c in letters for k in ({1, 2} if n > 1 else {n})]
         units.append(options + [o + " " for o in options] if spread else options)
     return units
 
@@ -139,7 +137,7 @@ def restored(token: str, model: CharacterModel) -> list[str]:
         spread = bool(_SPREAD_SIGNS.match(form))
         has_letter = any(c.isalpha() for c in form)
         signs = bool(_SIGN_INSIDE.search(form)) and (has_letter or len(form) > 3)
-        if not form or not (spread or signs or _LONG_RUN.search(form) or _DOUBLES.search(form)):
+        if not form or not (spread or signs or _REPEATED.search(form)):
             continue
         if spread:
             form = form.translate({ord(c): None for c in BETWEEN})

@@ -147,3 +147,8 @@ def test_issued_keys_are_not_taken_for_plain(spark):
     trained = secrets.train(secrets.certain_labels(secrets.described(secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string")))))
     held = {r.candidate: r.is_secret for r in secrets.judged(found, trained).collect()}
     assert all(held[t] for t in issued) and not any(held[t] for t in plain[:4])
+
+
+@pytest.mark.parametrize("text", ["so stuupid", "an iddiot tare", "morron", "you 1dd1ot", "idioot vo"])
+def test_one_doubled_letter_is_restored(spark, model, text):
+    assert toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first().score >= 0.5
