@@ -52,6 +52,10 @@ _EDGE = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$!|+)€£]+$")
 _TAIL = re.compile(r"([^\w])\1+$|[!|+(.,;:?]+$")
 _SIGN_INSIDE = re.compile("[" + re.escape("".join(SIGNS)) + "]")
 _SPREAD_SIGNS = re.compile(r"^[\w@$!|+(€£](?:[.\-_*~/,']{1,3}[\w@$!|+(€£]){2,}$")
+_OUTER = re.compile(r"^\W+|\W+$")
+_SIGNS_BETWEEN = re.compile("[" + re.escape(BETWEEN) + "]+")
+MOST_PIECES = 4
+"""Into so many pieces with spaces between them telling words of 4 to 40 letters are looked for."""
 _REPEATED = re.compile(r"(.)\1")
 
 
@@ -129,6 +133,12 @@ def lattice(written_form: str, spread: bool) -> list[list[str]]:
     return units
 
 
+def bare(token: str) -> str:
+    """The token without signs around it; one sign that may be a letter stays."""
+    core = _EDGE.sub("", token)
+    return token if len(token) == 1 else core if len(core) == 1 else _OUTER.sub("", token)
+
+
 def restored(token: str, model: CharacterModel) -> list[str]:
     """Other words than its own letters that a lower-cased token may stand for; none where there is one reading."""
     core = _TAIL.sub("", _EDGE.sub("", token)) or ""
@@ -137,7 +147,11 @@ def restored(token: str, model: CharacterModel) -> list[str]:
         spread = bool(_SPREAD_SIGNS.match(form))
         has_letter = any(c.isalpha() for c in form)
         signs = bool(_SIGN_INSIDE.search(form)) and (has_letter or len(form) > 3)
-        if not form or not (spread or signs or _REPEATED.search(form)):
+        joined = _SIGNS_BETWEEN.sub("", form)
+        pieces = joined != form and any(c.isalpha() for c in joined)
+        if pieces:
+            found += _LETTERS.findall(joined)
+        if not form or not (spread or signs or _REPEATED.search(joined)):
             continue
         if spread:
             form = form.translate({ord(c): None for c in BETWEEN})
@@ -160,6 +174,26 @@ class Reader:
     def __init__(self, counts: np.ndarray):
         self.model = CharacterModel(counts)
         self.cached: dict[str, tuple[str, ...]] = {}
+        self.starts: set[str] | None = None
+        self.pieces: set[str] = set()
+
+    def joined(self, rows: int, ends: np.ndarray, tokens: list[str], index: np.ndarray, weights: dict[str, float]) -> list[list[str]]:
+        """Telling words whose pieces are neighbouring tokens, per text."""
+        found: list[list[str]] = [[] for _ in range(rows)]
+        if self.starts is None:
+            whole = [w for w in weights if 3 < len(w) <= 40]
+            self.starts = {w[:n] for w in whole for n in range(1, len(w) + 1)}
+            self.pieces = {w[a:b] for w in whole for a in range(len(w)) for b in range(a + 1, len(w) + 1)}
+        readings = [[w for w in {bare(t), *self.words(t)} if w in self.pieces] for t in tokens]
+        first = np.array([any(w in self.starts for w in r) for r in readings] + [False])[index]
+        some = np.array([bool(r) for r in readings] + [False])[index]
+        for at in np.flatnonzero(first[:-1] & some[1:]).tolist():
+            text = int(np.searchsorted(ends, at, side="right")) - 1
+            forms = readings[index[at]]
+            for i in range(at + 1, int(min(ends[text + 1], at + MOST_PIECES))):
+                forms = [form for f in forms for w in readings[index[i]] if (form := f + w) in self.starts]
+                found[text] += [f for f in forms if len(f) > 3 and f in weights]
+        return found
 
     def words(self, token: str) -> tuple[str, ...]:
         found = self.cached.get(token)
@@ -178,14 +212,14 @@ class Reader:
         index, tokens = np.asarray(coded.indices), coded.dictionary.to_pylist()
         ends = np.asarray(lists.offsets).astype(np.int64)
         ends -= ends[0]
-        single = np.array([len(t) == 1 for t in tokens], dtype=bool)[index] if len(tokens) else np.zeros(0, dtype=bool)
+        single = np.array([len(bare(t)) == 1 for t in tokens], dtype=bool)[index] if len(tokens) else np.zeros(0, dtype=bool)
         spread: list[list[str]] = [[] for _ in range(len(rows))]
         edges = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
         for a, b in zip(edges[::2], edges[1::2], strict=True):
             for text in range(int(np.searchsorted(ends, a, side="right")) - 1, int(np.searchsorted(ends, b, side="left"))):
                 own = index[max(a, ends[text]) : min(b, ends[text + 1])]
                 if len(own) > 2:
-                    spread[text] += restored_spread([tokens[i] for i in own], self.model)
+                    spread[text] += restored_spread([bare(tokens[i]) for i in own], self.model)
         return ends, tokens, index, spread
 
 
@@ -211,8 +245,9 @@ def _document_weights(reader: Reader, weights: dict[str, float], rows: pa.Record
     for at in np.flatnonzero(of[index] > 0):
         text = int(np.searchsorted(ends, at, side="right")) - 1
         telling[text] += [w for w in reader.words(tokens[index[at]]) if w in weights]
+    joined = reader.joined(len(rows), ends, tokens, index, weights)
     for i, words in enumerate(spread):
-        for w in words:
+        for w in [*words, *joined[i]]:
             if w in weights:
                 found[i] = max(found[i], weights[w])
                 telling[i].append(w)

@@ -152,3 +152,15 @@ def test_issued_keys_are_not_taken_for_plain(spark):
 @pytest.mark.parametrize("text", ["so stuupid", "an iddiot tare", "morron", "you 1dd1ot", "idioot vo"])
 def test_one_doubled_letter_is_restored(spark, model, text):
     assert toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first().score >= 0.5
+
+
+@pytest.mark.parametrize(
+    ("text", "toxic"),
+    [
+        ("s t u p i d, vo", 1), ("tare s t u p i d.", 1), ("(s t u p i d)", 1), ("you stu pid tare", 1), ("an id-iot", 1),
+        ("mo r on, sil", 1), ("st 'up id!'", 1), ("stu tare pid", 0), ("sil-vo tare-ku", 0), ("a, b. c", 0),
+    ],
+)
+def test_pieces_and_signs_at_edges(spark, model, text, toxic):
+    row = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert (row.score >= 0.5) == bool(toxic), row
