@@ -54,8 +54,18 @@ NOTICES = [
     ),
 ]
 
-COPYRIGHT = r"^[^a-z0-9]*(copyright|©|\(c\)|all rights reserved).*"
-"""A lower-cased line that only says whose the work is."""
+_NO_HOLDER = (
+    "notices?|holders?|owners?|owned|laws?|licen[sc]es?|licensed|statements?|permissions?|interests?|treaty|treaties|disclaimer|lines?|acts?"
+    "|on|of|in|is|it|to|and|or|for|as|also|means|that|which|are|if|with|under|like|protection|rights?|claims?|infringement|ownership|information"
+)
+COPYRIGHT = (
+    rf"^[^a-z0-9]*(?:all rights reserved.*|©.*|copyright(?![a-z])(?![^a-z0-9©]*(?:{_NO_HOLDER})(?![a-z])).*"
+    r"|\(c\)(?=[^a-z0-9]*copyright|.*(?:19|20)[0-9]{2}).*)"
+)
+"""A lower-cased line that only says whose the work is: with a year, a sign or a holder, and no sentence of a licence
+that is wrapped there."""
+SQL_COPYRIGHT = r"^[^a-z0-9]*(copyright|©|\(c\)|all rights reserved).*"
+"""The wider pattern of ``scan_sql``, which also takes such sentences away."""
 # Spellings that mean the same, after punctuation has become spaces.
 SPELLINGS = [
     ("licenc", "licens"),
@@ -132,7 +142,7 @@ def scan_sql() -> str:
 
     def canonical(x: str) -> str:
         quote = lambda s: "'" + s.replace("'", "''") + "'"
-        form = f"regexp_replace(lower({x}), {quote(COPYRIGHT)}, '')"
+        form = f"regexp_replace(lower({x}), {quote(SQL_COPYRIGHT)}, '')"
         form = f"replace({form}, '&', ' and ')"
         form = f"regexp_replace({form}, '[^a-z0-9\\x{{80}}-\\x{{FFFF}}]+', ' ', 'g')"
         for pattern, one in SPELLINGS:

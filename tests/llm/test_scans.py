@@ -164,3 +164,17 @@ def test_one_doubled_letter_is_restored(spark, model, text):
 def test_pieces_and_signs_at_edges(spark, model, text, toxic):
     row = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
     assert (row.score >= 0.5) == bool(toxic), row
+
+
+ISC = """{}Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+
+
+def test_sentences_that_begin_with_copyright_count(spark):
+    heads = ["", "Copyright (c) 2020 Somebody\n\n", "Copyright Somebody Inc.\n", "(c) 1999 Me\n", "© Me\n", "copyright 2004-2006 me\n", "Copyright [yyyy] [name]\n"]
+    rows = [(i, ISC.format(head)) for i, head in enumerate(heads)]
+    rows += [(100, ISC.format("").replace("copyright notice and", "copyright law and"))]
+    found = {r.doc_id: r.whole_license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_licenses(spark)).collect()}
+    assert found == {i: "ISC" for i in range(len(heads))} | {100: None}
