@@ -9,6 +9,8 @@ so that a licence text is found on its own or inside a longer document.
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,9 +99,15 @@ def digest(form: Column) -> Column:
     return F.sha2(form, 256)
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of the files in ``license_texts``, which are named by the licence."""
+    folder = files("spanloom.llm") / "license_texts"
+    return [(f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in sorted(folder.iterdir(), key=lambda f: f.name)]
+
+
 def known_licenses(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(license_id, digest) of licence texts."""
-    rows = spark.createDataFrame(NOTICES if texts is None else texts, "license_id string, text string")
+    """(license_id, digest) of licence texts; of NOTICES and the whole texts in ``license_texts`` if none are given."""
+    rows = spark.createDataFrame([*NOTICES, *whole_texts()] if texts is None else texts, "license_id string, text string")
     form = F.array_join(F.filter(canonical_lines(F.col("text")), lambda x: x != ""), " ")
     return rows.select("license_id", digest(form).alias("digest")).distinct()
 

@@ -178,3 +178,10 @@ def test_sentences_that_begin_with_copyright_count(spark):
     rows += [(100, ISC.format("").replace("copyright notice and", "copyright law and"))]
     found = {r.doc_id: r.whole_license for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses.known_licenses(spark)).collect()}
     assert found == {i: "ISC" for i in range(len(heads))} | {100: None}
+
+
+def test_whole_licence_texts(spark):
+    texts = licenses.whole_texts()
+    docs = spark.createDataFrame([(n, text.upper()) for n, (_, text) in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.whole_license for r in licenses.scan(docs, licenses.known_licenses(spark)).collect()}
+    assert len(texts) == 7 and found == {n: i for n, (i, _) in enumerate(texts)}
