@@ -56,3 +56,11 @@ def id_remainder(divisor: int, column: str = "doc_id") -> Column:
 def packed(docs: DataFrame, *more: Column) -> DataFrame:
     """``docs`` as one column ``row``, beside the row key and ``more``: no name can clash. ``row.*`` unpacks it."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *row_key(), *more)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import bpe, decontamination, jaccard, language, licenses, lines, secrets, sharding, topk, toxicity
+from spanloom.llm import (
+    bpe,
+    decontamination,
+    hnsw,
+    jaccard,
+    language,
+    licenses,
+    lines,
+    runs,
+    secrets,
+    sharding,
+    topk,
+    toxicity,
+    whitening,
+)
 from spanloom.llm.common import id_remainder, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,6 +140,39 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (id_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty nearest vectors for every twentieth vector, by graphs of all vectors."""
+    vectors = written(hnsw.usable(table(spark, sf_dir, "embeddings")), "ann-vectors")
+    return hnsw.nearest(hnsw.index(vectors, k=20), vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the 32 greatest components of their covariance, scaled to variance one."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", whitening.integers().alias("x"))
+    white = whitening.whiten(vectors, whitening.fit(vectors, components=32))
+    rows = white.select("vec_id", "whitening.*").select(
+        "vec_id", "n", "deviation", "identity_error", F.explode("components").alias("c")
+    )
+    return rows.select("vec_id", "c.component", "n", "deviation", "c.whitened", "c.explained", "identity_error")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words of every text, and digests of the runs and of the text without repeated periods."""
+    found = runs.periodic_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), prepared=True)
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "strongest.start",
+        "strongest.length",
+        "strongest.period",
+        F.expr("strongest.length * 1000 div strongest.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_license_scan": op2_license_scan,
@@ -137,6 +184,9 @@ QUERIES: dict[str, Query] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
+    "op12_whitening": op12_whitening,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {

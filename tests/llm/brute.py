@@ -85,3 +85,19 @@ def deduplicated_lines(rows: list[tuple]) -> dict[tuple, str | None]:
 
 def sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def periodic_runs(words: list) -> list[tuple[int, int, int]]:
+    """(start, length, period) of all runs of 24 words and three periods or more, by trying all periods."""
+    found: dict[tuple[int, int], int] = {}
+    for period in range(1, len(words) // 3 + 1):
+        begin = 0
+        while begin + period < len(words):
+            end = begin
+            while end + period < len(words) and words[end] == words[end + period]:
+                end += 1
+            length = end + period - begin
+            if end > begin and length >= max(24, 3 * period):
+                found.setdefault((begin, length), period)
+            begin = max(end, begin + 1)
+    return sorted((s, n, p) for (s, n), p in found.items())

@@ -28,7 +28,7 @@ def test_oracles(spark, name):
 
 
 def test_all_are_registered():
-    assert {*QUERIES, "pipeline"} <= set(__spark_entry__.queries()) and len(QUERIES) == 10
+    assert {*QUERIES, "pipeline"} <= set(__spark_entry__.queries()) and len(QUERIES) == 13
 
 
 def test_sharding(spark, rows):
