@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import timestamps
+from spanloom.sources.days import trace_draw
 
 
 def has_attribute(keys: Column, key: str) -> Column:
@@ -82,7 +83,11 @@ def sample_traces(df: DataFrame, fraction: float) -> DataFrame:
     The sample depends on the trace id alone, so every table and every run
     picks the same traces.
     """
+    return df.where(trace_draw() < draw_limit(fraction))
+
+
+def draw_limit(fraction: float) -> int:
+    """Traces whose :func:`~spanloom.sources.days.trace_draw` is less make up ``fraction`` of all."""
     if not 0 <= fraction <= 1:
         raise ValueError("fraction must be between 0 and 1")
-    draw = F.conv(F.substring(F.md5("trace_id"), 1, 8), 16, 10).cast("bigint")
-    return df.where(draw < int(fraction * 2**32))
+    return int(fraction * 2**32)

@@ -2,17 +2,49 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators import annotations, batch_queue, conversations, latest, normalize, traces
-from spanloom.sources import tables
+from spanloom.operators import annotations, batch_queue, conversations, filters, latest, normalize, traces
+from spanloom.sources import blocks, days, tables
 from spanloom.sources.tables import Store
 
 
 def spans(store: Store, deduplicated: bool = True) -> DataFrame:
-    rows = store.read(tables.SPANS_NORMALIZED)
-    return normalize.spans_view(latest.dedup_spans(rows) if deduplicated else rows)
+    """Stored spans of the four dialects. Compacted days come without a shuffle.
+
+    Without ``deduplicated`` the deliveries not yet compacted come as they are.
+    """
+    dedup = latest.dedup_spans if deduplicated else lambda rows: rows
+    return normalize.spans_view(days.read(store, tables.SPANS_NORMALIZED, dedup))
+
+
+def sampled_spans(store: Store, fraction: float) -> DataFrame:
+    """Spans of a share of the traces, the same as ``filters.sample_traces`` takes.
+
+    Compacted days are laid out by the hash that decides, so that row groups
+    outside the share are not read.
+    """
+    narrow = lambda rows: rows.where(F.col(days.HASH) < filters.draw_limit(fraction))
+    return normalize.spans_view(days.read(store, tables.SPANS_NORMALIZED, latest.dedup_spans, narrow))
+
+
+def spans_with_attribute(store: Store, key: str, value: str | None = None) -> DataFrame:
+    """Spans that carry an attribute; of compacted days only files that may hold the key are read."""
+    rows = days.read_with_key(store, tables.SPANS_NORMALIZED, latest.dedup_spans, key)
+    return normalize.spans_view(filters.with_attribute(rows, key, value))
+
+
+def compact(store: Store, before: dt.date) -> dict[str, dict[str, int]]:
+    """Rewrite the days before ``before`` that have open files, each row once; and the ledger's."""
+    done = {
+        tables.SPANS_NORMALIZED.name: days.compact(store, tables.SPANS_NORMALIZED, latest.dedup_spans, before),
+        tables.TURNS.name: days.compact(store, tables.TURNS, latest.dedup_turns, before),
+    }
+    blocks.fold(store, min(before, dt.datetime.now(dt.timezone.utc).date()))
+    return done
 
 
 def register_spans_view(store: Store, name: str = "spans") -> None:
@@ -21,11 +53,12 @@ def register_spans_view(store: Store, name: str = "spans") -> None:
 
 
 def turns(store: Store) -> DataFrame:
-    return latest.dedup_turns(store.read(tables.TURNS))
+    return days.read(store, tables.TURNS, latest.dedup_turns)
 
 
 def numbered_turns(store: Store) -> DataFrame:
-    return conversations.number_deliveries(store.read(tables.TURNS))
+    # Numbering distributes the turns anyway; repeats go on the way.
+    return conversations.number_deliveries(days.read(store, tables.TURNS, lambda rows: rows))
 
 
 def conversation_summary(store: Store) -> DataFrame:
@@ -45,9 +78,21 @@ def scored_conversations(store: Store) -> DataFrame:
 
 
 def trace(store: Store, trace_id: str) -> DataFrame:
-    return traces.fetch_trace(
-        store.read(tables.RAW_SPANS), store.read(tables.TRACE_BOUNDS), trace_id
-    )
+    seen = blocks.view(store)
+    raw, bounds = (blocks.visible(store, t, seen) for t in (tables.RAW_SPANS, tables.TRACE_BOUNDS))
+    return traces.fetch_trace(raw, bounds, trace_id)
+
+
+def traces_of(store: Store, wanted: DataFrame) -> DataFrame:
+    """Raw spans of all traces in ``wanted`` (column ``trace_id``); only days they touch are read."""
+    seen = blocks.view(store)
+    raw, bounds = (blocks.visible(store, t, seen) for t in (tables.RAW_SPANS, tables.TRACE_BOUNDS))
+    return traces.fetch_traces(raw, bounds, wanted)
+
+
+def rejects(store: Store) -> DataFrame:
+    """What the ingest could not read or date, once per delivery."""
+    return blocks.visible(store, tables.OTLP_REJECTS).select("reason", "text", "arrived_at")
 
 
 def progress(store: Store) -> DataFrame:

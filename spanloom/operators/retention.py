@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import timestamps
 from spanloom.operators.filters import _epoch_ns
+from spanloom.sources import days as compacted
 from spanloom.sources.tables import PARTITION, TABLES, Store, Table
 
 DEFAULT_DAYS = 30
@@ -59,6 +60,7 @@ def apply_retention(
     dropped = [p for p in store.partitions(table) if p < oldest]
     for value in dropped:
         store.drop_partition(table, value)
+    dropped = sorted({*dropped, *compacted.drop_days(store, table, oldest)})
     if not table.whole_partitions and oldest in store.partitions(table):
         boundary = store.read(table).where(F.col(PARTITION) == F.lit(kept_from))
         kept = unexpired(boundary, table.clock_ns(), ttl_days(table, days), as_of)

@@ -55,8 +55,8 @@ def fetch_traces(raw: DataFrame, bounds: DataFrame, wanted: DataFrame) -> DataFr
     """As :func:`fetch_trace` for a set of trace ids (column ``trace_id``).
 
     ``wanted`` may be large, so the join type is left to the optimizer. On a
-    table with a ``date`` column the days of each trace join as well, so that
-    partitions no wanted trace touches can be skipped.
+    table with a ``date`` column the days of each trace join as well, and
+    partitions no wanted trace touches are not read.
     """
     ranges = merge_trace_bounds(bounds.join(wanted.distinct(), "trace_id", "left_semi"))
     keys = ["trace_id"]
@@ -65,6 +65,10 @@ def fetch_traces(raw: DataFrame, bounds: DataFrame, wanted: DataFrame) -> DataFr
         last_day = timestamps.to_date(F.col("last_start_ns"))
         ranges = ranges.select("*", F.explode(F.sequence(first_day, last_day)).alias("date"))
         keys.append("date")
+        # A set of days, however many traces there are; known before the scan of
+        # the big table starts, which then opens no other partition.
+        touched = ranges.agg(F.collect_set("date")).scalar()
+        raw = raw.where(F.array_contains(touched, F.col("date")))
     ns = F.col("timestamp_ns")
     return (
         raw.join(ranges, keys)

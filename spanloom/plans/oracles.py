@@ -179,6 +179,31 @@ SELECT service_name, trace_id, span_id, start_ns, start_ns + duration_ns AS end_
        {PROMPT_COUNT} AS prompts, {COMPLETION_COUNT} AS completions, {DAY} AS date
 FROM ev"""
 
+STREAMED_OTLP = f"""
+WITH {EVENTS}
+SELECT service_name, printf('%032x', e // 5) AS trace_id, span_id, y AS span_name, start_ns,
+       start_ns + duration_ns AS end_ns, CASE y WHEN 'error' THEN 2 WHEN 'click' THEN 1 ELSE 0 END AS status_code,
+       'model-' || (u % 3) AS model, k AS prompt_tokens, {DAY} AS date
+FROM ev WHERE e % 7 > 1"""
+
+STREAMED_REJECTS = f"""
+{OTLP_REJECTS}
+UNION ALL
+SELECT count(*) FILTER (WHERE e % 7 > 1) || ' + ' || count(*) FILTER (WHERE e % 7 < 2), 'counted' FROM ev"""
+
+REDELIVERED_SPANS = f"""
+WITH {EVENTS}
+SELECT trace_id, span_id, start_ns, start_ns + duration_ns AS end_ns,
+       CASE WHEN y = 'error' THEN 'failed ' || k ELSE '' END AS status_message
+FROM ev"""
+
+COMPACTED_SPANS = f"""
+WITH {EVENTS}
+SELECT service_name, trace_id, span_id, start_ns,
+       start_ns + duration_ns + CASE WHEN e % 8 = 0 THEN 2 WHEN e % 2 = 0 THEN 1 ELSE 0 END AS end_ns,
+       {MODEL} AS model, {PROMPT_COUNT} AS prompts, {DAY} AS date
+FROM ev"""
+
 TRACE_BOUNDS = f"""
 WITH {EVENTS}
 SELECT trace_id, min(start_ns // 1000000000 * 1000000000) AS first_start_ns,
@@ -447,6 +472,14 @@ ORACLES: dict[str, str] = {
     "streamed_spans": STREAMED_SPANS,
     "streamed_trace_bounds": TRACE_BOUNDS,
     "streamed_dedup": STREAMED_DEDUP,
+    "streamed_otlp": STREAMED_OTLP,
+    "streamed_rejects": STREAMED_REJECTS,
+    "redelivered_spans": REDELIVERED_SPANS,
+    "compacted_spans": COMPACTED_SPANS,
+    "compacted_turns": STORED_TURNS,
+    "attribute_search_stored": ATTRIBUTE_SEARCH,
+    "sampled_traces_stored": SAMPLED_TRACES,
+    "traces_fetched_stored": FAILED_TRACES,
     "stored_turns": STORED_TURNS,
     "stored_raw_spans": STORED_RAW_SPANS,
     "stored_scores": UNEXPIRED_SCORES,

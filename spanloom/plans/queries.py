@@ -28,7 +28,7 @@ from spanloom.operators import (
     turns,
 )
 from spanloom.session import shared_dir
-from spanloom.sources import otlp, sinks, tables
+from spanloom.sources import blocks, otlp, sinks, tables
 from spanloom.sources import sample_traces as samples
 from spanloom.sources.tables import Store
 from spanloom.streaming import ingest
@@ -171,14 +171,9 @@ def otlp_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def otlp_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What becomes of documents of which some are cut off and some have a span without a start."""
-    documents = samples.otlp_documents(samples.spread(samples.table(spark, sf_dir, "events"), "event_id"))
-    identity = r'"spanId":"([0-9a-f]{16})"'
-    kind = F.conv(F.regexp_extract("value", identity, 1), 16, 10).cast("bigint") % 7
-    cut = F.expr("substr(value, 1, length(value) - 2)")
-    unstarted = F.regexp_replace("value", '"startTimeUnixNano":"[0-9]+"', '"startTimeUnixNano":"soon"')
-    damaged = documents.select(F.when(kind == 0, cut).when(kind == 1, unstarted).otherwise(F.col("value")).alias("value"))
+    damaged = _damaged_documents(spark, sf_dir)
     kept = otlp.parse_documents(damaged).where("timestamp_ns > 0").select("span_id", F.lit("kept").alias("fate"))
-    lost = otlp.rejected(damaged).select(F.regexp_extract("text", identity, 1).alias("span_id"), F.col("reason").alias("fate"))
+    lost = otlp.rejected(damaged).select(F.regexp_extract("text", SPAN_IN_TEXT, 1).alias("span_id"), F.col("reason").alias("fate"))
     return kept.union(lost)
 
 
@@ -189,9 +184,9 @@ def _new_store(spark: SparkSession) -> tuple[Store, str]:
     return Store(spark, f"spanloom_{run}", f"{place}/tables").ensure_tables(), f"{place}/progress"
 
 
-def _ingested(spark: SparkSession, sf_dir: str) -> Store:
+def _ingested(spark: SparkSession, sf_dir: str, place: tuple[Store, str] | None = None) -> Store:
     """The events as a file stream of spans, ingested to the end."""
-    store, checkpoint = _new_store(spark)
+    store, checkpoint = place or _new_store(spark)
     schema = samples.table(spark, sf_dir, "events").schema
     # A pattern, as the table may be one file or a folder of files.
     arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
@@ -230,6 +225,117 @@ def streamed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{place}-spans")
 
 
+def redelivered_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that a backfill delivers late in its numbering, and a stream with a new checkpoint delivers again, corrected.
+
+    The later delivery wins, although its epoch is smaller and its spans end
+    earlier; the backfill's block, sent once more, changes nothing.
+    """
+    store, checkpoint = _new_store(spark)
+    first = samples.raw_spans(spark, sf_dir).withColumns(
+        {"duration_ns": F.col("duration_ns") * 2 + 1, "status_message": F.lit("first")}
+    )
+    ingest.write_block(store, first, 9, "backfill")
+    _ingested(spark, sf_dir, (store, checkpoint))
+    ingest.write_block(store, first, 9, "backfill")
+    return reads.spans(store).select("trace_id", "span_id", "start_ns", "end_ns", "status_message")
+
+
+def _event_number() -> Column:
+    return F.conv("span_id", 16, 10).cast("bigint")
+
+
+def _revised(spark: SparkSession, sf_dir: str, every: int, revision: int) -> DataFrame:
+    raw = samples.raw_spans(spark, sf_dir).where(_event_number() % every == 0)
+    return raw.withColumn("duration_ns", F.col("duration_ns") + revision)
+
+
+def _compacted(spark: SparkSession, sf_dir: str) -> Store:
+    """All spans, then every second one again, each compacted; then every eighth once more, which stays open."""
+    store, _ = _new_store(spark)
+    for revision, every in enumerate((1, 2, 8)):
+        ingest.write_block(store, _revised(spark, sf_dir, every, revision), revision, "revisions")
+        if revision < 2:
+            reads.compact(store, dt.date.max)
+    return store
+
+
+def compacted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every span its last revision, from compacted days and what came after."""
+    return reads.spans(_compacted(spark, sf_dir)).select(
+        "service_name", "trace_id", "span_id", "start_ns", "end_ns", "model",
+        F.size("prompts").alias("prompts"), _day(),
+    )
+
+
+def attribute_search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reads.spans_with_attribute(_compacted(spark, sf_dir), "openinference.span.kind", "TOOL")
+    return found.select("span_id", "service_name", "model")
+
+
+def sampled_traces_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.sampled_spans(_compacted(spark, sf_dir), 0.25).select("trace_id", "span_id")
+
+
+def compacted_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns delivered twice, compacted, and numbered."""
+    store, _ = _new_store(spark)
+    for epoch in range(2):
+        ingest.write_block(store, _turn_spans(spark, sf_dir), epoch)
+    reads.compact(store, dt.date.max)
+    return reads.numbered_turns(store).select(
+        "service_name", "conversation_id", "trace_id", "turn", "user_input", "agent_response", _day()
+    )
+
+
+def traces_fetched_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``failed_traces``, from a store partitioned by day."""
+    store, _ = _new_store(spark)
+    ingest.write_block(store, samples.raw_spans(spark, sf_dir), 0)
+    roots = (F.col("parent_span_id") == "") & (F.col("status_code") == "Error")
+    failed = store.read(tables.RAW_SPANS).where(roots).select("trace_id")
+    return reads.traces_of(store, failed).select("trace_id", "span_id", "timestamp_ns", "status_code")
+
+
+def _damaged_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which some are cut off and some have a span without a start."""
+    documents = samples.otlp_documents(samples.spread(samples.table(spark, sf_dir, "events"), "event_id"))
+    kind = F.conv(F.regexp_extract("value", SPAN_IN_TEXT, 1), 16, 10).cast("bigint") % 7
+    cut = F.expr("substr(value, 1, length(value) - 2)")
+    unstarted = F.regexp_replace("value", '"startTimeUnixNano":"[0-9]+"', '"startTimeUnixNano":"soon"')
+    return documents.select(F.when(kind == 0, cut).when(kind == 1, unstarted).otherwise(F.col("value")).alias("value"))
+
+
+SPAN_IN_TEXT = r'"spanId":"([0-9a-f]{16})"'
+
+
+def _streamed_documents(spark: SparkSession, sf_dir: str) -> Store:
+    """Files of such documents, ingested as they lie there."""
+    store, checkpoint = _new_store(spark)
+    _damaged_documents(spark, sf_dir).write.text(f"{checkpoint}-documents")
+    stream = otlp.stream_spans(spark, f"{checkpoint}-documents", rejects=True)
+    ingest.start_ingest(stream, store, checkpoint, every=None).awaitTermination()
+    return store
+
+
+def streamed_otlp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of a stream of documents; what can't be dated is not among them."""
+    return reads.spans(_streamed_documents(spark, sf_dir)).select(
+        "service_name", "trace_id", "span_id", "span_name", "start_ns", "end_ns", _status(), "model",
+        "prompt_tokens", _day(),
+    )
+
+
+def streamed_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of each document of the stream, and what the ledger counted."""
+    store = _streamed_documents(spark, sf_dir)
+    kept = reads.spans(store).select("span_id", F.lit("kept").alias("fate"))
+    lost = reads.rejects(store).select(F.regexp_extract("text", SPAN_IN_TEXT, 1).alias("span_id"), F.col("reason").alias("fate"))
+    counted = blocks.counts(store).agg(F.sum("spans").alias("spans"), F.sum("rejected").alias("rejected"))
+    totals = counted.select(F.concat_ws(" + ", "spans", "rejected").alias("span_id"), F.lit("counted").alias("fate"))
+    return kept.union(lost).union(totals)
+
+
 def stored_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same block delivered twice leaves each turn once."""
     store, _ = _new_store(spark)
@@ -580,6 +686,14 @@ QUERIES: dict[str, Query] = {
         streamed_spans,
         streamed_trace_bounds,
         streamed_dedup,
+        streamed_otlp,
+        streamed_rejects,
+        redelivered_spans,
+        compacted_spans,
+        compacted_turns,
+        attribute_search_stored,
+        sampled_traces_stored,
+        traces_fetched_stored,
         stored_turns,
         stored_raw_spans,
         stored_scores,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spanloom.sources import tables
 from spanloom.sources.tables import Store
@@ -25,6 +26,12 @@ def write_turns(store: Store, df: DataFrame) -> None:
     store.append(df, tables.TURNS)
 
 
+def write_rejects(store: Store, df: DataFrame) -> None:
+    """What could not be read or dated: columns ``reject_reason`` and ``reject_text``."""
+    renamed = df.select(F.col("reject_reason").alias("reason"), F.col("reject_text").alias("text"), "_ingest_id")
+    store.append(renamed, tables.OTLP_REJECTS)
+
+
 def append_llm_inputs(store: Store, df: DataFrame) -> None:
     store.append(df, tables.LLM_INPUTS)
 

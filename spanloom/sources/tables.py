@@ -94,20 +94,28 @@ RAW_SPANS = Table(
         "status_message": "STRING",
         "events": EVENTS,
         "links": LINKS,
+        "_ingest_id": "BIGINT",
     },
     clock="timestamp_ns",
     order=("service_name", "span_name", "timestamp_ns"),
     bloom=("trace_id",),
+    defaults={"_ingest_id": None},
     whole_partitions=True,
     expires_by_day=True,
 )
 
 TRACE_BOUNDS = Table(
     name="trace_bounds",
-    columns={"trace_id": "STRING", "first_start_ns": "BIGINT", "last_start_ns": "BIGINT"},
+    columns={
+        "trace_id": "STRING",
+        "first_start_ns": "BIGINT",
+        "last_start_ns": "BIGINT",
+        "_ingest_id": "BIGINT",
+    },
     clock="first_start_ns",
     order=("trace_id", "first_start_ns"),
     bloom=("trace_id",),
+    defaults={"_ingest_id": None},
     whole_partitions=True,
     expires_by_day=True,
 )
@@ -276,6 +284,39 @@ CLUSTER_ASSIGNMENTS = Table(
     uint32=("taxonomy_version",),
 )
 
+OTLP_REJECTS = Table(
+    name="otlp_rejects",
+    columns={
+        "reason": "STRING",
+        "text": "STRING",
+        "arrived_at": "TIMESTAMP",
+        "_ingest_id": "BIGINT",
+    },
+    clock="arrived_at",
+    order=("reason", "arrived_at"),
+    defaults={"arrived_at": F.current_timestamp, "_ingest_id": None},
+    whole_partitions=True,
+    expires_by_day=True,
+)
+
+INGEST_BLOCKS = Table(
+    name="ingest_blocks",
+    columns={
+        "number": "BIGINT",
+        "source": "STRING",
+        "epoch": "BIGINT",
+        "status": "STRING",
+        "spans": "BIGINT",
+        "rejected": "BIGINT",
+        "noted_at": "TIMESTAMP",
+    },
+    clock="noted_at",
+    order=("number", "noted_at"),
+    defaults={"noted_at": F.current_timestamp},
+    allowed={"status": ("begun", "stored", "abandoned")},
+)
+"""Says which rows of the other tables count, so it does not expire."""
+
 TABLES = {
     t.name: t
     for t in (
@@ -288,8 +329,10 @@ TABLES = {
         LLM_BATCHES,
         EVAL_SCORES,
         CLUSTER_ASSIGNMENTS,
+        OTLP_REJECTS,
     )
 }
+"""Tables that retention applies to."""
 
 
 def with_defaults(df: DataFrame, table: Table) -> DataFrame:
@@ -337,10 +380,17 @@ class Store:
         """Create whatever is missing; safe to repeat."""
         place = f" LOCATION '{self.location}'" if self.location else ""
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{self.database}`{place}")
-        for table in TABLES.values():
+        for table in (*TABLES.values(), INGEST_BLOCKS):
             self.spark.sql(table.ddl(self.database))
         return self
 
+    def folder(self) -> str:
+        """Where the database lies."""
+        return self.spark.catalog.getDatabase(self.database).locationUri.rstrip("/")
+
+    def table_folder(self, table: Table) -> str:
+        return f"{self.folder()}/{table.name}"
+
     def table_name(self, table: Table) -> str:
         return f"`{self.database}`.`{table.name}`"
 

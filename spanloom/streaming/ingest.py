@@ -2,11 +2,14 @@
 
 Each micro-batch is one block. The projections are row-wise and the bounds are
 partial per block, so nothing carries state from one block to the next and no
-watermark is needed; order-dependent work (turn numbers) is left to reads.
+watermark is needed; order-dependent work (turn numbers) is left to reads. The
+ledger (``sources/blocks.py``) tells stored blocks from half-written ones.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,26 +19,44 @@ from spanloom.functions import timestamps
 from spanloom.operators.normalize import normalize_spans
 from spanloom.operators.traces import trace_bounds
 from spanloom.operators.turns import to_turns
-from spanloom.sources import sinks
+from spanloom.sources import blocks, otlp, sinks
 from spanloom.sources.tables import Store
 
 
-def write_block(store: Store, raw: DataFrame, ingest_id: int) -> None:
-    """Write one block of raw spans and everything derived from it.
+def write_block(store: Store, raw: DataFrame, epoch: int, source: str = "") -> int | None:
+    """Write one block of raw spans and everything derived from it; returns its number.
+
+    ``source`` and ``epoch`` say which block it is. One that is stored already
+    is not written again (None). One that failed half-way is written anew under
+    another number; what it left is hidden from reads. Turns derive from the
+    block, not from deduplicated spans.
 
-    Turns derive from the block, not from deduplicated spans. A block that is
-    written again after a failure leaves repeats, which the dedup reads remove;
-    repeated bounds change no minimum or maximum.
+    Of rows that carry a ``reject_reason`` (see ``otlp.split_documents``) nothing
+    is derived; they go to their own table.
     """
-    block = raw.persist(StorageLevel.MEMORY_AND_DISK)
+    number = blocks.begin(store, source, epoch)
+    if number is None:
+        return None
+    block = raw.withColumn("_ingest_id", F.lit(number).cast("bigint")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        sinks.write_raw_spans(store, block)
-        sinks.write_trace_bounds(store, trace_bounds(block))
-        normalized = normalize_spans(block.withColumn("_ingest_id", F.lit(ingest_id)))
+        kept, rejected = block, None
+        if otlp.REJECT_REASON in block.columns:
+            rejected = block.where(F.col(otlp.REJECT_REASON).isNotNull())
+            kept = block.where(F.col(otlp.REJECT_REASON).isNull()).drop(*otlp.REJECT_COLUMNS)
+        sinks.write_raw_spans(store, kept)
+        sinks.write_trace_bounds(store, trace_bounds(kept).withColumn("_ingest_id", F.lit(number)))
+        normalized = normalize_spans(kept)
         sinks.write_spans(store, normalized)
         sinks.write_turns(store, to_turns(normalized))
+        lost = 0
+        if rejected is not None:
+            lost = rejected.count()
+            if lost:
+                sinks.write_rejects(store, rejected)
+        blocks.end(store, number, source, epoch, kept.count(), lost)
     finally:
         block.unpersist()
+    return number
 
 
 def start_ingest(
@@ -46,15 +67,25 @@ def start_ingest(
 ) -> StreamingQuery:
     """Start ingesting ``stream`` into ``store``.
 
-    ``every=None`` takes in what is there now and stops.
+    ``every=None`` takes in what is there now and stops. A block is known by
+    the id that the checkpoint gives the query, so that a new checkpoint begins
+    with new blocks.
     """
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda block, epoch: write_block(store, block, epoch)
-    )
+
+    def write(block: DataFrame, epoch: int) -> None:
+        write_block(store, block, epoch, _query_id(block, checkpoint))
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     trigger = {"availableNow": True} if every is None else {"processingTime": every}
     return writer.trigger(**trigger).start()
 
 
+def _query_id(block: DataFrame, checkpoint: str) -> str:
+    """The id in the checkpoint's ``metadata`` file, which is written before the first block."""
+    text = block.sparkSession.read.option("wholetext", True).text(f"{checkpoint}/metadata").first()
+    return json.loads(text.value)["id"]
+
+
 def dedup_redeliveries(stream: DataFrame, window: str = "30 minutes") -> DataFrame:
     """Drop exact re-deliveries of a span that arrive within ``window`` of the first.
 
