@@ -33,9 +33,12 @@ LEAST = 1e-8
 """No piece is less probable; keeps the sums of words up to SHORT bytes above the smallest double."""
 SHORT = 36
 SMOOTHING = 0.1
-CACHED_WORDS = 200_000
-"""A task remembers the sums of about so many words; others are worked out again."""
-SLOT_BITS = 22
+CACHE_BYTES = 24_000_000
+CACHED_LENGTH = 64
+"""A task remembers the sums of words of up to so many bytes in a table of at most this size; others are worked out again."""
+SLOT_BITS = 20
+LONG = 4096
+"""Longer words (in bytes) are gone through one by one, in blocks of so many places."""
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = arrays.mix(np.arange(7001, 7257, dtype=np.uint64))
 
@@ -44,32 +47,40 @@ class Pieces:
     """The vocabulary as a table of all beginnings of pieces, looked up by hash."""
 
     def __init__(self, pieces: list[bytes]):
-        number = {}
-        for i, piece in enumerate(pieces):
-            low = piece.decode(errors="surrogateescape").lower().encode(errors="surrogateescape")
-            if low == piece:  # texts are lower-cased, others never occur
-                number.setdefault(piece, i)
-        known: dict[int, int] = {}
-        for piece, i in number.items():
-            h = 0
-            for n, byte in enumerate(piece, 1):
-                h = (h * int(_STEP) + int(_BYTE[byte])) & (2**64 - 1)
-                if n == len(piece):
-                    known[h] = i
-                else:
-                    known.setdefault(h, -1)
+        # Texts are lower-cased, so pieces that are not never occur.
+        low = [p.decode(errors="surrogateescape").lower().encode(errors="surrogateescape") == p for p in pieces]
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        starts = np.cumsum(lengths) - lengths
+        own = np.flatnonzero(np.array(low, dtype=bool) & (lengths > 0))
+        h = np.zeros(len(own), dtype=np.uint64)
+        hashes, numbers = [], []
+        n = 0
+        while len(own):
+            h = h * _STEP + _BYTE[data[starts[own] + n]]
+            n += 1
+            whole = lengths[own] == n
+            hashes.append(h)
+            numbers.append(np.where(whole, own, len(pieces)))
+            own, h = own[~whole], h[~whole]
+        every, number = np.concatenate([*hashes, h]), np.concatenate([*numbers, own])
+        # Of equal beginnings the first whole piece counts, if there is one.
+        order = np.lexsort((number, every))
+        every, number = every[order], number[order]
+        first = np.append(True, every[1:] != every[:-1])[: len(every)]
         self.count = len(pieces)
-        self.hashes = np.array(list(known), dtype=np.uint64)
-        self.piece = np.array(list(known.values()), dtype=np.int64)
+        self.longest = n
+        self.hashes = every[first]
+        self.piece = np.where(number[first] < len(pieces), number[first], -1)
         self.levels = []
         left = np.arange(len(self.hashes))
         while len(left):
             table = np.full(2**SLOT_BITS, -1, dtype=np.int32)
             slots = self._slot(self.hashes[left])
-            _, first = np.unique(slots, return_index=True)
-            table[slots[first]] = left[first]
+            _, found = np.unique(slots, return_index=True)
+            table[slots[found]] = left[found]
             self.levels.append(table)
-            left = np.delete(left, first)
+            left = np.delete(left, found)
 
     @staticmethod
     def _slot(h: np.ndarray) -> np.ndarray:
@@ -84,9 +95,12 @@ class Pieces:
             np.copyto(out, node, where=(node >= 0) & (self.hashes[node] == h))
         return out
 
-    def matches(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple]:
-        """By length of the piece: (length, word numbers, places in the word, piece numbers)."""
-        lengths = ends - starts
+    def matches(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, inside: bool = True) -> Iterator[tuple]:
+        """By length of the piece: (length, word numbers, places in the word, piece numbers).
+
+        Unless ``inside``, only pieces at the beginnings of the words.
+        """
+        lengths = ends - starts if inside else np.ones(len(starts), dtype=np.int64)
         word = np.repeat(np.arange(len(starts)), lengths)
         at = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + starts[word]
         h = np.zeros(len(at), dtype=np.uint64)
@@ -136,16 +150,117 @@ def _forward(steps: Steps, many: int, p: np.ndarray, logs: bool) -> np.ndarray:
     return alpha
 
 
+def _blocks(pieces: Pieces, word: np.ndarray, backward: bool = False) -> Iterator[tuple]:
+    """The pieces that begin at each place of a long word, LONG places at a time.
+
+    (first place, number of places, bounds, lengths, piece numbers): the pieces
+    of a block's i-th place are those from bounds[i] to bounds[i + 1].
+    """
+    begins = range(0, len(word), LONG)
+    for begin in reversed(begins) if backward else begins:
+        starts = np.arange(begin, min(begin + LONG, len(word)))
+        size, own, piece = [], [], []
+        for n, at, _, found in pieces.matches(word, starts, np.minimum(starts + pieces.longest, len(word)), inside=False):
+            size.append(np.full(len(at), n))
+            own.append(at)
+            piece.append(found)
+        own = np.concatenate(own)
+        order = np.argsort(own, kind="stable")
+        bounds = np.searchsorted(own[order], np.arange(len(starts) + 1)).tolist()
+        yield begin, len(starts), bounds, np.concatenate(size)[order].tolist(), np.concatenate(piece)[order]
+
+
+_SMALL = 1e-150
+
+
+def _long_sums(pieces: Pieces, word: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Per language the log of the sum over all segmentations of a long word.
+
+    Only sums of a block's places and of as many behind it as the longest piece
+    has are kept, scaled up whenever they get small. Plain numbers in lists: a
+    place has a few pieces only.
+    """
+    ahead = [[1.0] + [0.0] * pieces.longest for _ in range(p.shape[1])]
+    scaled = [0] * p.shape[1]
+    for _, many, bounds, sizes, found in _blocks(pieces, word):
+        for k, chances in enumerate(p[found].T.tolist()):
+            sums = ahead[k] + [0.0] * many
+            for i in range(many):
+                now = sums[i]
+                if now < _SMALL:
+                    for t in range(i, i + pieces.longest + 1):
+                        sums[t] /= _SMALL
+                    now = sums[i]
+                    scaled[k] += 1
+                for j in range(bounds[i], bounds[i + 1]):
+                    sums[i + sizes[j]] += now * chances[j]
+            ahead[k] = sums[many:]
+    return np.log([a[0] for a in ahead]) + np.log(_SMALL) * np.array(scaled)
+
+
+def _long_counts(pieces: Pieces, word: np.ndarray, p: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> None:
+    """Add the expected counts of a long word's pieces, with one prior for all languages."""
+    wide = pieces.longest
+    # Sums of all beginnings, and how often each was scaled up.
+    alpha, times = np.zeros(len(word) + 1), np.zeros(len(word) + 1, dtype=np.int32)
+    ahead, scaled = [1.0] + [0.0] * wide, 0
+    for begin, many, bounds, sizes, found in _blocks(pieces, word):
+        sums, chances, scales = ahead + [0.0] * many, p[found].tolist(), []
+        for i in range(many):
+            now = sums[i]
+            if now < _SMALL:
+                for t in range(i, i + wide + 1):
+                    sums[t] /= _SMALL
+                now = sums[i]
+                scaled += 1
+            scales.append(scaled)
+            for j in range(bounds[i], bounds[i + 1]):
+                sums[i + sizes[j]] += now * chances[j]
+        alpha[begin : begin + many], times[begin : begin + many] = sums[:many], scales
+        ahead = sums[many:]
+    total, rounds = ahead[0], scaled
+    # Sums of all ends, from the last place on; behind[t] belongs to the place t after the block.
+    behind, down = [1.0] + [0.0] * wide, 0
+    for begin, many, bounds, sizes, found in _blocks(pieces, word, backward=True):
+        chances = p[found].tolist()
+        sums = [0.0] * many + behind
+        share = [0.0] * len(sizes)
+        for i in range(many - 1, -1, -1):
+            # The scales cancel in the quotient, which is a probability.
+            here = alpha[begin + i] / total * _SMALL ** float(times[begin + i] + down - rounds)
+            now = 0.0
+            for j in range(bounds[i], bounds[i + 1]):
+                through = chances[j] * sums[i + sizes[j]]
+                now += through
+                share[j] = here * through
+            if now < _SMALL:
+                now /= _SMALL
+                for t in range(i + 1, min(i + wide + 1, len(sums))):
+                    sums[t] /= _SMALL
+                down += 1
+            sums[i] = now
+        behind = sums[: wide + 1]
+        behind += [0.0] * (wide + 1 - len(behind))
+        expected = np.bincount(found, share, minlength=len(counts))
+        for k in np.flatnonzero(weights):
+            counts[:, k] += expected * weights[k]
+
+
 def _classes(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
     """Numbers of words of about the same length, few enough for bounded memory; and whether to use logs."""
     low = 0
     high = 12
-    while low < lengths.max(initial=0):
+    while low < lengths.max(initial=0) and low < LONG:
         own = np.flatnonzero((lengths > low) & (lengths <= high))
         batch = max(1, 400_000 // high)
         for begin in range(0, len(own), batch):
             yield own[begin : begin + batch], high > SHORT
-        low, high = high, SHORT if high < SHORT else high * 2
+        low, high = high, SHORT if high < SHORT else min(high * 2, LONG)
+
+
+def _long(lengths: np.ndarray) -> np.ndarray:
+    """Numbers of the words that are longer than all classes."""
+    return np.flatnonzero(lengths > LONG)
 
 
 def _words(rows: pa.RecordBatch) -> tuple[np.ndarray, pa.StringArray, np.ndarray]:
@@ -164,6 +279,46 @@ def _bytes(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(joined, dtype=np.uint8), ends - lengths, ends
 
 
+class _Cache:
+    """Sums of words by the words' 64-bit hashes; a slot holds the word that came last."""
+
+    def __init__(self, languages: int):
+        bits = max(1, int(np.log2(CACHE_BYTES / (8 + 8 * max(1, languages)))))
+        self.shift = np.uint64(64 - bits)
+        self.keys = np.zeros(2**bits, dtype=np.uint64)
+        self.sums = np.zeros((2**bits, languages))
+        self.factors = arrays.mix(np.arange(1, CACHED_LENGTH + 1, dtype=np.uint64)) | np.uint64(1)
+
+    def hashes(self, words: pa.StringArray) -> np.ndarray:
+        """0 for words that are too long."""
+        data, starts, ends = _bytes(words)
+        lengths = ends - starts  # the space in front counts
+        out = np.zeros(len(words), dtype=np.uint64)
+        short = np.flatnonzero(lengths <= CACHED_LENGTH)
+        if len(short):
+            sizes = lengths[short]
+            first = np.cumsum(sizes) - sizes
+            place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+            parts = _BYTE[data[np.repeat(starts[short], sizes) + place]] * self.factors[place]
+            out[short] = arrays.mix(np.add.reduceat(parts, first) + sizes.astype(np.uint64))
+        return out
+
+    def look_up(self, pieces: Pieces, p: np.ndarray, words: pa.StringArray) -> np.ndarray:
+        """:func:`log_sums` of the words."""
+        h = self.hashes(words)
+        slots = (h >> self.shift).astype(np.int64)
+        out = self.sums[slots]
+        fresh = np.flatnonzero((self.keys[slots] != h) | (h == 0))
+        for begin in range(0, len(fresh), 20_000):
+            part = fresh[begin : begin + 20_000]
+            out[part] = log_sums(pieces, p, words.take(pa.array(part)))
+        fresh = fresh[h[fresh] != 0]
+        self.keys[slots[fresh]] = h[fresh]
+        # Of several words with one slot the last one wins in both arrays.
+        self.sums[slots[fresh]] = out[fresh]
+        return out
+
+
 def rank_prior(n: int) -> np.ndarray:
     p = 1.0 / (np.arange(n) + 100.0)
     return p / p.sum()
@@ -174,6 +329,8 @@ def expected_counts(pieces: Pieces, prior: np.ndarray, words: pa.StringArray, we
     data, starts, ends = _bytes(words)
     counts = np.zeros((pieces.count, weights.shape[1]))
     p = np.maximum(prior, LEAST)[:, None]
+    for k in _long(ends - starts):
+        _long_counts(pieces, data[starts[k] : ends[k]], p[:, 0], weights[k], counts)
     for own, logs in _classes(ends - starts):
         steps = _steps(pieces, data, starts[own], ends[own])
         used = np.log(p) if logs else p
@@ -201,6 +358,8 @@ def log_sums(pieces: Pieces, p: np.ndarray, words: pa.StringArray) -> np.ndarray
     """[words, languages]: log of the sum over all segmentations."""
     data, starts, ends = _bytes(words)
     out = np.zeros((len(words), p.shape[1]))
+    for k in _long(ends - starts):
+        out[k] = _long_sums(pieces, data[starts[k] : ends[k]], p)
     for own, logs in _classes(ends - starts):
         steps = _steps(pieces, data, starts[own], ends[own])
         alpha = _forward(steps, len(own), np.log(p) if logs else p, logs)
@@ -274,22 +433,11 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, pieces, p = shared.value
         table = Pieces(pieces)
-        cached: dict[str, int] = {}
-        sums = np.zeros((CACHED_WORDS * 2, len(languages)))
+        cache = _Cache(len(languages))
         for rows, _, _ in arrays.slices(batches):
             ends, words, index = _words(rows)
-            if len(cached) + len(words) > len(sums):
-                cached.clear()
-                if len(words) > len(sums):
-                    sums = np.zeros((len(words), len(languages)))
-            listed = words.to_pylist()
-            fresh = [w for w in listed if w not in cached]
-            for begin in range(0, len(fresh), 20_000):
-                part = fresh[begin : begin + 20_000]
-                sums[len(cached) : len(cached) + len(part)] = log_sums(table, p, pa.array(part, pa.string()))
-                cached.update(zip(part, range(len(cached), len(cached) + len(part)), strict=True))
-            number = np.fromiter((cached[w] for w in listed), dtype=np.int64, count=len(listed))
-            added = np.concatenate([np.zeros((1, len(languages))), np.cumsum(sums[number[index]], axis=0)])
+            own = cache.look_up(table, p, words)
+            added = np.concatenate([np.zeros((1, len(languages))), np.cumsum(own[index], axis=0)])
             logs = added[ends[1:]] - added[ends[:-1]]
             letters = np.asarray(rows.column(len(names)).to_numpy(zero_copy_only=False), dtype=bool)
             good = letters & (len(languages) > 0)

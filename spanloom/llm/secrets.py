@@ -6,7 +6,12 @@ the path it was found under and the words around it. A random forest trained on
 labelled findings (findings with a column ``label``) tells secrets from the rest.
 
 Where no person has labelled findings, ``certain_labels`` labels those whose
-form leaves no doubt, either way; the forest decides on all others.
+form leaves no doubt, either way; the forest decides on all others. What those
+labels are read from, the known prefix and the keyword, is kept from the forest
+(see LEARNED), so that it learns what secrets look like otherwise.
+
+No pattern repeats a group unless possessively: Java would descend once for each
+repetition, and a token of some ten thousand signs would end the whole process.
 """
 
 from __future__ import annotations
@@ -44,7 +49,7 @@ KEY_FORMATS = [
     "(?:AKIA|ASIA)[0-9A-Z]{16}", "gh[pousr]_[A-Za-z0-9]{30,}", "github_pat_[A-Za-z0-9_]{22,}", "gl[a-z]{2,5}-[A-Za-z0-9_-]{20,}",
     "(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{16,}", "whsec_[A-Za-z0-9+/=]{16,}", "xox[a-z]-[A-Za-z0-9-]{10,}", "xapp-[0-9]-[A-Za-z0-9-]{10,}",
     "npm_[A-Za-z0-9]{30,}", "pypi-[A-Za-z0-9_-]{16,}", "hf_[A-Za-z0-9]{30,}", "AIza[A-Za-z0-9_-]{35}", r"ya29\.[A-Za-z0-9_-]{20,}",
-    r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}", "sk-(?:[a-z0-9]+-)*[A-Za-z0-9_-]{20,}", "shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}", "do[opr]_v1_[0-9a-f]{64}",
+    r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}", "sk-[A-Za-z0-9_-]{20,}", "shp(?:at|ca|pa|ss)_[0-9a-fA-F]{32}", "do[opr]_v1_[0-9a-f]{64}",
     r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
 ]
 KEY_FORMAT = f"(?<![A-Za-z0-9])(?:{'|'.join(KEY_FORMATS)})(?![A-Za-z0-9])"
@@ -58,6 +63,8 @@ FEATURES = [
     "distinct_share", "hex_only", "keyword_before", "quoted", "assigned", "word_after", "plain_path", "path_length",
     "key_format",
 ]
+LEARNED = [f for f in FEATURES if f not in ("key_format", "keyword_before", "assigned", "quoted")]
+"""What the forest sees."""
 TRAIN_ROWS = 50_000
 """The forest is fitted on about so many labelled findings, a hash of the finding choosing; all if there are fewer."""
 TREES, DEPTH = 20, 6
@@ -133,25 +140,34 @@ def described(found: DataFrame) -> DataFrame:
     return found.select("*", *(features[name].cast("double").alias(name) for name in FEATURES))
 
 
-def certain_labels(found: DataFrame) -> DataFrame:
-    """Findings whose form settles it, with ``label`` 1 (a known key format, see KEY_FORMATS, a long hex value given to a keyword) or 0
-    (addresses, numbers, dates, host names and paths without a long part of mixed letters and digits, version numbers, words)."""
+def certain_label() -> Column:
+    """1 for findings that are a known key format (see KEY_FORMATS) or a long hex value given to a keyword, 0 for addresses,
+    numbers, dates, host names and paths without a long part of mixed letters and digits, version numbers and words; else null."""
     token, before = F.col("candidate"), F.lower("before")
     named = before.rlike(f"({KEYWORDS})[a-z0-9_.-]*[\\s\"'=:>\\\\]+$") | F.lower(token).rlike(f"^({KEYWORDS})[a-z_]*=")
     issued = ~token.rlike("^[A-Z]?[a-z]+$") & token.rlike(KEY_FORMAT)
-    secret = issued | (named & token.rlike("[0-9a-f]{16,}[,;.)]?$"))
+    secret = issued | (named & token.rlike("(?<![0-9a-f])[0-9a-f]{16,}+[,;.)]?$"))
     plain = (
         token.rlike(r"^[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+$")
         | token.rlike(r"^[+]?[0-9][0-9./-]*[0-9.]$")
-        | token.rlike(r"^[A-Za-z]+(?:[._/-][A-Za-z0-9]+)+[.]?$") & ~named & ~token.rlike(CHANCE)
+        | token.rlike(r"^[A-Za-z]++(?:[._/-][A-Za-z0-9]++)++[.]?$") & ~named & ~token.rlike(CHANCE)
         | token.rlike(r"^[A-Za-z]?[a-z]+[.]?$") & ~named
     )
-    label = F.when(issued | (secret & ~plain), 1.0).when(plain & ~secret, 0.0)
-    return found.withColumn("label", label).where("label IS NOT NULL")
+    return F.when(issued | (secret & ~plain), 1.0).when(plain & ~secret, 0.0)
+
+
+def certain_labels(found: DataFrame) -> DataFrame:
+    """Findings whose form settles it, with their ``label``."""
+    return found.withColumn("label", certain_label()).where("label IS NOT NULL")
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS, seed: int = 7) -> RandomForestClassificationModel | None:
-    """Forest from findings with FEATURES and ``label``; None where they are not of both kinds."""
+    """Forest from findings with FEATURES and ``label`` (1: a secret); None where they are not of both kinds.
+
+    Equal findings are one row that counts as often as they occur, so that no
+    task gets all of a frequent one. Null labels are left out.
+    """
+    labelled = labelled.where("label IS NOT NULL")
     kinds = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     if set(kinds) != {0.0, 1.0}:
         return None
@@ -163,19 +179,23 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, seed: int = 7) -> RandomF
     threshold = F.when(F.col("label") == rare, int(part[rare] * 2**31)).otherwise(int(part[1 - rare] * 2**31))
     sample = labelled.where(mark.bitwiseAND(2**31 - 1) < threshold)
     # The same rows in the same partitions and order: the forest's own sampling depends on them.
-    sample = sample.select(*FEATURES, "label").repartition(8, *FEATURES, "label").sortWithinPartitions(*FEATURES, "label")
-    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample).select("features", "label")
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed).fit(data)
+    sample = sample.groupBy(*LEARNED, "label").agg(F.count(F.lit(1)).cast("double").alias("times"))
+    sample = sample.repartition(8, *LEARNED, "label").sortWithinPartitions(*LEARNED, "label")
+    data = VectorAssembler(inputCols=LEARNED, outputCol="features").transform(sample).select("features", "label", "times")
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, weightCol="times").fit(data)
 
 
 def judged(found: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
-    """``found`` (with FEATURES) with ``probability`` of a secret and ``is_secret`` (0.5 or more).
+    """``found`` (with FEATURES) with the forest's ``probability`` of a secret, and ``is_secret``.
 
-    Without a model nothing is taken out: the probability is null, is_secret true.
+    ``is_secret`` is what the form says where it settles it (:func:`certain_label`),
+    else whether the probability is 0.5 or more. Without a model nothing is taken
+    out: the probability is null, and ``is_secret`` true or null.
     """
+    settled = certain_label()
     if model is None:
-        return found.withColumns({"probability": F.lit(None).cast("double"), "is_secret": F.lit(True)})
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)
+        return found.withColumns({"probability": F.lit(None).cast("double"), "is_secret": F.when(settled == 1, True)})
+    vectors = VectorAssembler(inputCols=LEARNED, outputCol="features").transform(found)
     chance: Column = F.get(vector_to_array("probability"), F.lit(1))
     out = model.transform(vectors).withColumn("probability", F.round(chance, 6))
-    return out.select(*found.columns, "probability", (F.col("probability") >= 0.5).alias("is_secret"))
+    return out.select(*found.columns, "probability", F.coalesce(settled == 1, F.col("probability") >= 0.5).alias("is_secret"))

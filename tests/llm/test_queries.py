@@ -54,7 +54,10 @@ def test_toxicity_language_and_secrets(spark, rows):
     held = [i for i, r in found.items() if r.held_out]
     assert set(held) == {i for i in langs if zlib.crc32(str(i).encode()) % 3 == 1}
     assert sum(found[i].lang_pred == langs[i] for i in held) >= 0.97 * len(held)
-    assert QUERIES["op6_secret_scan"](spark, SF_DIR).where("is_secret").count() > 0
+    # No finding here is certainly a secret, so there is no forest, and what the form does not settle stays open.
+    found = QUERIES["op6_secret_scan"](spark, SF_DIR)
+    assert found.where("probability IS NOT NULL OR is_secret").count() == 0
+    assert found.where("is_secret IS NULL").count() > 0
 
 
 def test_decontamination_and_join(spark, rows):

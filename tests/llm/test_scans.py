@@ -185,3 +185,41 @@ def test_whole_licence_texts(spark):
     docs = spark.createDataFrame([(n, text.upper()) for n, (_, text) in enumerate(texts)], "doc_id long, text string")
     found = {r.doc_id: r.whole_license for r in licenses.scan(docs, licenses.known_licenses(spark)).collect()}
     assert len(texts) == 7 and found == {n: i for n, (i, _) in enumerate(texts)}
+
+
+LONG_TOKEN = 300_000
+
+
+@pytest.mark.parametrize("piece", ["x", "ab/cde.", "a1", "sk-ab-", "1.2-", "ab=", "a@b.", "/", "0f"])
+def test_very_long_tokens_end_no_process(spark, piece):
+    """Java's engine descends once for each repetition of a group, unless it is possessive."""
+    docs = spark.createDataFrame([(1, "see " + piece * (LONG_TOKEN // len(piece)) + " now"), (2, "sk-" + "ab-" * 8000)], "doc_id long, text string")
+    found = secrets.described(secrets.candidates(docs))
+    assert secrets.judged(found, None).count() == secrets.certain_labels(found).count() + found.where(secrets.certain_label().isNull()).count()
+
+
+def test_forest_learns_without_what_made_the_labels(spark):
+    """Keys without a known prefix and without a keyword, and words, paths and numbers that no rule settles."""
+    rng = random.Random(3)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    chance = lambda n: "".join(rng.choices(signs, k=n))
+    parts = ["report", "summary", "holiday", "draft", "north", "winter", "garden", "letter"]
+    rows, unknown = [], {}
+    for i in range(600):
+        key = i % 3 == 0
+        plain = "_".join(rng.choices(parts, k=rng.randrange(2, 5)))
+        if i < 400:
+            text = f"see ghp_{chance(36)} now" if key else [f"see mail.{plain.replace('_', '.')}.com", f"on {plain.replace('_', '/')}"][i % 2]
+        else:
+            text = f"see {chance(34)}+{chance(3)} now" if key else f"see {plain}+{rng.choice(parts)} now"
+            unknown[i] = key
+        rows.append((i, text))
+    found = secrets.described(secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string"))).cache()
+    known = secrets.certain_labels(found)
+    assert known.where("doc_id >= 400").count() == 0
+    assert not {"key_format", "keyword_before", "assigned"} & set(secrets.LEARNED)
+    judged = [r for r in secrets.judged(found, secrets.train(known)).collect() if r.doc_id >= 400]
+    said = {r.doc_id for r in judged if r.is_secret}
+    true = {i for i, key in unknown.items() if key}
+    assert len(said & true) >= 0.9 * len(true) and len(said & true) >= 0.9 * len(said)
+    assert any(0 < r.probability < 1 for r in judged)

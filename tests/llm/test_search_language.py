@@ -128,3 +128,46 @@ def test_languages(odd_docs, no_docs, clashing, spark):
     assert language.identify(no_docs, model).count() == 0
     empty = language.fit(no_docs, model.pieces)
     assert {r.lang_pred for r in language.identify(odd_docs, empty).collect()} == {"und"}
+
+
+def test_very_long_words_are_summed_in_blocks(monkeypatch):
+    """One unbroken word, in blocks of places, gives what all places at once give, and takes no memory for all of them."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from spanloom.llm import language
+    from spanloom.llm.queries import vocabulary
+
+    pieces = language.read_pieces(vocabulary("byte_bpe_50k.tiktoken"))
+    table = language.Pieces(pieces)
+    rng = random.Random(1)
+    word = "".join(rng.choice(["ta", "re", "mon", "é", "ing", "x", "日"]) for _ in range(1500))
+    words = pa.array([word, "abc", word[:700], "z" * 900])
+    p = np.maximum(np.random.default_rng(0).random((len(pieces), 3)) * 1e-3, language.LEAST)
+    weights = np.arange(8.0).reshape(4, 2)
+    prior = language.rank_prior(table.count)
+    found = {}
+    for long in (1 << 20, 512):
+        monkeypatch.setattr(language, "LONG", long)
+        found[long] = language.log_sums(table, p, words), language.expected_counts(table, prior, words, weights)
+    assert np.allclose(found[512][0], found[1 << 20][0], rtol=1e-12)
+    assert np.allclose(found[512][1], found[1 << 20][1], rtol=1e-6, atol=1e-6)
+
+
+def test_cached_sums_are_the_sums():
+    import numpy as np
+    import pyarrow as pa
+
+    from spanloom.llm import language
+
+    pieces = [bytes([b]) for b in range(256)] + [b"ab", b" a", b"ba", b"bab"]
+    table = language.Pieces(pieces)
+    p = np.random.default_rng(3).random((len(pieces), 2)) / 100
+    cache = language._Cache(2)
+    cache.keys, cache.sums, cache.shift = cache.keys[:4], cache.sums[:4], np.uint64(62)  # collisions
+    rng = np.random.default_rng(4)
+    for _ in range(5):
+        words = pa.array(["".join(rng.choice(list("ab"), rng.integers(0, 9))) for _ in range(40)] + ["a" * 100])
+        assert np.allclose(cache.look_up(table, p, words), language.log_sums(table, p, words))
