@@ -74,9 +74,18 @@ def run_batches(
     """
     if partitions is None:
         partitions = int(inputs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pending = pending_inputs(inputs, batches).repartition(partitions, *ROW)
-    todo = limit_by(unanswered_inputs(pending, results), 1, ROW, _first_input(inputs))
-    spread = todo.select(*REQUEST_COLUMNS)
+    return answered(work_list(inputs, batches, results, partitions), client)
+
+
+def work_list(inputs: DataFrame, batches: DataFrame, results: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Every pending, unanswered request once (REQUEST_COLUMNS), distributed by row."""
+    pending = pending_inputs(inputs, batches)
+    pending = pending.repartition(*ROW) if partitions is None else pending.repartition(partitions, *ROW)
+    return limit_by(unanswered_inputs(pending, results), 1, ROW, _first_input(inputs)).select(*REQUEST_COLUMNS)
+
+
+def answered(requests: DataFrame, client: Client) -> DataFrame:
+    """What the client says to each request, as rows for ``llm_results``."""
 
     def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -85,7 +94,7 @@ def run_batches(
                 columns=["batch_id", "row_id", "response", "status", "error"],
             )
 
-    return spread.mapInPandas(answer, ANSWER_SCHEMA).withColumn(
+    return requests.mapInPandas(answer, ANSWER_SCHEMA).withColumn(
         "created_at", F.current_timestamp()
     )
 
@@ -98,6 +107,29 @@ def _answer_row(client: Client, row) -> tuple[str, str, str, str, str]:
         return row.batch_id, row.row_id, "", "failed", f"{type(problem).__name__}: {problem}"
 
 
+def live_claims(claims: DataFrame, at: Column) -> DataFrame:
+    """Of each row the claim that holds ``at`` that instant: the first made of those not expired."""
+    holds = (F.col("claimed_at") <= at) & (F.col("expires_at") > at)
+    return limit_by(claims.where(holds), 1, ROW, [F.asc("claimed_at"), F.asc("worker")])
+
+
+def unclaimed(requests: DataFrame, claims: DataFrame, at: Column) -> DataFrame:
+    """Requests that no worker holds at that instant; those whose claim expired are free again."""
+    return requests.join(live_claims(claims, at).select(*ROW), ROW, "left_anti")
+
+
+def new_claims(requests: DataFrame, worker: str, rows: int, at: Column, lease_seconds: int) -> DataFrame:
+    """Claims of ``worker`` on ``rows`` requests; each worker goes through them in an order of its own, so that few meet."""
+    own_order = F.xxhash64(F.lit(worker), *ROW)
+    chosen = requests.select(*ROW).orderBy(own_order, *ROW).limit(rows)
+    return chosen.select(
+        *ROW,
+        F.lit(worker).alias("worker"),
+        at.alias("claimed_at"),
+        (at + F.make_dt_interval(secs=F.lit(lease_seconds))).alias("expires_at"),
+    )
+
+
 def _first_input(inputs: DataFrame) -> list[Column]:
     """Order in which repeated inputs are preferred: the earliest, else any fixed one."""
     made = [F.asc("created_at")] if "created_at" in inputs.columns else []

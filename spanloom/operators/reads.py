@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from spanloom.operators import annotations, batch_queue, conversations, filters, latest, normalize, traces
+from spanloom.session import shared_dir
 from spanloom.sources import blocks, days, tables
 from spanloom.sources.tables import Store
 
@@ -108,7 +111,8 @@ def enqueue(store: Store, batch_id: str, rows: DataFrame) -> None:
     under a new id.
     """
     store.append(rows.withColumn("batch_id", F.lit(batch_id)), tables.LLM_INPUTS)
-    # Counted from what was stored: running ``rows`` again could give others.
+    # Counted from what was stored: running ``rows`` again could give others. The
+    # batch's Bloom filters spare files without it.
     stored = store.read(tables.LLM_INPUTS).where(F.col("batch_id") == batch_id.lower())
     store.append(batch_queue.pending_events(stored), tables.LLM_BATCHES)
 
@@ -119,17 +123,97 @@ def work(
     """Answer everything that is pending, then close the finished batches.
 
     The rows are answered in waves of about ``wave_rows``, each stored before
-    the next begins, so that a failure costs the answers of one wave only.
+    the next begins, so that a failure costs the answers of one wave only. What
+    is to be done is worked out once and written by wave; inputs and results
+    are not read again for each of them.
     """
+    spark = store.spark
+    inputs, batches = store.read(tables.LLM_INPUTS), store.read(tables.LLM_BATCHES)
+    todo = batch_queue.work_list(inputs, batches, store.read(tables.LLM_RESULTS))
+    # Hashed finely first; the waves are as many of these as fit one.
+    place = f"{shared_dir(spark)}/spanloom/work/{uuid.uuid4().hex}"
+    share = F.pmod(F.xxhash64(*batch_queue.ROW), F.lit(WORK_SHARES)).cast("int")
+    spread = todo.withColumn("_share", share).repartition("_share").sortWithinPartitions("_share")
+    spread.write.parquet(place)
+    listed = spark.read.schema(spread.schema).parquet(place)
+    for low, high in _waves({r["_share"]: r["count"] for r in listed.groupBy("_share").count().collect()}, wave_rows):
+        wave = listed.where(F.col("_share").between(low, high)).drop("_share")
+        many = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # The calls take long however few bytes there are.
+        store.append(batch_queue.answered(wave.repartition(many, *batch_queue.ROW), client), tables.LLM_RESULTS)
+    _close(store)
+
+
+WORK_SHARES = 4096
+"""Parts the work is divided into; a wave is one of them at least."""
+
+
+def _waves(counts: dict[int, int], wave_rows: int) -> list[tuple[int, int]]:
+    """Ranges of shares that hold ``wave_rows`` rows, or one share that holds more."""
+    waves: list[list[int]] = []
+    held = 0
+    for share in sorted(counts):
+        if waves and held + counts[share] <= wave_rows:
+            waves[-1][1] = share
+            held += counts[share]
+        else:
+            waves.append([share, share])
+            held = counts[share]
+    return [(low, high) for low, high in waves]
+
+
+def _close(store: Store) -> None:
     inputs, batches = store.read(tables.LLM_INPUTS), store.read(tables.LLM_BATCHES)
-    pending = batch_queue.pending_inputs(inputs, batches)
-    todo = batch_queue.unanswered_inputs(pending, store.read(tables.LLM_RESULTS))
-    waves = max(1, -(-todo.select(*batch_queue.ROW).distinct().count() // wave_rows))
-    wave = F.pmod(F.xxhash64(*batch_queue.ROW), F.lit(waves))
-    for number in range(waves):
-        answers = batch_queue.run_batches(
-            inputs.where(wave == number), batches, store.read(tables.LLM_RESULTS), client, partitions
-        )
-        store.append(answers, tables.LLM_RESULTS)
     done = batch_queue.closing_events(inputs, batches, store.read(tables.LLM_RESULTS))
     store.append(done, tables.LLM_BATCHES)
+
+
+def claim(store: Store, worker: str, rows: int, lease_seconds: int = 600, at: dt.datetime | None = None) -> DataFrame:
+    """Take up to ``rows`` pending requests for ``worker``; those it holds, with their texts.
+
+    A claim is a row; of several on one request the first by time, then worker,
+    holds until it expires. Claims are stored first and read back then, so of
+    workers that reach for the same request one gets it. After ``lease_seconds``
+    others may take over. Should a slow worker answer all the same, both answers
+    are stored and the newest counts.
+    """
+    now = F.current_timestamp() if at is None else F.lit(at).cast("timestamp")
+    inputs, batches, results = (store.read(t) for t in (tables.LLM_INPUTS, tables.LLM_BATCHES, tables.LLM_RESULTS))
+    todo = batch_queue.work_list(inputs, batches, results)
+    free = batch_queue.unclaimed(todo, store.read(tables.LLM_CLAIMS), now)
+    store.append(batch_queue.new_claims(free, worker, rows, now, lease_seconds), tables.LLM_CLAIMS)
+    later = F.current_timestamp() if at is None else now
+    held = batch_queue.live_claims(store.read(tables.LLM_CLAIMS), later).where(F.col("worker") == worker)
+    return todo.join(held.select(*batch_queue.ROW), batch_queue.ROW, "left_semi")
+
+
+def work_claimed(store: Store, worker: str, client: batch_queue.Client, rows: int, lease_seconds: int = 600,
+                 at: dt.datetime | None = None) -> int:
+    """Claim, answer and store; returns how many requests were answered. 0: nothing is free, finished batches are closed."""
+    place = f"{shared_dir(store.spark)}/spanloom/work/{uuid.uuid4().hex}"
+    # Written before the calls: whether a claim holds must not be asked again later.
+    claim(store, worker, rows, lease_seconds, at).write.parquet(place)
+    mine = store.spark.read.parquet(place)
+    many = mine.count()
+    if many:
+        store.append(batch_queue.answered(mine.repartition(*batch_queue.ROW), client), tables.LLM_RESULTS)
+    else:
+        _close(store)
+    return many
+
+
+def work_stream(store: Store, worker: str, client: batch_queue.Client, checkpoint: str, rows: int = 1000,
+                lease_seconds: int = 600, every: str | None = "2 seconds") -> StreamingQuery:
+    """Work on whatever new batch events appear, until stopped (``every=None``: until what is there is done).
+
+    Any number of such streams, under different names, may run at a time.
+    """
+    events = store.spark.readStream.schema(store.read(tables.LLM_BATCHES).schema).parquet(store.table_folder(tables.LLM_BATCHES))
+
+    def answer(_: DataFrame, __: int) -> None:
+        while work_claimed(store, worker, client, rows, lease_seconds):
+            pass
+
+    writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(answer)
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    return writer.trigger(**trigger).start()

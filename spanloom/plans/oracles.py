@@ -244,6 +244,10 @@ ATTRIBUTE_SEARCH = f"""
 WITH {EVENTS}
 SELECT span_id, service_name, 'oi-' || (u % 2) AS model FROM ev WHERE d = 1 AND y = 'purchase'"""
 
+TRACE_LIMITED = f"""
+WITH {EVENTS}
+SELECT least(count(*), 3) AS spans, count(DISTINCT trace_id) AS traces FROM ev WHERE e // 5 = 20 AND trace_id <> ''"""
+
 SLOW_SPANS = f"""
 WITH {EVENTS}
 SELECT span_id, duration_ns FROM ev WHERE duration_ns BETWEEN 50000000 AND 100000000"""
@@ -439,6 +443,21 @@ SELECT {_BATCH} AS batch_id, {_ROW} AS row_id,
        CASE WHEN length(text) % 10 = 0 THEN 'ValueError: prompt refused' ELSE '' END AS error
 FROM documents WHERE {_PENDING} AND NOT {_ANSWERED}"""
 
+CLAIMED_WORK = f"""
+SELECT {_BATCH} AS batch_id, {_ROW} AS row_id,
+       CASE WHEN length(text) % 10 = 0 THEN '' ELSE
+         'model-' || lang || '|' || CASE WHEN doc_id % 2 = 0 THEN '{{"t":0}}' ELSE '{{}}' END
+         || '||' || length(text) || '|' || md5(text) END AS response,
+       CASE WHEN length(text) % 10 = 0 THEN 'failed' ELSE 'complete' END AS status, 1 AS answers
+FROM documents WHERE {_PENDING}"""
+
+ENQUEUED_BATCH = """
+SELECT '00000000-0000-4000-8000-0000000000ab' AS batch_id, 'pending' AS status, count(*) AS total_rows,
+       0 AS completed_rows, 0 AS failed_rows FROM documents"""
+
+STORED_QUEUE_RETAINED = f"""
+SELECT {_BATCH} AS batch_id, {_ROW} AS row_id, {BASE} + doc_id AS created_at FROM documents WHERE doc_id > 100"""
+
 BATCH_PROGRESS = f"""
 WITH {PROGRESS} SELECT batch_id, total_rows, completed_rows, failed_rows FROM progress"""
 
@@ -472,6 +491,7 @@ ORACLES: dict[str, str] = {
     "streamed_spans": STREAMED_SPANS,
     "streamed_trace_bounds": TRACE_BOUNDS,
     "streamed_dedup": STREAMED_DEDUP,
+    "closed_trace_bounds": TRACE_BOUNDS,
     "streamed_otlp": STREAMED_OTLP,
     "streamed_rejects": STREAMED_REJECTS,
     "redelivered_spans": REDELIVERED_SPANS,
@@ -486,6 +506,9 @@ ORACLES: dict[str, str] = {
     "stored_clusters": CLUSTERS_JOINED,
     "stored_progress": BATCH_PROGRESS,
     "worked_queue": WORKED_QUEUE,
+    "claimed_work": CLAIMED_WORK,
+    "enqueued_batch": ENQUEUED_BATCH,
+    "stored_queue_retained": STORED_QUEUE_RETAINED,
     "turn_texts": TURN_TEXTS,
     "turn_numbers": TURN_NUMBERS,
     "conversation_rollup": CONVERSATION_ROLLUP,
@@ -501,6 +524,7 @@ ORACLES: dict[str, str] = {
     "latest_batches": LATEST_BATCHES,
     "trace_bounds": TRACE_BOUNDS,
     "trace_lookup": TRACE_LOOKUP,
+    "trace_limited": TRACE_LIMITED,
     "span_lookup": SPAN_LOOKUP,
     "trace_fetch": TRACE_FETCH,
     "failed_traces": FAILED_TRACES,

@@ -11,7 +11,7 @@ import hashlib
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import timestamps
@@ -211,6 +211,31 @@ def streamed_trace_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.merge_trace_bounds(_ingested(spark, sf_dir).read(tables.TRACE_BOUNDS))
 
 
+def closed_trace_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds that a stream emits when traces close; the last span ends long after all others and stays open."""
+    _, place = _new_store(spark)
+    schema = samples.table(spark, sf_dir, "events").schema
+    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+    arriving = arriving.where(F.input_file_name().rlike(r"/events\.parquet(/|$)"))
+    spans = samples.spans_from_events(arriving).select("trace_id", "timestamp_ns")
+    # A span of the far future for every thousandth one, so that time goes on.
+    marks = F.when(_is_mark(), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    marked = spans.withColumn("mark", F.explode(marks))
+    spans = marked.select(
+        F.when(F.col("mark"), "mark").otherwise(F.col("trace_id")).alias("trace_id"),
+        (F.col("timestamp_ns") + F.when(F.col("mark"), 10**18).otherwise(0)).alias("timestamp_ns"),
+    )
+    writer = ingest.closed_trace_bounds(spans, "1 hour").writeStream.format("parquet")
+    writer = writer.option("path", f"{place}-bounds").option("checkpointLocation", place)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    closed = spark.read.schema("trace_id string, first_start_ns bigint, last_start_ns bigint").parquet(f"{place}-bounds")
+    return traces.merge_trace_bounds(closed.where("trace_id <> 'mark'"))
+
+
+def _is_mark() -> Column:
+    return F.pmod(F.xxhash64("trace_id", "timestamp_ns"), F.lit(1000)) == 0
+
+
 def streamed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every span delivered twice, in no order of time: each stays once, in the stream."""
     _, place = _new_store(spark)
@@ -399,6 +424,38 @@ def worked_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.latest_batches(store.read(tables.LLM_BATCHES)).drop("created_at", tables.PARTITION)
 
 
+def claimed_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two workers in turn, after a third took requests and was never seen again: every request has one answer."""
+    store, _ = _new_store(spark)
+    sinks.append_llm_inputs(store, samples.queue_inputs(spark, sf_dir))
+    sinks.append_llm_batches(store, samples.queue_batches(spark, sf_dir))
+    share = max(1, store.read(tables.LLM_INPUTS).count() // 4)
+    reads.claim(store, "lost", share, 60, AS_OF)
+    at, idle = AS_OF, 0
+    while idle < 2:
+        at += dt.timedelta(seconds=40)
+        idle = sum(reads.work_claimed(store, w, digest_client, share, 60, at) == 0 for w in ("first", "second"))
+    answers = F.count(F.lit(1)).over(Window.partitionBy("batch_id", "row_id")).alias("answers")
+    return store.read(tables.LLM_RESULTS).select("batch_id", "row_id", "response", "status", answers)
+
+
+def enqueued_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All inputs as one batch: the event that makes it pending."""
+    store, _ = _new_store(spark)
+    rows = samples.queue_inputs(spark, sf_dir).drop("batch_id")
+    reads.enqueue(store, "00000000-0000-4000-8000-0000000000AB", rows)
+    return store.read(tables.LLM_BATCHES).select("batch_id", "status", "total_rows", "completed_rows", "failed_rows")
+
+
+def stored_queue_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs left after 30 days, however short the retention setting is."""
+    store, _ = _new_store(spark)
+    sinks.append_llm_inputs(store, samples.queue_inputs(spark, sf_dir))
+    as_of = dt.datetime(2024, 1, 1) + dt.timedelta(days=30, seconds=100)
+    retention.apply_retention(store, tables.LLM_INPUTS, as_of, days=1)
+    return store.read(tables.LLM_INPUTS).select("batch_id", "row_id", _seconds("created_at"))
+
+
 # --- turns and conversations ---------------------------------------------------
 
 
@@ -523,6 +580,12 @@ def trace_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def trace_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many spans of a trace as a limit lets pass, told by number."""
+    found = filters.find_trace(samples.raw_spans(spark, sf_dir), _looked_up_trace(), limit=3)
+    return found.agg(F.count(F.lit(1)).alias("spans"), F.count_distinct("trace_id").alias("traces"))
+
+
 def span_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = samples.raw_spans(spark, sf_dir)
     return filters.find_span(spans, f"{LOOKED_UP_EVENT:016x}").select(
@@ -686,6 +749,7 @@ QUERIES: dict[str, Query] = {
         streamed_spans,
         streamed_trace_bounds,
         streamed_dedup,
+        closed_trace_bounds,
         streamed_otlp,
         streamed_rejects,
         redelivered_spans,
@@ -700,6 +764,9 @@ QUERIES: dict[str, Query] = {
         stored_clusters,
         stored_progress,
         worked_queue,
+        claimed_work,
+        enqueued_batch,
+        stored_queue_retained,
         turn_texts,
         turn_numbers,
         conversation_rollup,
@@ -715,6 +782,7 @@ QUERIES: dict[str, Query] = {
         latest_batches,
         trace_bounds,
         trace_lookup,
+        trace_limited,
         span_lookup,
         trace_fetch,
         failed_traces,

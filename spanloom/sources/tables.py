@@ -201,6 +201,7 @@ LLM_INPUTS = Table(
     },
     clock="created_at",
     order=("batch_id", "row_id"),
+    bloom=("batch_id",),
     defaults={"params": "{}", "tool_config": "", "created_at": F.current_timestamp},
     uuids=("batch_id", "row_id"),
     follows_retention_setting=False,
@@ -218,12 +219,30 @@ LLM_RESULTS = Table(
     },
     clock="created_at",
     order=("batch_id", "row_id"),
+    bloom=("batch_id",),
     defaults={"error": "", "created_at": F.current_timestamp},
     allowed={"status": ("complete", "failed")},
     uuids=("batch_id", "row_id"),
     follows_retention_setting=False,
 )
 
+LLM_CLAIMS = Table(
+    name="llm_claims",
+    columns={
+        "batch_id": "STRING",
+        "row_id": "STRING",
+        "worker": "STRING",
+        "claimed_at": "TIMESTAMP",
+        "expires_at": "TIMESTAMP",
+    },
+    clock="claimed_at",
+    order=("batch_id", "row_id", "claimed_at"),
+    bloom=("batch_id",),
+    uuids=("batch_id", "row_id"),
+    follows_retention_setting=False,
+)
+"""Which worker has taken which request, and until when; only ever grows."""
+
 LLM_BATCHES = Table(
     name="llm_batches",
     columns={
@@ -327,6 +346,7 @@ TABLES = {
         LLM_INPUTS,
         LLM_RESULTS,
         LLM_BATCHES,
+        LLM_CLAIMS,
         EVAL_SCORES,
         CLUSTER_ASSIGNMENTS,
         OTLP_REJECTS,

@@ -86,6 +86,26 @@ def _query_id(block: DataFrame, checkpoint: str) -> str:
     return json.loads(text.value)["id"]
 
 
+def closed_trace_bounds(stream: DataFrame, idle: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+    """Bounds of traces, each emitted once it has been silent for ``idle``; append mode.
+
+    State is one row per trace that is not closed yet, and ends with it: a
+    session of the trace's spans closes when the watermark, ``late`` behind the
+    newest span, has passed its end. Spans that come even later are not counted;
+    a trace that goes on after it closed gets another row. Rows merge as the
+    partial bounds of blocks do (``merge_trace_bounds``).
+    """
+    second = timestamps.whole_second(F.col("timestamp_ns"))
+    return (
+        stream.where(F.col("trace_id") != "")
+        .select("trace_id", second.alias("_second"), timestamps.to_timestamp(F.col("timestamp_ns")).alias("_at"))
+        .withWatermark("_at", late)
+        .groupBy("trace_id", F.session_window("_at", idle))
+        .agg(F.min("_second").alias("first_start_ns"), F.max("_second").alias("last_start_ns"))
+        .select("trace_id", "first_start_ns", "last_start_ns")
+    )
+
+
 def dedup_redeliveries(stream: DataFrame, window: str = "30 minutes") -> DataFrame:
     """Drop exact re-deliveries of a span that arrive within ``window`` of the first.
 
