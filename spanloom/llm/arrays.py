@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ def flags(*ranges: tuple[int, int]) -> np.ndarray:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple]:
     """(rows, bytes, offsets) of runs of rows; null texts are empty."""
+    give_back()
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         texts = texts.fill_null("") if texts.null_count else texts
@@ -44,6 +46,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             own = offsets[begin : end + 1].astype(np.int64)
             yield batch.slice(begin, end - begin), data[own[0] : own[-1]], own - own[0]
             begin = end
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers are used again and would keep the most that any task held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple:
