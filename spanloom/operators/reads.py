@@ -196,7 +196,10 @@ def work_claimed(store: Store, worker: str, client: batch_queue.Client, rows: in
     mine = store.spark.read.parquet(place)
     many = mine.count()
     if many:
-        store.append(batch_queue.answered(mine.repartition(*batch_queue.ROW), client), tables.LLM_RESULTS)
+        # Called before the append, for which workers of one application take turns.
+        answers = batch_queue.answered(mine.repartition(*batch_queue.ROW), client)
+        answers.write.parquet(f"{place}-answers")
+        store.append(store.spark.read.schema(answers.schema).parquet(f"{place}-answers"), tables.LLM_RESULTS)
     else:
         _close(store)
     return many

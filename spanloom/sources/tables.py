@@ -9,6 +9,7 @@ filter on, which makes Parquet's min/max statistics selective.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from dataclasses import dataclass, field
 
@@ -388,6 +389,9 @@ def checked(df: DataFrame, table: Table) -> DataFrame:
     return df.withColumns(checks) if checks else df
 
 
+_APPENDING = threading.Lock()
+
+
 class Store:
     """The tables of one database."""
 
@@ -418,7 +422,12 @@ class Store:
         return self.spark.table(self.table_name(table))
 
     def append(self, df: DataFrame, table: Table) -> None:
-        self.laid_out(df, table).write.insertInto(self.table_name(table))
+        """Append rows by column name. Streams and workers of one application take turns:
+        a job that ends removes the folder for temporary files that all jobs on a table share.
+        """
+        rows = self.laid_out(df, table)
+        with _APPENDING:
+            rows.write.insertInto(self.table_name(table))
 
     def replace_partition(self, df: DataFrame, table: Table, value: str) -> None:
         """Replace one partition by ``df``, which may derive from it.

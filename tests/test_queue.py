@@ -142,3 +142,61 @@ def test_a_failing_wave_keeps_earlier_answers(spark, store):
     reads.work(store, client, 2, wave_rows=3)
     assert store.read(tables.LLM_RESULTS).count() == 12
     assert store.read(tables.LLM_BATCHES).where("status = 'complete' AND completed_rows + failed_rows = 12").count() == 1
+
+
+def test_a_request_belongs_to_the_first_claim_until_it_expires(spark, store):
+    import datetime as dt
+
+    enqueue(store, 1, [f"p{i}" for i in range(6)])
+    noon = dt.datetime(2024, 1, 1, 12)
+    after = lambda seconds: noon + dt.timedelta(seconds=seconds)
+    first = {r.row_id for r in reads.claim(store, "a", 4, 60, noon).collect()}
+    second = {r.row_id for r in reads.claim(store, "b", 4, 60, after(1)).collect()}
+    assert len(first) == 4 and len(second) == 2 and not first & second
+    assert reads.claim(store, "c", 4, 60, after(2)).collect() == []
+    # What a worker holds it keeps, and more when it asks again.
+    assert {r.row_id for r in reads.claim(store, "a", 4, 60, after(59)).collect()} == first
+    # "a" is never heard of again; "b" answers.
+    assert reads.work_claimed(store, "b", client, 0, 60, after(3)) == 2
+    assert reads.work_claimed(store, "c", client, 10, 60, after(61)) == 4
+    assert reads.work_claimed(store, "c", client, 10, 60, after(62)) == 0
+    got = [r.row_id for r in store.read(tables.LLM_RESULTS).collect()]
+    assert sorted(got) == sorted(first | second) and len(got) == 6
+    assert batch_queue.pending_batches(store.read(tables.LLM_BATCHES)).count() == 0
+
+
+def test_of_two_claims_at_a_time_one_holds(spark):
+    rows = [("b", "r", w, at, at + 60) for w, at in (("x", 10), ("y", 10), ("z", 5))] + [("b", "s", "y", 10, 70)]
+    claims = spark.createDataFrame(rows, "batch_id string, row_id string, worker string, c int, e int").select(
+        "batch_id", "row_id", "worker", F.timestamp_seconds("c").alias("claimed_at"), F.timestamp_seconds("e").alias("expires_at")
+    )
+    held = lambda t: sorted((r.row_id, r.worker) for r in batch_queue.live_claims(claims, F.timestamp_seconds(F.lit(t))).collect())
+    assert held(20) == [("r", "z"), ("s", "y")] and held(66) == [("r", "x"), ("s", "y")] and held(70) == [] and held(4) == []
+
+
+def test_streams_of_workers_share_the_work(spark, store, tmp_path):
+    enqueue(store, 1, [f"p{i}" for i in range(7)])
+    running = [reads.work_stream(store, w, client, str(tmp_path / w), rows=2, every=None) for w in ("a", "b")]
+    for query in running:
+        query.awaitTermination()
+    got = {r.row_id for r in store.read(tables.LLM_RESULTS).collect()}
+    assert len(got) == 7 and batch_queue.pending_batches(store.read(tables.LLM_BATCHES)).count() == 0
+
+
+def test_inputs_are_read_once_for_all_waves(store, monkeypatch):
+    enqueue(store, 1, [f"p{i}" for i in range(30)])
+    scans = []
+    read = store.read
+    monkeypatch.setattr(store, "read", lambda table: (scans.append(table.name), read(table))[1])
+    waves = []
+    append = store.append
+    monkeypatch.setattr(store, "append", lambda df, table: (waves.append(table.name), append(df, table))[1])
+    reads.work(store, client, 2, wave_rows=5)
+    assert waves.count("llm_results") >= 6
+    # Once to list the work, once to count what is finished.
+    assert scans.count("llm_inputs") == 2 and scans.count("llm_results") == 2
+
+
+def test_waves_are_ranges_of_shares():
+    assert reads._waves({0: 2, 1: 2, 5: 3, 6: 9, 7: 1}, 4) == [(0, 1), (5, 5), (6, 6), (7, 7)]
+    assert reads._waves({}, 4) == []

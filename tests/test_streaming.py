@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from spanloom.operators import latest, reads, traces
-from spanloom.sources import otlp, tables
+from spanloom.sources import blocks, otlp, tables
 from spanloom.sources.tables import Store
 from spanloom.streaming import ingest
 
@@ -117,3 +117,48 @@ def test_dedup_keys_survive_a_tie(make_raw):
 
     rows = normalize_spans(make_raw({"id": "a"}).withColumn("_ingest_id", F.lit(3)))
     assert latest.dedup_spans(rows.unionByName(rows)).count() == 1
+
+
+def test_rejects_are_stored_beside_the_spans(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    one, two, three = _documents(3)
+    undated = two.replace('"startTimeUnixNano": "17', '"startTimeUnixNano": "soon 17')
+    (source / "0.json").write_text("\n".join([one, "no document", undated, "", three[:-2]]))
+    store = _store(spark, tmp_path, "rejecting")
+    for _ in range(2):  # the second time nothing is new
+        stream = otlp.stream_spans(spark, str(source), rejects=True)
+        ingest.start_ingest(stream, store, str(tmp_path / "checkpoint"), every=None).awaitTermination()
+    assert [r.span_id for r in reads.spans(store).collect()] == ["0"]
+    found = sorted((r.reason, r.text) for r in reads.rejects(store).collect())
+    assert [r for r, _ in found] == ["malformed document", "malformed document", "no start time"]
+    assert {"no document", three[:-2]} == {t for r, t in found if r == "malformed document"} and "soon 17" in found[2][1]
+    assert [(r.spans, r.rejected) for r in blocks.counts(store).collect()] == [(1, 3)]
+    assert store.partitions(tables.RAW_SPANS) == ["2024-01-01"]
+    # Without rejects the same spans come.
+    plain = otlp.stream_spans(spark, str(source))
+    assert set(plain.columns) == set(stream.columns) - set(otlp.REJECT_COLUMNS)
+
+
+def test_traces_close_once_they_are_silent(spark, tmp_path):
+    second = 1_000_000_000
+    source = tmp_path / "in"
+    source.mkdir()
+
+    def add(name, *rows):
+        (source / name).write_text("\n".join(json.dumps({"trace_id": t, "timestamp_ns": s * second + 5}) for t, s in rows))
+
+    def run():
+        stream = spark.readStream.schema("trace_id string, timestamp_ns bigint").json(str(source))
+        writer = ingest.closed_trace_bounds(stream, "60 seconds", "10 seconds").writeStream.format("parquet")
+        writer = writer.option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+        rows = spark.read.schema("trace_id string, first_start_ns bigint, last_start_ns bigint").parquet(str(tmp_path / "out"))
+        return sorted((r.trace_id, r.first_start_ns // second, r.last_start_ns // second) for r in rows.collect())
+
+    add("0.json", ("a", 100), ("a", 140), ("b", 150), ("", 100))
+    assert run() == []
+    add("1.json", ("b", 200), ("c", 215))
+    assert run() == [("a", 100, 140)]
+    add("2.json", ("c", 900))
+    assert run() == [("a", 100, 140), ("b", 150, 200), ("c", 215, 215)]
