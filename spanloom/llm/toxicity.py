@@ -1,10 +1,16 @@
 """Toxicity of texts whose insults may be disguised.
 
-A noisy channel turns words into what is written: letters into look-alike signs,
-one letter into several, a word into single letters with spaces or signs between
-them. A written token is read as a lattice of what it may stand for; Viterbi's
-algorithm finds its most probable path under a character trigram model of the
-whole corpus. Tokens with one reading only stand for themselves.
+A noisy channel turns words into what is written: letters into look-alike signs
+or letters of other kinds, one letter into several, a word into pieces with
+spaces, signs or invisible characters between them. A written token is read as a
+lattice of what it may stand for; Viterbi's algorithm finds its most probable
+path under a character trigram model of the whole corpus. Tokens with one reading
+only stand for themselves. Neighbouring tokens may also be pieces of one word:
+the breaks between them are optional as long as their readings, one after the
+other, go on spelling a word that tells of toxicity, however many pieces it has.
+
+Workers remember what tokens stand for, over the tasks that they run, so that a
+token is decoded about once per worker and not once per text.
 
 The words so restored are scored: each word has a weight, how surely documents
 with it are labelled toxic (a lower confidence bound of log-odds over the
@@ -16,7 +22,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+import unicodedata
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -46,16 +55,18 @@ CONFIDENCE = 3.0
 LEVELS = 24
 """Steps of the curve from weights to probabilities; the last holds all weights beyond."""
 TOP = 6.0
-CACHED_TOKENS = 300_000
+# Letters of other scripts that look like Latin ones.
+ALIKE = str.maketrans("аеорсухіјѕԁһԛԝкмтвнгαορνικτυ", "aeopcyxijsdhqwkmtbhraopviktu")
+CACHED_CHARS = 4_000_000
+"""A worker remembers tokens of so many characters together."""
+LONG_TOKEN = 1000
+"""Longer tokens are decoded where they stand and not remembered."""
 _LETTERS = re.compile(r"[^\W\d_]+")
-_EDGE = re.compile(r"^[^\w@$!|+(€£]+|[^\w@$!|+)€£]+$")
-_TAIL = re.compile(r"([^\w])\1+$|[!|+(.,;:?]+$")
 _SIGN_INSIDE = re.compile("[" + re.escape("".join(SIGNS)) + "]")
-_SPREAD_SIGNS = re.compile(r"^[\w@$!|+(€£](?:[.\-_*~/,']{1,3}[\w@$!|+(€£]){2,}$")
-_OUTER = re.compile(r"^\W+|\W+$")
+_SPREAD_SIGNS = re.compile(r"^(?:[^\W_]|[@$!|+(€£])(?:[.\-_*~/,']{1,3}(?:[^\W_]|[@$!|+(€£])){2,}$")
 _SIGNS_BETWEEN = re.compile("[" + re.escape(BETWEEN) + "]+")
-MOST_PIECES = 4
-"""Into so many pieces with spaces between them telling words of 4 to 40 letters are looked for."""
+_RUN = re.compile(r"(.)\1*")
+_PLAIN = re.compile(r"[-.,;:?\"'*#~/%&=<>\[\]{}\\^`]*([a-z]+)[-.,;:?\"'*#~/%&=<>\[\]{})\\^`]*")
 _REPEATED = re.compile(r"(.)\1")
 
 
@@ -102,12 +113,17 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     return counts
 
 
-def viterbi(units: list[list[str]], model: CharacterModel) -> str:
-    """Most probable reading of a lattice: one of the options of each unit after the other; words end at spaces."""
-    logs, paths = model.logs, {(0, 0): (0.0, "")}
+def viterbi(units: Iterable[list[str]], model: CharacterModel) -> str:
+    """Most probable reading of a lattice: one of the options of each unit after the other; words end at spaces.
+
+    Time and memory grow with the number of units.
+    """
+    logs = model.logs
+    # State (last two symbols): score and the chain of options that leads there.
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in [*units, [" "]]:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in paths.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, chain) in paths.items():
             for option in options:
                 x, y, total = a, b, score
                 for c in option:
@@ -115,35 +131,81 @@ def viterbi(units: list[list[str]], model: CharacterModel) -> str:
                     total += logs[x][y][s] if s or y else -1e-9
                     x, y = (0, 0) if s == 0 else (y, s)
                 if (x, y) not in after or after[x, y][0] < total:
-                    after[x, y] = (total, text + option)
+                    after[x, y] = (total, (chain, option))
         paths = after
-    return max(paths.values())[1].strip()
+    chain = max(paths.values(), key=lambda p: p[0])[1]
+    found = []
+    while chain is not None:
+        chain, option = chain
+        found.append(option)
+    return "".join(reversed(found)).strip()
+
+
+@lru_cache(maxsize=10_000)
+def _options(sign: str, repeated: bool, spread: bool) -> list[str]:
+    letters = SIGNS.get(sign, sign + folded(sign) if folded(sign) != sign else sign if sign.isalpha() else "")
+    options = [c * k for c in dict.fromkeys(letters) for k in ((1, 2) if repeated else (1,))]
+    return options + [o + " " for o in options] if spread else options
 
 
-def lattice(written_form: str, spread: bool) -> list[list[str]]:
+def lattice(written_form: str, spread: bool) -> Iterator[list[str]]:
     """Options of each run of one sign."""
-    units = []
-    for run in re.finditer(r"(.)\1*", written_form):
-        sign, n = run[1], len(run[0])
-        letters = SIGNS.get(sign, sign if sign.isalpha() else "")
-        if not letters:
-            continue
-        options = [c * k for c in letters for k in ({1, 2} if n > 1 else {n})]
-        units.append(options + [o + " " for o in options] if spread else options)
-    return units
+    for run in _RUN.finditer(written_form):
+        if options := _options(run[1], run.end() - run.start() > 1, spread):
+            yield options
+
+
+def visible(token: str) -> str:
+    """The token without invisible characters and marks that combine with nothing."""
+    if token.isascii():
+        return token
+    token = unicodedata.normalize("NFC", token)
+    return "".join(c for c in token if unicodedata.category(c) not in ("Cf", "Mn"))
+
+
+def folded(token: str) -> str:
+    """Letters without accents, and those of other scripts as the Latin ones that they look like."""
+    if token.isascii():
+        return token
+    plain = (c for c in unicodedata.normalize("NFKD", token) if unicodedata.category(c) != "Mn")
+    return "".join(plain).translate(ALIKE)
+
+
+def _inner(token: str, before: str, after: str) -> str:
+    """The token from its first to its last letter, digit, underscore, or sign of those given."""
+    a, b = 0, len(token)
+    while a < b and not (token[a].isalnum() or token[a] == "_" or token[a] in before):
+        a += 1
+    while b > a and not (token[b - 1].isalnum() or token[b - 1] == "_" or token[b - 1] in after):
+        b -= 1
+    return token[a:b]
+
+
+def _without_tail(token: str) -> str:
+    """The token without signs of punctuation at its end, or one sign there that is repeated."""
+    kept = len(token.rstrip("!|+(.,;:?"))
+    last = token[-1:]
+    if last and not (last.isalnum() or last == "_"):
+        alone = len(token.rstrip(last))
+        if len(token) - alone > 1:
+            kept = min(kept, alone)
+    return token[:kept]
 
 
 def bare(token: str) -> str:
     """The token without signs around it; one sign that may be a letter stays."""
-    core = _EDGE.sub("", token)
-    return token if len(token) == 1 else core if len(core) == 1 else _OUTER.sub("", token)
+    core = _inner(token, "@$!|+(€£", "@$!|+)€£")
+    return token if len(token) == 1 else core if len(core) == 1 else _inner(token, "", "")
+
 
+def restored(token: str, model: CharacterModel, lexicon: Lexicon | None = None) -> list[str]:
+    """Other words than its own letters that a lower-cased token may stand for; none where there is one reading.
 
-def restored(token: str, model: CharacterModel) -> list[str]:
-    """Other words than its own letters that a lower-cased token may stand for; none where there is one reading."""
-    core = _TAIL.sub("", _EDGE.sub("", token)) or ""
+    With a lexicon, lattices without a path to a word of it are not decoded.
+    """
+    edged = _inner(token, "@$!|+(€£", "@$!|+)€£")
     found = []
-    for form in {core, _EDGE.sub("", token)}:
+    for form in dict.fromkeys([_without_tail(edged), edged]):
         spread = bool(_SPREAD_SIGNS.match(form))
         has_letter = any(c.isalpha() for c in form)
         signs = bool(_SIGN_INSIDE.search(form)) and (has_letter or len(form) > 3)
@@ -151,78 +213,163 @@ def restored(token: str, model: CharacterModel) -> list[str]:
         pieces = joined != form and any(c.isalpha() for c in joined)
         if pieces:
             found += _LETTERS.findall(joined)
-        if not form or not (spread or signs or _REPEATED.search(joined)):
+        if not form or not (spread or signs or _REPEATED.search(joined) or folded(joined) != joined):
             continue
         if spread:
             form = form.translate({ord(c): None for c in BETWEEN})
             found += viterbi(lattice(form, True), model).split()
-        found += viterbi(lattice(form, False), model).split()
+        if lexicon is None or lexicon.reads(lattice(form, False)):
+            found += viterbi(lattice(form, False), model).split()
     return found
 
 
 def restored_spread(tokens: list[str], model: CharacterModel) -> list[str]:
     """Words that a row of one-character tokens may stand for, with or without breaks between them."""
     form = "".join(t for t in tokens if t not in BETWEEN)
-    if len(form) < 3:
-        return []
     return viterbi(lattice(form, True), model).split() + viterbi(lattice(form, False), model).split()
 
 
+class Lexicon:
+    """Telling words, to ask what begins or may continue one; memory grows with their letters only."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.weights = weights
+        self.sorted = sorted(weights)
+        self.joined = "\n".join(self.sorted)
+
+    def begins(self, form: str) -> bool:
+        at = bisect_left(self.sorted, form)
+        return at < len(self.sorted) and self.sorted[at].startswith(form)
+
+    def reads(self, units: Iterable[list[str]]) -> bool:
+        """Whether some path of a lattice is a telling word."""
+        forms = {""}
+        for options in units:
+            forms = {g for f in forms for o in options if self.begins(g := f + o)}
+            if not forms:
+                break
+        return any(f in self.weights for f in forms)
+
+    def parts(self, units: Iterable[list[str]]) -> set[str]:
+        """Readings of a lattice that some telling word contains."""
+        forms = {""}
+        for options in units:
+            forms = {g for f in forms for o in options if (g := f + o) in self.joined}
+            if not forms:
+                break
+        return forms - {""}
+
+
+class Token(NamedTuple):
+    """What a written token stands for."""
+
+    words: tuple[str, ...]
+    """Its letters, and what Viterbi's algorithm restores."""
+    bare: str
+    weight: float
+    """Of its weightiest word."""
+    pieces: tuple[str, ...]
+    """Readings that some telling word contains."""
+    lettered: bool
+    """It has a letter, so that rows of mere numbers spell nothing."""
+    begins: bool
+    """One of them begins a telling word."""
+
+
+NOTHING = Token((), "", 0.0, (), True, False)
+"""A token that tells nothing and is no piece of what does."""
+
+
 class Reader:
-    """Words of whole texts, own and restored, as numbers; remembers tokens it has met."""
+    """Words of whole texts, own and restored; remembers tokens it has met. Without weights, to learn, it keeps all words."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, weights: dict[str, float] | None = None):
         self.model = CharacterModel(counts)
-        self.cached: dict[str, tuple[str, ...]] = {}
-        self.starts: set[str] | None = None
-        self.pieces: set[str] = set()
+        self.lexicon = None if weights is None else Lexicon(weights)
+        self.cached: dict[str, Token] = {}
+        self.chars = 0
 
-    def joined(self, rows: int, ends: np.ndarray, tokens: list[str], index: np.ndarray, weights: dict[str, float]) -> list[list[str]]:
+    def token(self, written_form: str) -> Token:
+        found = self.cached.get(written_form)
+        if found is None:
+            found = self._described(written_form)
+            if len(written_form) <= LONG_TOKEN:
+                self.chars += len(written_form)
+                if self.chars > CACHED_CHARS:
+                    self.cached.clear()
+                    self.chars = len(written_form)
+                self.cached[written_form] = found
+        return found
+
+    def _described(self, written_form: str) -> Token:
+        lexicon = self.lexicon
+        plain = _PLAIN.fullmatch(written_form)
+        if plain and len(plain[1]) > 1 and not _REPEATED.search(plain[1]):
+            core, words = plain[1], (plain[1],)
+            pieces = {core} if lexicon and core in lexicon.joined else set()
+        else:
+            seen = visible(written_form)
+            words = tuple(dict.fromkeys([*_LETTERS.findall(seen), *restored(seen, self.model, lexicon)]))
+            core = bare(seen)
+            pieces = {w for w in [core, folded(core), *words] if w and w in lexicon.joined} if lexicon else set()
+            if lexicon and all(c.isalpha() or c in SIGNS or c in BETWEEN for c in core):
+                pieces |= lexicon.parts(lattice(core, False))
+        if not lexicon:
+            return Token(words, core, 0.0, (), False, False)
+        weight = max((lexicon.weights.get(w, 0.0) for w in words), default=0.0)
+        if not weight and not pieces and len(core) != 1:
+            return NOTHING
+        lettered = any(c.isalpha() for c in core)
+        return Token(words, core, weight, tuple(sorted(pieces)), lettered, any(lexicon.begins(w) for w in pieces))
+
+    def joined(self, rows: int, ends: np.ndarray, tokens: list[Token], index: np.ndarray) -> list[list[str]]:
         """Telling words whose pieces are neighbouring tokens, per text."""
         found: list[list[str]] = [[] for _ in range(rows)]
-        if self.starts is None:
-            whole = [w for w in weights if 3 < len(w) <= 40]
-            self.starts = {w[:n] for w in whole for n in range(1, len(w) + 1)}
-            self.pieces = {w[a:b] for w in whole for a in range(len(w)) for b in range(a + 1, len(w) + 1)}
-        readings = [[w for w in {bare(t), *self.words(t)} if w in self.pieces] for t in tokens]
-        first = np.array([any(w in self.starts for w in r) for r in readings] + [False])[index]
-        some = np.array([bool(r) for r in readings] + [False])[index]
-        for at in np.flatnonzero(first[:-1] & some[1:]).tolist():
+        begins = np.array([t.begins for t in tokens] + [False])[index]
+        some = np.array([bool(t.pieces) for t in tokens] + [False])[index]
+        lexicon = self.lexicon
+        for at in np.flatnonzero(begins[:-1] & some[1:]).tolist():
             text = int(np.searchsorted(ends, at, side="right")) - 1
-            forms = readings[index[at]]
-            for i in range(at + 1, int(min(ends[text + 1], at + MOST_PIECES))):
-                forms = [form for f in forms for w in readings[index[i]] if (form := f + w) in self.starts]
-                found[text] += [f for f in forms if len(f) > 3 and f in weights]
-        return found
-
-    def words(self, token: str) -> tuple[str, ...]:
-        found = self.cached.get(token)
-        if found is None:
-            if len(self.cached) > CACHED_TOKENS:
-                self.cached.clear()
-            found = tuple(dict.fromkeys([*_LETTERS.findall(token), *restored(token, self.model)]))
-            self.cached[token] = found
+            forms = {p for p in tokens[index[at]].pieces if lexicon.begins(p)}
+            lettered = tokens[index[at]].lettered
+            for i in range(at + 1, int(ends[text + 1])):
+                forms = {g for f in forms for p in tokens[index[i]].pieces if lexicon.begins(g := f + p)}
+                if not forms:
+                    break
+                lettered |= tokens[index[i]].lettered
+                if lettered:
+                    found[text] += [f for f in forms if f in lexicon.weights]
         return found
 
-    def read(self, rows: pa.RecordBatch) -> tuple[np.ndarray, list[str], np.ndarray, list[list[str]]]:
+    def read(self, rows: pa.RecordBatch) -> tuple[np.ndarray, list[Token], np.ndarray, list[list[str]]]:
         """Ends of each text's tokens, the distinct tokens, every token's number, and words of spread-out rows per text."""
         texts = rows.column(rows.schema.get_field_index("text")).fill_null("")
         lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
         coded = lists.flatten().dictionary_encode()
-        index, tokens = np.asarray(coded.indices), coded.dictionary.to_pylist()
+        index, tokens = np.asarray(coded.indices), [self.token(t) for t in coded.dictionary.to_pylist()]
         ends = np.asarray(lists.offsets).astype(np.int64)
         ends -= ends[0]
-        single = np.array([len(bare(t)) == 1 for t in tokens], dtype=bool)[index] if len(tokens) else np.zeros(0, dtype=bool)
+        single = np.array([len(t.bare) == 1 for t in tokens], dtype=bool)[index] if len(tokens) else np.zeros(0, dtype=bool)
         spread: list[list[str]] = [[] for _ in range(len(rows))]
         edges = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
         for a, b in zip(edges[::2], edges[1::2], strict=True):
             for text in range(int(np.searchsorted(ends, a, side="right")) - 1, int(np.searchsorted(ends, b, side="left"))):
                 own = index[max(a, ends[text]) : min(b, ends[text + 1])]
-                if len(own) > 2:
-                    spread[text] += restored_spread([bare(tokens[i]) for i in own], self.model)
+                if len(own) > 1:
+                    spread[text] += restored_spread([tokens[i].bare for i in own], self.model)
         return ends, tokens, index, spread
 
 
+_held: list = [None, None]
+
+
+def _reader(shared, counts: np.ndarray, weights: dict[str, float] | None) -> Reader:
+    """The reader of this worker for a broadcast value; tasks that follow one another share it."""
+    if _held[0] is not shared:
+        _held[:] = [shared, Reader(counts, weights)]
+    return _held[1]
+
+
 class ToxicityModel(NamedTuple):
     counts: np.ndarray
     """Trigrams of symbols."""
@@ -236,22 +383,23 @@ def _levels(weights: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(weights / TOP * (LEVELS - 1)), LEVELS - 1).astype(int)
 
 
-def _document_weights(reader: Reader, weights: dict[str, float], rows: pa.RecordBatch) -> tuple[np.ndarray, list[list[str]]]:
+def _document_weights(reader: Reader, rows: pa.RecordBatch) -> tuple[np.ndarray, list[list[str]]]:
     ends, tokens, index, spread = reader.read(rows)
-    of = np.array([max((weights.get(w, 0.0) for w in reader.words(t)), default=0.0) for t in tokens] + [0.0])
+    weights = reader.lexicon.weights
+    of = np.array([t.weight for t in tokens] + [0.0])
     found = np.maximum.reduceat(np.append(of[index], 0.0), ends[:-1]) if len(rows) else np.zeros(0)
     found = np.where(ends[1:] > ends[:-1], found, 0.0)
-    telling = [[] for _ in range(len(rows))]
+    telling = [set() for _ in range(len(rows))]
     for at in np.flatnonzero(of[index] > 0):
         text = int(np.searchsorted(ends, at, side="right")) - 1
-        telling[text] += [w for w in reader.words(tokens[index[at]]) if w in weights]
-    joined = reader.joined(len(rows), ends, tokens, index, weights)
+        telling[text].update(w for w in tokens[index[at]].words if w in weights)
+    joined = reader.joined(len(rows), ends, tokens, index)
     for i, words in enumerate(spread):
         for w in [*words, *joined[i]]:
             if w in weights:
                 found[i] = max(found[i], weights[w])
-                telling[i].append(w)
-    return found, [sorted(set(x)) for x in telling]
+                telling[i].add(w)
+    return found, [sorted(x) for x in telling]
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> ToxicityModel:
@@ -272,13 +420,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
     sample = written(kinds.select("text", (F.col("toxic") > 0.5).cast("int").alias("toxic")), "labelled-texts")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value)
+        reader = _reader(shared.value, shared.value, None)
         for rows, _, _ in arrays.slices(batches):
             ends, tokens, index, spread = reader.read(rows)
             toxic = rows.column(rows.schema.get_field_index("toxic")).to_pylist()
             seen: dict[str, list[int]] = {}
             for i, label in enumerate(toxic):
-                words = {w for t in set(index[ends[i] : ends[i + 1]].tolist()) for w in reader.words(tokens[t])}
+                words = {w for t in set(index[ends[i] : ends[i + 1]].tolist()) for w in tokens[t].words}
                 for w in words.union(spread[i]):
                     seen.setdefault(w, [0, 0])[label] += 1
             values = list(seen.values())
@@ -299,12 +447,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Tox
     # Bounded by the sample: no more words than its texts have.
     found = words.select("word", weight.alias("weight")).where("weight > 0").toArrow()
     weights = dict(zip(found.column("word").to_pylist(), found.column("weight").to_pylist(), strict=True))
-    shared_weights = docs.sparkSession.sparkContext.broadcast(weights)
+    shared_both = docs.sparkSession.sparkContext.broadcast((counts, weights))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value)
+        reader = _reader(shared_both.value, *shared_both.value)
         for rows, _, _ in arrays.slices(batches):
-            found, _ = _document_weights(reader, shared_weights.value, rows)
+            found, _ = _document_weights(reader, rows)
             label = rows.column(rows.schema.get_field_index("toxic"))
             yield pa.RecordBatch.from_arrays([pa.array(_levels(found)), label], ["level", "toxic"])
 
@@ -336,9 +484,9 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, weights, curve = shared.value
-        reader = Reader(counts)
+        reader = _reader(shared.value, counts, weights)
         for rows, _, _ in arrays.slices(batches):
-            found, telling = _document_weights(reader, weights, rows)
+            found, telling = _document_weights(reader, rows)
             # Within a level heavier weights rank higher, by less than levels differ.
             value = np.clip(curve[_levels(found)] + np.minimum(found, TOP) * 1e-6, 0.0, 1.0)
             columns = [rows.column(0), pa.array(value), pa.array(telling, pa.list_(pa.string()))]

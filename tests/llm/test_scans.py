@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,7 +160,7 @@ def test_one_doubled_letter_is_restored(spark, model, text):
     ("text", "toxic"),
     [
         ("s t u p i d, vo", 1), ("tare s t u p i d.", 1), ("(s t u p i d)", 1), ("you stu pid tare", 1), ("an id-iot", 1),
-        ("mo r on, sil", 1), ("st 'up id!'", 1), ("stu tare pid", 0), ("sil-vo tare-ku", 0), ("a, b. c", 0),
+        ("mo r on, sil", 1), ("st 'up id!'", 1), ("stu tare pid", 0), ("sil-vo tare-ku", 0), ("a, b. c", 0), ("1 10 7", 0),
     ],
 )
 def test_pieces_and_signs_at_edges(spark, model, text, toxic):
@@ -166,6 +168,38 @@ def test_pieces_and_signs_at_edges(spark, model, text, toxic):
     assert (row.score >= 0.5) == bool(toxic), row
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "st upid", "st up id", "ta st u p i d", "ta s tu p id", "ta s tu p i d", "tare s t u p i d vo", "mo.r o n", "s\u200btu\u00adpid",
+        "st\u200bupid", "stüpid", "stụpíd", "ѕtuріd", "s t ü p i d", "1 di ot", "i d i 0 t", "an i di o t.", "1 d 1 0 t",
+    ],
+)
+def test_any_number_of_pieces_invisible_signs_and_look_alikes(spark, model, text):
+    row = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert row.score >= 0.5, row
+
+
+@pytest.mark.parametrize("piece", ["x", "ab", "a.", "_", ".-", "$t", "éa", "(", "a\u200b", "s "])
+def test_very_long_words_take_time_in_proportion(model, piece):
+    reader, took = toxicity.Reader(model.counts, model.weights), []
+    for size in (100_000, 400_000):
+        text = "q" + piece * (size // len(piece)) + ")"
+        rows = pa.RecordBatch.from_arrays([pa.array([text])], ["text"])
+        begin = time.process_time()
+        toxicity._document_weights(reader, rows)
+        took.append(time.process_time() - begin)
+    assert took[1] < 10 * took[0] + 1, took
+
+
+def test_workers_remember_tokens_up_to_a_size(model, monkeypatch):
+    monkeypatch.setattr(toxicity, "CACHED_CHARS", 50)
+    reader = toxicity.Reader(model.counts, model.weights)
+    rows = pa.RecordBatch.from_arrays([pa.array(["stup1d " * 3 + " ".join(f"w{i:03d}" for i in range(100))])], ["text"])
+    assert toxicity._document_weights(reader, rows)[1] == [["stupid"]]
+    assert sum(map(len, reader.cached)) <= 50
+
+
 ISC = """{}Permission to use, copy, modify, and/or distribute this software for any
 purpose with or without fee is hereby granted, provided that the above
 copyright notice and this permission notice appear in all copies.
