@@ -1,7 +1,7 @@
-"""A set of 64-bit hashes as a bit field of fixed size: may say yes wrongly, never no wrongly.
+"""A set of 64-bit hashes as a bit field of bounded size: may say yes wrongly, never no wrongly.
 
 The field is built by an aggregation and is the only thing that travels to the
-driver and the tasks; its size does not depend on the data. With more hashes
+driver and the tasks; its size is fixed, or follows the number of hashes up to a limit. With more hashes
 than it was meant for it lets more rows pass, which the exact join behind it
 removes.
 """
@@ -14,6 +14,16 @@ from pyspark.sql import functions as F
 
 BITS = 23
 """log2 of the size in bits: 1 MB."""
+BITS_PER_HASH = 16
+MOST_BITS = 28
+"""log2 of the bits of the largest field: 32 MB."""
+
+
+def bits_for(many: int) -> int | None:
+    """log2 of the bits that so many hashes want; None where they would fill half of the largest field."""
+    if many * 2 > 2**MOST_BITS:
+        return None
+    return min(max(16, (many * BITS_PER_HASH - 1).bit_length()), MOST_BITS)
 
 
 def build(hashes: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
@@ -25,10 +35,10 @@ def build(hashes: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
         hashes.select(F.explode(positions).alias("at"))
         .groupBy(F.shiftrightunsigned(F.col("at"), 6).alias("word"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
-        .collect()
+        .toArrow()
     )
     field = np.zeros(2 ** (bits - 6), dtype=np.int64)
-    field[[r.word for r in words]] = [r.bits for r in words]
+    field[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return field.view(np.uint64)
 
 

@@ -199,6 +199,29 @@ def _sets(docs: DataFrame, wanted: np.ndarray, n: int) -> DataFrame:
     return docs.select(rep, "text").mapInArrow(run, "node long, rep long, set binary")
 
 
+def _with_keys_of(full: DataFrame, shared: DataFrame) -> DataFrame:
+    """(node, key) of all keys of ``full`` that are in ``shared``, and of some others.
+
+    Few keys are shared by two nodes, so a bit field of those spares shuffling
+    the rest. It has 16 bits per shared key; where these would fill half of its
+    largest size, all keys go on to the exact join.
+    """
+    bits = bloom.bits_for(shared.count())
+    if bits is None:
+        return full.select("node", F.explode("keys").alias("tagged")).select("node", F.shiftrightunsigned("tagged", 1).alias("key"))
+    field = full.sparkSession.sparkContext.broadcast(bloom.build(shared, "key", bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            keys = lists.flatten().to_numpy().view(U64) >> U64(1)
+            nodes = np.repeat(batch.column(0).to_numpy(), np.diff(np.asarray(lists.offsets)))
+            kept = bloom.holds(field.value, keys)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[kept]), pa.array(keys[kept].view(np.int64))], ["node", "key"])
+
+    return full.select("node", "keys").mapInArrow(run, "node long, key long")
+
+
 def _links(units: DataFrame, sets: DataFrame, above: int, below: int) -> DataFrame:
     """Verified links (a, b) inside units: rows (unit, node, group, low, role), compared left (1) with right (2) ones.
 
@@ -314,7 +337,8 @@ def similar_links(docs: DataFrame, full: DataFrame, reps: DataFrame, n: int, abo
         .where("first <> last AND probe = 1")
     )
     shared = written(shared.select("key", "first"), "shared")
-    members = written(emitted.select("node", key).join(shared, "key").select("node", "first").distinct(), "members")
+    members = _with_keys_of(full, shared).join(shared, "key").select("node", "first").distinct()
+    members = written(members, "members")
     # Nodes that share a block, directly or by way of others.
     wide = components(members, "node", "first").withColumnRenamed("component", "wide")
     rank = members.groupBy("node").agg(F.count("*").alias("shared"))

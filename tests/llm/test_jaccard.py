@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from spanloom.llm import arrays, jaccard
+from spanloom.llm import arrays, bloom, jaccard
 from tests.llm import brute
 
 
@@ -75,3 +75,12 @@ def test_shingles_of_texts_next_to_each_other_do_not_mix():
     assert np.bincount(text, minlength=5).tolist() == [2, 0, 2, 1, 1]
     assert set(hashes[text == 0]) == set(hashes[text == 2])
     assert len(arrays.mix(hashes)) == 6
+
+
+def test_the_field_of_shared_keys_may_be_small_or_left_out(odd_docs, odd_rows, monkeypatch):
+    expected = brute.jaccard_components(odd_rows, 4, 85, 100)
+    for most in (9, 16):
+        monkeypatch.setattr(bloom, "MOST_BITS", most)
+        assert found(jaccard.jaccard_components(odd_docs, 4, 85, 100)) == expected
+    assert bloom.bits_for(0) == bloom.bits_for(1) == 16
+    assert bloom.bits_for(2**15) is not None and bloom.bits_for(2**15 + 1) is None
