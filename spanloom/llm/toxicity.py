@@ -59,6 +59,8 @@ TOP = 6.0
 ALIKE = str.maketrans("аеорсухіјѕԁһԛԝкмтвнгαορνικτυ", "aeopcyxijsdhqwkmtbhraopviktu")
 CACHED_CHARS = 4_000_000
 """A worker remembers tokens of so many characters together."""
+USUAL_LETTERS = 40
+"""The parts of telling words up to so long are listed, longer words are searched."""
 LONG_TOKEN = 1000
 """Longer tokens are decoded where they stand and not remembered."""
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -235,7 +237,13 @@ class Lexicon:
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
         self.sorted = sorted(weights)
-        self.joined = "\n".join(self.sorted)
+        usual = [w for w in self.sorted if len(w) <= USUAL_LETTERS]
+        self.parts_of_usual = {w[a:b] for w in usual for a in range(len(w)) for b in range(a + 1, len(w) + 1)}
+        self.longer = "\n".join(w for w in self.sorted if len(w) > USUAL_LETTERS)
+
+    def holds(self, form: str) -> bool:
+        """Whether some telling word contains it."""
+        return form in self.parts_of_usual or form in self.longer
 
     def begins(self, form: str) -> bool:
         at = bisect_left(self.sorted, form)
@@ -254,7 +262,7 @@ class Lexicon:
         """Readings of a lattice that some telling word contains."""
         forms = {""}
         for options in units:
-            forms = {g for f in forms for o in options if (g := f + o) in self.joined}
+            forms = {g for f in forms for o in options if self.holds(g := f + o)}
             if not forms:
                 break
         return forms - {""}
@@ -306,12 +314,12 @@ class Reader:
         plain = _PLAIN.fullmatch(written_form)
         if plain and len(plain[1]) > 1 and not _REPEATED.search(plain[1]):
             core, words = plain[1], (plain[1],)
-            pieces = {core} if lexicon and core in lexicon.joined else set()
+            pieces = {core} if lexicon and lexicon.holds(core) else set()
         else:
             seen = visible(written_form)
             words = tuple(dict.fromkeys([*_LETTERS.findall(seen), *restored(seen, self.model, lexicon)]))
             core = bare(seen)
-            pieces = {w for w in [core, folded(core), *words] if w and w in lexicon.joined} if lexicon else set()
+            pieces = {w for w in [core, folded(core), *words] if w and lexicon.holds(w)} if lexicon else set()
             if lexicon and all(c.isalpha() or c in SIGNS or c in BETWEEN for c in core):
                 pieces |= lexicon.parts(lattice(core, False))
         if not lexicon:
