@@ -24,7 +24,7 @@ import math
 import re
 import unicodedata
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -70,6 +70,9 @@ _SIGNS_BETWEEN = re.compile("[" + re.escape(BETWEEN) + "]+")
 _RUN = re.compile(r"(.)\1*")
 _PLAIN = re.compile(r"[-.,;:?\"'*#~/%&=<>\[\]{}\\^`]*([a-z]+)[-.,;:?\"'*#~/%&=<>\[\]{})\\^`]*")
 _REPEATED = re.compile(r"(.)\1")
+_ONE_WORD = re.compile(r"\W*+([^\W\d_]{2,}+)\W*+")
+_SURE = re.compile(r"(?:([a-z])(?!\1))*+")
+"""Letters that stand for themselves only, from the beginning."""
 
 
 class CharacterModel:
@@ -157,20 +160,40 @@ def lattice(written_form: str, spread: bool) -> Iterator[list[str]]:
             yield options
 
 
+class _Characters(dict):
+    """A table for str.translate that is filled as characters are met; it holds at most all of Unicode."""
+
+    def __init__(self, rule: Callable[[str], str]):
+        super().__init__()
+        self.rule = rule
+
+    def __missing__(self, code: int) -> str:
+        return self.setdefault(code, self.rule(chr(code)))
+
+
+def _without_accent(c: str) -> str:
+    plain = (d for d in unicodedata.normalize("NFKD", c) if unicodedata.category(d) != "Mn")
+    return "".join(plain).translate(ALIKE)
+
+
+_VISIBLE = _Characters(lambda c: "" if unicodedata.category(c) in ("Cf", "Mn") else c)
+_FOLDED = _Characters(_without_accent)
+
+
 def visible(token: str) -> str:
     """The token without invisible characters and marks that combine with nothing."""
-    if token.isascii():
-        return token
-    token = unicodedata.normalize("NFC", token)
-    return "".join(c for c in token if unicodedata.category(c) not in ("Cf", "Mn"))
+    return token if token.isascii() else unicodedata.normalize("NFC", token).translate(_VISIBLE)
 
 
 def folded(token: str) -> str:
     """Letters without accents, and those of other scripts as the Latin ones that they look like."""
-    if token.isascii():
-        return token
-    plain = (c for c in unicodedata.normalize("NFKD", token) if unicodedata.category(c) != "Mn")
-    return "".join(plain).translate(ALIKE)
+    return token if token.isascii() else token.translate(_FOLDED)
+
+
+def outline(form: str) -> str:
+    """Folded letters, each run of one as one; all readings of a word of letters share it."""
+    plain = folded(form)
+    return _RUN.sub(r"\1", plain) if _REPEATED.search(plain) else plain
 
 
 def _inner(token: str, before: str, after: str) -> str:
@@ -208,19 +231,20 @@ def restored(token: str, model: CharacterModel, lexicon: Lexicon | None = None)
     edged = _inner(token, "@$!|+(€£", "@$!|+)€£")
     found = []
     for form in dict.fromkeys([_without_tail(edged), edged]):
-        spread = bool(_SPREAD_SIGNS.match(form))
-        has_letter = any(c.isalpha() for c in form)
-        signs = bool(_SIGN_INSIDE.search(form)) and (has_letter or len(form) > 3)
-        joined = _SIGNS_BETWEEN.sub("", form)
-        pieces = joined != form and any(c.isalpha() for c in joined)
-        if pieces:
-            found += _LETTERS.findall(joined)
+        spread, signs, joined = False, False, form
+        if not form.isalpha():
+            spread = bool(_SPREAD_SIGNS.match(form))
+            has_letter = any(c.isalpha() for c in form)
+            signs = bool(_SIGN_INSIDE.search(form)) and (has_letter or len(form) > 3)
+            joined = _SIGNS_BETWEEN.sub("", form)
+            if joined != form and any(c.isalpha() for c in joined):
+                found += _LETTERS.findall(joined)
         if not form or not (spread or signs or _REPEATED.search(joined) or folded(joined) != joined):
             continue
         if spread:
             form = form.translate({ord(c): None for c in BETWEEN})
             found += viterbi(lattice(form, True), model).split()
-        if lexicon is None or lexicon.reads(lattice(form, False)):
+        if lexicon is None or lexicon.reads(form):
             found += viterbi(lattice(form, False), model).split()
     return found
 
@@ -236,37 +260,64 @@ class Lexicon:
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
-        self.sorted = sorted(weights)
-        usual = [w for w in self.sorted if len(w) <= USUAL_LETTERS]
+        usual = [w for w in weights if len(w) <= USUAL_LETTERS]
+        self.starts_of_usual = {w[:b] for w in usual for b in range(len(w) + 1)}
         self.parts_of_usual = {w[a:b] for w in usual for a in range(len(w)) for b in range(a + 1, len(w) + 1)}
-        self.longer = "\n".join(w for w in self.sorted if len(w) > USUAL_LETTERS)
+        self.outlines_of_usual = {outline(p) for p in self.parts_of_usual}
+        longer = sorted(w for w in weights if len(w) > USUAL_LETTERS)
+        self.sorted, self.longer = longer, "\n".join(longer)
+        self.next_letters: dict[str, int] = {}
+        self.next_pairs: dict[str, int] = {}
+        for w in weights:
+            for i in range(len(w)):
+                self.next_letters[w[:i]] = self.next_letters.get(w[:i], 0) | _bit(w[i])
+                self.next_pairs[w[:i]] = self.next_pairs.get(w[:i], 0) | (_bit(w[i : i + 2]) if i + 1 < len(w) else 0)
 
     def holds(self, form: str) -> bool:
         """Whether some telling word contains it."""
         return form in self.parts_of_usual or form in self.longer
 
+    def excludes(self, letters: str) -> bool:
+        """Whether no telling word can contain any reading of the letters."""
+        if self.longer or outline(letters) in self.outlines_of_usual:
+            return False
+        # A letter that folds into several has not the same outline doubled or not.
+        return letters.isascii() or len(folded(letters)) == len(letters)
+
     def begins(self, form: str) -> bool:
+        if form in self.starts_of_usual:
+            return True
         at = bisect_left(self.sorted, form)
         return at < len(self.sorted) and self.sorted[at].startswith(form)
 
-    def reads(self, units: Iterable[list[str]]) -> bool:
-        """Whether some path of a lattice is a telling word."""
-        forms = {""}
-        for options in units:
-            forms = {g for f in forms for o in options if self.begins(g := f + o)}
-            if not forms:
-                break
-        return any(f in self.weights for f in forms)
-
-    def parts(self, units: Iterable[list[str]]) -> set[str]:
-        """Readings of a lattice that some telling word contains."""
-        forms = {""}
-        for options in units:
-            forms = {g for f in forms for o in options if self.holds(g := f + o)}
+    def _paths(self, form: str, possible: Callable[[str], bool]) -> set[str]:
+        """Readings of a written form all of whose beginnings are possible."""
+        sure = _SURE.match(form)[0]
+        if sure and not possible(sure):
+            return set()
+        forms = {sure}
+        for options in lattice(form[len(sure) :], False):
+            forms = {g for f in forms for o in options if possible(g := f + o)}
             if not forms:
                 break
         return forms - {""}
 
+    def reads(self, form: str) -> bool:
+        """Whether some path of the form's lattice is a telling word."""
+        return any(f in self.weights for f in self._paths(form, self.begins))
+
+    def parts(self, form: str) -> set[str]:
+        """Readings of the form's lattice that some telling word contains."""
+        return self._paths(form, self.holds)
+
+
+def _bit(letters: str) -> int:
+    """One of 63 bits."""
+    code = 0
+    for c in letters:
+        code = code * 31 + ord(c)
+    return 1 << code % 63
+
 
 class Token(NamedTuple):
     """What a written token stands for."""
@@ -282,6 +333,14 @@ class Token(NamedTuple):
     """It has a letter, so that rows of mere numbers spell nothing."""
     begins: bool
     """One of them begins a telling word."""
+    next_letters: int = 0
+    """Bits of the letters with which telling words go on after a piece."""
+    next_pairs: int = 0
+    """Bits of the two letters with which they go on."""
+    letters: int = 0
+    """Bits of pieces of one letter."""
+    pairs: int = 0
+    """Bits of the first two letters of longer pieces."""
 
 
 NOTHING = Token((), "", 0.0, (), True, False)
@@ -317,27 +376,40 @@ class Reader:
             pieces = {core} if lexicon and lexicon.holds(core) else set()
         else:
             seen = visible(written_form)
+            one = _ONE_WORD.fullmatch(seen) if lexicon else None
+            if one and one[1].isalpha() and lexicon.excludes(one[1]):
+                return NOTHING
             words = tuple(dict.fromkeys([*_LETTERS.findall(seen), *restored(seen, self.model, lexicon)]))
             core = bare(seen)
             pieces = {w for w in [core, folded(core), *words] if w and lexicon.holds(w)} if lexicon else set()
-            if lexicon and all(c.isalpha() or c in SIGNS or c in BETWEEN for c in core):
-                pieces |= lexicon.parts(lattice(core, False))
+            if lexicon and (core.isalpha() or all(c.isalpha() or c in SIGNS or c in BETWEEN for c in core)):
+                pieces |= lexicon.parts(core)
         if not lexicon:
             return Token(words, core, 0.0, (), False, False)
         weight = max((lexicon.weights.get(w, 0.0) for w in words), default=0.0)
         if not weight and not pieces and len(core) != 1:
             return NOTHING
         lettered = any(c.isalpha() for c in core)
-        return Token(words, core, weight, tuple(sorted(pieces)), lettered, any(lexicon.begins(w) for w in pieces))
+        bits = [0, 0, 0, 0]
+        for w in pieces:
+            own = (lexicon.next_letters.get(w, 0), lexicon.next_pairs.get(w, 0), _bit(w) if len(w) == 1 else 0, _bit(w[:2]) if len(w) > 1 else 0)
+            bits = [a | b for a, b in zip(bits, own, strict=True)]
+        return Token(words, core, weight, tuple(sorted(pieces)), lettered, any(lexicon.begins(w) for w in pieces), *bits)
 
     def joined(self, rows: int, ends: np.ndarray, tokens: list[Token], index: np.ndarray) -> list[list[str]]:
         """Telling words whose pieces are neighbouring tokens, per text."""
         found: list[list[str]] = [[] for _ in range(rows)]
-        begins = np.array([t.begins for t in tokens] + [False])[index]
-        some = np.array([bool(t.pieces) for t in tokens] + [False])[index]
+        bits, begins = np.zeros((len(tokens) + 1, 4), dtype=np.int64), np.zeros(len(tokens) + 1, dtype=bool)
+        for i, t in enumerate(tokens):
+            if t.pieces:
+                bits[i], begins[i] = t[-4:], t.begins
+        begins = begins[index]
+        # Where the first piece may go on with the next token's: by bits of letters, a shared one is no proof yet.
+        after, pairs_after, letters, pairs = (bits[index, i] for i in range(4))
+        goes_on = begins[:-1] & (((after[:-1] & letters[1:]) | (pairs_after[:-1] & pairs[1:])) != 0)
         lexicon = self.lexicon
-        for at in np.flatnonzero(begins[:-1] & some[1:]).tolist():
-            text = int(np.searchsorted(ends, at, side="right")) - 1
+        starts = np.flatnonzero(goes_on)
+        for at, text in zip(starts.tolist(), (np.searchsorted(ends, starts, side="right") - 1).tolist(), strict=True):
             forms = {p for p in tokens[index[at]].pieces if lexicon.begins(p)}
             lettered = tokens[index[at]].lettered
             for i in range(at + 1, int(ends[text + 1])):
