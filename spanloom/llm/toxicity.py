@@ -196,6 +196,54 @@ def outline(form: str) -> str:
     return _RUN.sub(r"\1", plain) if _REPEATED.search(plain) else plain
 
 
+_SMALL = 0x600
+"""Code points below are told apart by a table: Latin, Greek, Cyrillic, Armenian, Hebrew."""
+_OTHER, _AROUND = -1, 0
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """By code point: the folded letter, 0 for what may stand around words, -1 for what needs a closer look."""
+    kinds = np.full(_SMALL + 1, _OTHER, dtype=np.int64)
+    for code in range(_SMALL):
+        c = chr(code)
+        if c.isalpha() and len(folded(c)) == 1 and unicodedata.normalize("NFC", c) == c:
+            kinds[code] = ord(folded(c))
+        elif not (c.isalnum() or c == "_" or unicodedata.category(c) in ("Cf", "Mn")):
+            kinds[code] = _AROUND
+    return kinds
+
+
+def outline_hashes(tokens: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Per token: a hash of its word's outline, and whether it is one word of two or more such letters, with signs around it."""
+    if not len(tokens):
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)
+    _, at, data = tokens.buffers()
+    at = np.frombuffer(at, dtype=np.int32)[tokens.offset : tokens.offset + len(tokens) + 1].astype(np.int64)
+    data = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+    codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
+    ends = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[at - at[0]]
+    kinds = _kinds()[np.minimum(codes, _SMALL)]
+
+    def sums(values: np.ndarray) -> np.ndarray:
+        total = np.concatenate([np.zeros(1, dtype=values.dtype), np.cumsum(values, dtype=values.dtype)])
+        return total[ends[1:]] - total[ends[:-1]]
+
+    before = np.concatenate([[_AROUND], kinds[:-1]])[: len(kinds)]
+    before[ends[:-1][ends[:-1] < len(kinds)]] = _AROUND
+    letter = kinds > 0
+    whole = (sums((kinds == _OTHER).astype(np.int64)) == 0) & (sums((letter & (before <= 0)).astype(np.int64)) == 1)
+    whole &= sums(letter.astype(np.int64)) > 1
+    kept = letter & (kinds != before)
+    number = np.cumsum(kept)
+    first = np.repeat(np.concatenate([[0], number])[ends[:-1]], np.diff(ends))
+    places = np.where(kept, number - first, 0)
+    powers = np.cumprod(np.full(int(places.max(initial=0)) + 1, _FACTOR, dtype=np.uint64))
+    values = np.where(kept, arrays.mix(kinds.astype(np.uint64)) * powers[places], np.uint64(0))
+    return sums(values), whole
+
+
 def _inner(token: str, before: str, after: str) -> str:
     """The token from its first to its last letter, digit, underscore, or sign of those given."""
     a, b = 0, len(token)
@@ -264,6 +312,7 @@ class Lexicon:
         self.starts_of_usual = {w[:b] for w in usual for b in range(len(w) + 1)}
         self.parts_of_usual = {w[a:b] for w in usual for a in range(len(w)) for b in range(a + 1, len(w) + 1)}
         self.outlines_of_usual = {outline(p) for p in self.parts_of_usual}
+        self.outline_hashes = np.unique(outline_hashes(pa.array(sorted(self.parts_of_usual), pa.string()))[0])
         longer = sorted(w for w in weights if len(w) > USUAL_LETTERS)
         self.sorted, self.longer = longer, "\n".join(longer)
         self.next_letters: dict[str, int] = {}
@@ -284,6 +333,14 @@ class Lexicon:
         # A letter that folds into several has not the same outline doubled or not.
         return letters.isascii() or len(folded(letters)) == len(letters)
 
+    def excluded(self, tokens: pa.StringArray) -> np.ndarray:
+        """Which tokens are one word that :meth:`excludes` rules out, as far as hashes tell."""
+        if self.longer or not len(self.outline_hashes):
+            return np.zeros(len(tokens), dtype=bool)
+        hashes, whole = outline_hashes(tokens)
+        at = np.minimum(np.searchsorted(self.outline_hashes, hashes), len(self.outline_hashes) - 1)
+        return whole & (self.outline_hashes[at] != hashes)
+
     def begins(self, form: str) -> bool:
         if form in self.starts_of_usual:
             return True
@@ -396,6 +453,15 @@ class Reader:
             bits = [a | b for a, b in zip(bits, own, strict=True)]
         return Token(words, core, weight, tuple(sorted(pieces)), lettered, any(lexicon.begins(w) for w in pieces), *bits)
 
+    def _tokens(self, distinct: pa.StringArray) -> list[Token]:
+        if self.lexicon is None:
+            return [self.token(t) for t in distinct.to_pylist()]
+        tokens = [NOTHING] * len(distinct)
+        left = np.flatnonzero(~self.lexicon.excluded(distinct))
+        for i, t in zip(left.tolist(), distinct.take(pa.array(left)).to_pylist(), strict=True):
+            tokens[i] = self.token(t)
+        return tokens
+
     def joined(self, rows: int, ends: np.ndarray, tokens: list[Token], index: np.ndarray) -> list[list[str]]:
         """Telling words whose pieces are neighbouring tokens, per text."""
         found: list[list[str]] = [[] for _ in range(rows)]
@@ -426,7 +492,7 @@ class Reader:
         texts = rows.column(rows.schema.get_field_index("text")).fill_null("")
         lists = pc.utf8_split_whitespace(pc.utf8_lower(texts))
         coded = lists.flatten().dictionary_encode()
-        index, tokens = np.asarray(coded.indices), [self.token(t) for t in coded.dictionary.to_pylist()]
+        index, tokens = np.asarray(coded.indices), self._tokens(coded.dictionary)
         ends = np.asarray(lists.offsets).astype(np.int64)
         ends -= ends[0]
         single = np.array([len(t.bare) == 1 for t in tokens], dtype=bool)[index] if len(tokens) else np.zeros(0, dtype=bool)
