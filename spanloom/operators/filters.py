@@ -11,6 +11,24 @@ from spanloom.functions import timestamps
 from spanloom.sources.days import trace_draw
 
 
+def in_range(rows: DataFrame, ns_col: str, first_ns: int | None, last_ns: int | None) -> DataFrame:
+    """Rows whose instant lies between the two, both included; None leaves that side open.
+
+    The day follows from the instant, but Spark can't know that: where there is
+    a ``date`` column it is asked for too, so that other days are not read.
+    """
+    for bound, at_least in ((first_ns, True), (last_ns, False)):
+        if bound is None:
+            continue
+        day = F.lit(EPOCH_DAY + dt.timedelta(days=bound // timestamps.NS_PER_DAY))
+        for column, limit in ((ns_col, F.lit(bound)), *((("date", day),) if "date" in rows.columns else ())):
+            rows = rows.where(F.col(column) >= limit if at_least else F.col(column) <= limit)
+    return rows
+
+
+EPOCH_DAY = dt.date(1970, 1, 1)
+
+
 def has_attribute(keys: Column, key: str) -> Column:
     return F.array_contains(keys, key)
 

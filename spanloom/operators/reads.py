@@ -9,29 +9,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from spanloom.functions import timestamps
 from spanloom.operators import annotations, batch_queue, conversations, filters, latest, normalize, traces
 from spanloom.session import shared_dir
 from spanloom.sources import blocks, days, tables
 from spanloom.sources.tables import Store
 
 
-def spans(store: Store, deduplicated: bool = True) -> DataFrame:
+def spans(store: Store, deduplicated: bool = True, first_ns: int | None = None, last_ns: int | None = None) -> DataFrame:
     """Stored spans of the four dialects. Compacted days come without a shuffle.
 
     Without ``deduplicated`` the deliveries not yet compacted come as they are.
+    ``first_ns`` and ``last_ns``, both included, bound their starts; other days
+    are not read, open or compacted.
     """
     dedup = latest.dedup_spans if deduplicated else lambda rows: rows
-    return normalize.spans_view(days.read(store, tables.SPANS_NORMALIZED, dedup))
+    rows = days.read(store, tables.SPANS_NORMALIZED, dedup)
+    return normalize.spans_view(filters.in_range(rows, "start_ns", first_ns, last_ns))
 
 
-def sampled_spans(store: Store, fraction: float) -> DataFrame:
+def sampled_spans(store: Store, fraction: float, first_ns: int | None = None, last_ns: int | None = None) -> DataFrame:
     """Spans of a share of the traces, the same as ``filters.sample_traces`` takes.
 
     Compacted days are laid out by the hash that decides, so that row groups
     outside the share are not read.
     """
     narrow = lambda rows: rows.where(F.col(days.HASH) < filters.draw_limit(fraction))
-    return normalize.spans_view(days.read(store, tables.SPANS_NORMALIZED, latest.dedup_spans, narrow))
+    rows = days.read(store, tables.SPANS_NORMALIZED, latest.dedup_spans, narrow)
+    return normalize.spans_view(filters.in_range(rows, "start_ns", first_ns, last_ns))
 
 
 def spans_with_attribute(store: Store, key: str, value: str | None = None) -> DataFrame:
@@ -55,17 +60,24 @@ def register_spans_view(store: Store, name: str = "spans") -> None:
     spans(store).createOrReplaceTempView(name)
 
 
-def turns(store: Store) -> DataFrame:
-    return days.read(store, tables.TURNS, latest.dedup_turns)
+def turns(store: Store, first_ns: int | None = None, last_ns: int | None = None) -> DataFrame:
+    """Stored turns, those of a time range where one is given; other days are not read."""
+    return filters.in_range(days.read(store, tables.TURNS, latest.dedup_turns), "turn_ns", first_ns, last_ns)
 
 
-def numbered_turns(store: Store) -> DataFrame:
-    # Numbering distributes the turns anyway; repeats go on the way.
-    return conversations.number_deliveries(days.read(store, tables.TURNS, lambda rows: rows))
+def numbered_turns(store: Store, first_ns: int | None = None, last_ns: int | None = None) -> DataFrame:
+    """Turns with their number in the whole conversation, so that a range spares no reading of earlier days."""
+    # Numbering distributes the turns anyway; repeats go on the way. Later turns change no number.
+    # Repeats of a turn share its minute, so whole minutes are kept until repeats are gone.
+    minute = timestamps.NS_PER_MINUTE
+    until = None if last_ns is None else (last_ns // minute + 1) * minute - 1
+    rows = filters.in_range(days.read(store, tables.TURNS, lambda rows: rows), "turn_ns", None, until)
+    return filters.in_range(conversations.number_deliveries(rows), "turn_ns", first_ns, last_ns)
 
 
-def conversation_summary(store: Store) -> DataFrame:
-    return conversations.conversation_rollup(turns(store))
+def conversation_summary(store: Store, first_ns: int | None = None, last_ns: int | None = None) -> DataFrame:
+    """One row per conversation, of its turns in the range."""
+    return conversations.conversation_rollup(turns(store, first_ns, last_ns))
 
 
 def clustered_conversations(store: Store) -> DataFrame:

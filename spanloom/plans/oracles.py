@@ -204,6 +204,10 @@ SELECT service_name, trace_id, span_id, start_ns,
        {MODEL} AS model, {PROMPT_COUNT} AS prompts, {DAY} AS date
 FROM ev"""
 
+_RANGE = "BETWEEN 1704693600000000000 AND 1705773600000000000"
+
+RANGED_SPANS = f"{COMPACTED_SPANS} WHERE start_ns {_RANGE}"
+
 TRACE_BOUNDS = f"""
 WITH {EVENTS}
 SELECT trace_id, min(start_ns // 1000000000 * 1000000000) AS first_start_ns,
@@ -323,6 +327,14 @@ WITH {TURNS}
 SELECT service_name, conversation_id, trace_id, {_NUMBER} AS turn, user_input, agent_response,
        strftime(make_timestamp(turn_ns // 1000), '%Y-%m-%d') AS date FROM turns"""
 
+RANGED_TURNS = f"""
+WITH {TURNS},
+numbered AS (
+  SELECT service_name, conversation_id, trace_id, {_NUMBER} AS turn, turn_ns,
+         strftime(make_timestamp(turn_ns // 1000), '%Y-%m-%d') AS date FROM turns
+)
+SELECT * FROM numbered WHERE turn_ns BETWEEN 1704067500000000000 AND 1704068160500000000"""
+
 CONVERSATION_ROLLUP = f"WITH {CONVERSATIONS} SELECT * FROM summary"
 
 WORKFLOW_CONVERSATIONS = f"""
@@ -496,6 +508,8 @@ ORACLES: dict[str, str] = {
     "streamed_rejects": STREAMED_REJECTS,
     "redelivered_spans": REDELIVERED_SPANS,
     "compacted_spans": COMPACTED_SPANS,
+    "ranged_spans": RANGED_SPANS,
+    "ranged_turns": RANGED_TURNS,
     "compacted_turns": STORED_TURNS,
     "attribute_search_stored": ATTRIBUTE_SEARCH,
     "sampled_traces_stored": SAMPLED_TRACES,

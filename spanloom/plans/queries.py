@@ -293,6 +293,34 @@ def compacted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ranged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``compacted_spans``, the spans that begin in a time range."""
+    return reads.spans(_compacted(spark, sf_dir), first_ns=RANGE_FIRST_NS, last_ns=RANGE_LAST_NS).select(
+        "service_name", "trace_id", "span_id", "start_ns", "end_ns", "model",
+        F.size("prompts").alias("prompts"), _day(),
+    )
+
+
+def ranged_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a time range, with their numbers in whole conversations."""
+    store, _ = _new_store(spark)
+    for ingest_id in range(2):
+        ingest.write_block(store, _turn_spans(spark, sf_dir), ingest_id)
+    return reads.numbered_turns(store, TURNS_FIRST_NS, TURNS_LAST_NS).select(
+        "service_name", "conversation_id", "trace_id", "turn", "turn_ns", _day()
+    )
+
+
+RANGE_FIRST_NS = 1_704_693_600_000_000_000
+"""2024-01-08 06:00 UTC."""
+RANGE_LAST_NS = 1_705_773_600_000_000_000
+"""2024-01-20 18:00 UTC."""
+TURNS_FIRST_NS = 1_704_067_500_000_000_000
+"""2024-01-01 00:05 UTC."""
+TURNS_LAST_NS = 1_704_068_160_500_000_000
+"""2024-01-01 00:16:00.5 UTC."""
+
+
 def attribute_search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = reads.spans_with_attribute(_compacted(spark, sf_dir), "openinference.span.kind", "TOOL")
     return found.select("span_id", "service_name", "model")
@@ -754,6 +782,8 @@ QUERIES: dict[str, Query] = {
         streamed_rejects,
         redelivered_spans,
         compacted_spans,
+        ranged_spans,
+        ranged_turns,
         compacted_turns,
         attribute_search_stored,
         sampled_traces_stored,

@@ -241,3 +241,33 @@ def test_fetching_traces_opens_their_days_only(store, make_raw):
     text = scans.toString()
     assert "PartitionFilters" in text
     assert reads.traces_of(store, wanted.where("trace_id = 'none'")).collect() == []
+
+
+def test_a_range_reads_only_its_days(store, spans, spark):
+    ingest.write_block(store, spans("a", 1, 2, 3, 4), 0, "here")
+    reads.compact(store, FAR)
+    ingest.write_block(store, spans("b", 2, 4, 5, 6), 1, "here")
+    first, last = JAN1_NS + 2 * DAY_NS, JAN1_NS + 5 * DAY_NS
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    found = reads.spans(store, first_ns=first, last_ns=last)
+    read = plan(found)
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert sorted((r.span_id, r.status_message) for r in found.collect()) == [("s2", "b"), ("s3", "a"), ("s4", "b"), ("s5", "b")]
+    # Every scan of spans is told the days: of open files and of versions.
+    scans = [line for line in read.splitlines() if "FileScan parquet" in line and "parent_span_id" in line]
+    assert len(scans) > 1 and all(">= 2024-01-03" in x.split("PartitionFilters")[1].split("PushedFilters")[0] for x in scans), scans
+    inside = reads.spans(store, first_ns=first + 1, last_ns=last - 1)
+    assert sorted(r.span_id for r in inside.collect()) == ["s3", "s4"]
+    assert reads.spans(store, first_ns=last, last_ns=first).count() == 0
+    assert reads.sampled_spans(store, 1.0, first_ns=last).count() == 2
+    assert reads.spans(store, last_ns=JAN1_NS - 1).count() == 0 and reads.spans(store).count() == 6
+
+
+def test_a_repeat_at_the_edge_of_a_range_is_told_before_the_range_cuts(store, make_raw):
+    # The last delivery begins after the range, so the earlier one must not come up instead.
+    for block, offset in enumerate((1_000_000_000, 30_000_000_000)):
+        ingest.write_block(store, make_raw({"id": "s1", "trace": "t1", "start": JAN1_NS + offset}), block, "here")
+    edge = JAN1_NS + 10_000_000_000
+    assert reads.spans(store, last_ns=edge).count() == 0
+    assert reads.spans(store, first_ns=edge).count() == 1
+    assert reads.numbered_turns(store, last_ns=edge).count() == 0
