@@ -125,7 +125,8 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
 
     With ``slop`` 0 these are exact phrases beginning at word ``at``. Otherwise
     every word may stand up to ``slop`` words before or after its place in the
-    phrase that begins at ``at``, as told by the rarest word (a proximity match).
+    phrase that begins at ``at``, as told by the rarest word (a proximity match);
+    one that would begin before the text is told at its first word.
     Windows of the same words are found alike for each item that has them.
     """
     windows = item_windows(items, window)
@@ -147,7 +148,8 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
     index = written(postings(docs, bloom.build(wanted.where("term IS NOT NULL").distinct(), "term")), "postings")
 
     first = anchors.select("phrase", "anchor_0.term", "anchor_0.offset", "anchor_1")
-    begins = F.filter(F.transform("positions", lambda p: p - F.col("offset")), lambda b: b >= 0)
+    # Of a text's first words some may stand before their places, so that the phrase would begin before the text.
+    begins = F.filter(F.transform("positions", lambda p: p - F.col("offset")), lambda b: b >= -slop)
     found = index.join(first, "term").select("phrase", *KEY, "anchor_1", begins.alias("begins")).where("size(begins) > 0")
     second = index.select(F.col("term").alias("term_1"), *KEY, F.col("positions").alias("positions_1"))
     narrowed = found.withColumns({"term_1": F.col("anchor_1.term"), "offset_1": F.col("anchor_1.offset")})
@@ -168,7 +170,9 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
     whole = written(agreeing.groupBy("phrase", *KEY, "at").agg(F.count("*").alias("agreeing")), "agreeing")
     where = windows.join(phrases, "terms").select("phrase", "item_id", "start", F.size("terms").alias("length"))
     found = whole.join(written(where, "windows"), "phrase").where("agreeing = length")
-    return found.select("item_id", "start", *KEY, "at", "length")
+    if not slop:
+        return found.select("item_id", "start", *KEY, "at", "length")
+    return found.select("item_id", "start", *KEY, F.greatest("at", F.lit(0)).alias("at"), "length").distinct()
 
 
 def _near(begins: str, positions: str, offset: str, slop: int):

@@ -56,6 +56,15 @@ def test_proximity(spark):
     assert found(0) == {1} and found(1) == {1, 2}
 
 
+def test_proximity_at_the_beginning_of_a_text(spark):
+    texts = [(1, "beta alpha gamma"), (2, "x beta alpha gamma"), (3, "alpha gamma"), (4, "gamma x x x beta alpha"), (5, None), (6, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    found = lambda slop: sorted((r.key_id, r.at) for r in decontamination.matches(docs, items, slop=slop).collect())
+    # Of the three words beta is the rarest; in the first text the phrase would begin one word before it.
+    assert found(2) == [(1, 0), (2, 0)] and found(0) == []
+
+
 def searched(spark, vectors, queries, k):
     schema = "vec_id long, embedding array<float>"
     found = topk.top_k(spark.createDataFrame(vectors, schema), spark.createDataFrame(queries, schema), k)
