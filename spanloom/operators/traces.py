@@ -51,27 +51,42 @@ def fetch_trace(raw: DataFrame, bounds: DataFrame, trace_id: str) -> DataFrame:
     return pruned
 
 
+FEW_TRACES = 10_000
+"""So many trace ids and their bounds, some 100 bytes each, are sent to every task."""
+
+
 def fetch_traces(raw: DataFrame, bounds: DataFrame, wanted: DataFrame) -> DataFrame:
     """As :func:`fetch_trace` for a set of trace ids (column ``trace_id``).
 
-    ``wanted`` may be large, so the join type is left to the optimizer. On a
-    table with a ``date`` column the days of each trace join as well, and
-    partitions no wanted trace touches are not read.
+    ``wanted`` may be large, so it is counted up to ``FEW_TRACES``: so many are
+    sent to every task, more are merged with the spans. The optimizer is not left
+    to choose: by the bytes of a compressed file the few columns a read asks for
+    look small, and it broadcast the spans themselves. On a table with a ``date``
+    column partitions no wanted trace touches are not read; where many join, the
+    days of each trace join as well.
     """
-    ranges = merge_trace_bounds(bounds.join(wanted.distinct(), "trace_id", "left_semi"))
+    wanted = wanted.distinct()
+    few = wanted.limit(FEW_TRACES + 1).count() <= FEW_TRACES
+
+    def sized(rows: DataFrame) -> DataFrame:
+        return F.broadcast(rows) if few else rows.hint("merge")
+
+    ranges = merge_trace_bounds(bounds.join(sized(wanted), "trace_id", "left_semi"))
     keys = ["trace_id"]
     if "date" in raw.columns:
         first_day = timestamps.to_date(F.col("first_start_ns"))
         last_day = timestamps.to_date(F.col("last_start_ns"))
-        ranges = ranges.select("*", F.explode(F.sequence(first_day, last_day)).alias("date"))
-        keys.append("date")
+        days = ranges.select("*", F.explode(F.sequence(first_day, last_day)).alias("date"))
         # A set of days, however many traces there are; known before the scan of
         # the big table starts, which then opens no other partition.
-        touched = ranges.agg(F.collect_set("date")).scalar()
+        touched = days.agg(F.collect_set("date")).scalar()
         raw = raw.where(F.array_contains(touched, F.col("date")))
+        if not few:
+            ranges = days
+            keys.append("date")
     ns = F.col("timestamp_ns")
     return (
-        raw.join(ranges, keys)
+        raw.join(sized(ranges), keys)
         .where(
             (ns >= F.col("first_start_ns"))
             & (ns < F.col("last_start_ns") + timestamps.NS_PER_SECOND)

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import filters, traces
@@ -36,6 +37,26 @@ def test_fetching_a_trace_prunes_days(store, make_raw):
     assert traces.fetch_trace(store.read(tables.RAW_SPANS), store.read(tables.TRACE_BOUNDS), "no").count() == 0
 
 
+@pytest.mark.parametrize("few", (10_000, 1))
+def test_fetching_many_traces_does_not_broadcast_the_spans(store, make_raw, monkeypatch, few):
+    monkeypatch.setattr(traces, "FEW_TRACES", few)
+    day = 86_400 * SECOND
+    raw = make_raw(
+        *({"trace": t, "start": JAN1 + i * day, "id": f"{t}{i}"} for t in "tuv" for i in range(3)),
+        {"trace": "late", "start": JAN1 + 9 * day},
+    )
+    store.append(raw, tables.RAW_SPANS)
+    store.append(traces.trace_bounds(raw), tables.TRACE_BOUNDS)
+    wanted = store.read(tables.RAW_SPANS).where("trace_id IN ('t', 'v')").select("trace_id")
+    stored = store.read(tables.RAW_SPANS)
+    found = traces.fetch_traces(stored, store.read(tables.TRACE_BOUNDS), wanted).select("trace_id", "span_id")
+    assert sorted(r.span_id for r in found.collect()) == ["t0", "t1", "t2", "v0", "v1", "v2"]
+    plan = found._jdf.queryExecution().sparkPlan().toString().splitlines()
+    joins = [l for l in plan if "HashJoin" in l or "MergeJoin" in l]
+    assert joins and not any("BuildLeft" in l for l in joins)
+    assert all(("SortMergeJoin" in l) == (few == 1) for l in joins)
+
+
 def test_series_fills_gaps(make_raw):
     raw = make_raw({"start": 3 * SECOND}, {"start": 4 * SECOND}, {"start": 31 * SECOND})
     got = {r.bucket_ns // SECOND: r.n for r in traces.trace_time_series(raw, 10, "timestamp_ns").collect()}
