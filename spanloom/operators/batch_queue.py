@@ -79,7 +79,8 @@ def run_batches(
 
 def work_list(inputs: DataFrame, batches: DataFrame, results: DataFrame, partitions: int | None = None) -> DataFrame:
     """Every pending, unanswered request once (REQUEST_COLUMNS), distributed by row."""
-    pending = pending_inputs(inputs, batches)
+    # Told apart by a digest that is made before the shuffle: who asks for the ids alone moves no prompts.
+    pending = pending_inputs(inputs, batches).withColumn("_digest", _digest())
     pending = pending.repartition(*ROW) if partitions is None else pending.repartition(partitions, *ROW)
     return limit_by(unanswered_inputs(pending, results), 1, ROW, _first_input(inputs)).select(*REQUEST_COLUMNS)
 
@@ -133,7 +134,11 @@ def new_claims(requests: DataFrame, worker: str, rows: int, at: Column, lease_se
 def _first_input(inputs: DataFrame) -> list[Column]:
     """Order in which repeated inputs are preferred: the earliest, else any fixed one."""
     made = [F.asc("created_at")] if "created_at" in inputs.columns else []
-    return [*made, F.xxhash64("model_id", "prompt", "params", "tool_config")]
+    return [*made, F.asc("_digest")]
+
+
+def _digest() -> Column:
+    return F.xxhash64("model_id", "prompt", "params", "tool_config")
 
 
 def batch_progress(inputs: DataFrame, results: DataFrame) -> DataFrame:

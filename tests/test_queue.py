@@ -56,6 +56,16 @@ def test_only_unanswered_rows_of_a_half_done_batch_run_again(store):
     assert got == {uuid_of(1000): "kept", uuid_of(1001): "m:b:{}:"}
 
 
+def test_who_asks_for_ids_moves_no_prompts(store):
+    enqueue(store, 1, ["a", "b"])
+    todo = batch_queue.work_list(*(store.read(t) for t in (tables.LLM_INPUTS, tables.LLM_BATCHES, tables.LLM_RESULTS)))
+    ids = todo.select(*batch_queue.ROW)
+    assert sorted(r.row_id for r in ids.collect()) == [uuid_of(1000), uuid_of(1001)]
+    plan = ids._jdf.queryExecution().sparkPlan().toString().splitlines()
+    shuffle = next(i for i, l in enumerate(plan) if "REPARTITION_BY" in l)
+    assert not any("prompt" in l for l in plan[:shuffle])
+
+
 def test_a_hot_batch_is_spread_over_the_salts(spark):
     inputs = spark.range(4000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("b"), F.col("id") % 7)).alias("batch_id"),
