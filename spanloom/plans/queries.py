@@ -187,12 +187,13 @@ def _new_store(spark: SparkSession) -> tuple[Store, str]:
 def _ingested(spark: SparkSession, sf_dir: str, place: tuple[Store, str] | None = None) -> Store:
     """The events as a file stream of spans, ingested to the end."""
     store, checkpoint = place or _new_store(spark)
-    schema = samples.table(spark, sf_dir, "events").schema
+    events = samples.table(spark, sf_dir, "events")
     # A pattern, as the table may be one file or a folder of files.
-    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+    arriving = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events*.parquet")
     arriving = arriving.where(F.input_file_name().rlike(r"/events\.parquet(/|$)"))
-    if samples.has_few_splits(samples.table(spark, sf_dir, "events")):
-        arriving = arriving.repartition(spark.sparkContext.defaultParallelism, "event_id")
+    many = samples.tasks_for(events)
+    if events.rdd.getNumPartitions() < many:
+        arriving = arriving.repartition(many, "event_id")
     ingest.start_ingest(
         samples.spans_from_events(arriving), store, checkpoint, every=None
     ).awaitTermination()

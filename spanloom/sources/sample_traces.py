@@ -242,18 +242,23 @@ def _links_type() -> str:
     )
 
 
-def has_few_splits(df: DataFrame) -> bool:
-    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+ROWS_PER_TASK = 25_000
+"""Rows that a task of the normalization gets; some seconds of work."""
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Tasks for the rows, one per core at least. The rows of a Parquet table are counted in its footers."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_TASK))
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core a share of a table that has fewer splits than that.
+    """Deal a table that has fewer splits than its rows need out to so many tasks.
 
-    Normalization costs far more per row than moving the narrow source row. A
-    table of ordinary size has splits enough and is left as it is.
+    Normalization costs far more per row than moving the narrow source row, and a
+    split of compressed events holds millions of them.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if has_few_splits(df) else df
+    many = tasks_for(df)
+    return df.repartition(many, key) if df.rdd.getNumPartitions() < many else df
 
 
 def raw_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

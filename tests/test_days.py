@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from spanloom.operators import filters, latest, reads, retention, traces
 from spanloom.operators.normalize import normalize_spans
 from spanloom.sources import blocks, days, sinks, tables
+from spanloom.sources import sample_traces as samples
 from spanloom.streaming import ingest
 
 DAY_NS = 86_400_000_000_000
@@ -271,3 +272,10 @@ def test_a_repeat_at_the_edge_of_a_range_is_told_before_the_range_cuts(store, ma
     assert reads.spans(store, last_ns=edge).count() == 0
     assert reads.spans(store, first_ns=edge).count() == 1
     assert reads.numbered_turns(store, last_ns=edge).count() == 0
+
+
+def test_tables_are_dealt_out_by_their_rows(spark):
+    cores = spark.sparkContext.defaultParallelism
+    many = 2 * cores * samples.ROWS_PER_TASK
+    assert samples.spread(spark.range(0, many, 1, 1), "id").rdd.getNumPartitions() == 2 * cores
+    assert samples.spread(spark.range(0, 10, 1, 1), "id").rdd.getNumPartitions() == cores
