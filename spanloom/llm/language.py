@@ -37,6 +37,8 @@ CACHE_BYTES = 24_000_000
 CACHED_LENGTH = 64
 """A task remembers the sums of words of up to so many bytes in a table of at most this size; others are worked out again."""
 SLOT_BITS = 20
+HELD_BYTES = 8_000_000
+"""A learning task holds word counts of about so many bytes before it works their pieces out."""
 LONG = 4096
 """Longer words (in bytes) are gone through one by one, in blocks of so many places."""
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -273,10 +275,12 @@ def _words(rows: pa.RecordBatch) -> tuple[np.ndarray, pa.StringArray, np.ndarray
 
 def _bytes(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of the words, each with a space in front; their starts and ends. (Splitting may leave empty words.)"""
-    joined = "".join(" " + w for w in words.to_pylist()).encode()
-    lengths = np.asarray(pc.binary_length(words)).astype(np.int64) + 1
+    joined = pc.binary_join_element_wise(pa.scalar("", words.type), words, pa.scalar(" ", words.type))
+    lengths = np.asarray(pc.binary_length(joined)).astype(np.int64)
     ends = np.cumsum(lengths)
-    return np.frombuffer(joined, dtype=np.uint8), ends - lengths, ends
+    raw = joined.buffers()[2] if len(joined) else None
+    data = np.frombuffer(raw, dtype=np.uint8)[: int(lengths.sum())] if raw else np.zeros(0, dtype=np.uint8)
+    return data, ends - lengths, ends
 
 
 class _Cache:
@@ -382,6 +386,33 @@ def read_pieces(path: str) -> list[bytes]:
     return [piece for _, piece in ranked]
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables (word, lang, n) that add up to how often each word occurs.
+
+    Texts share most of their words, so counts of many slices are merged before
+    they are handed on: what is held stays below about twice HELD_BYTES.
+    """
+    held: list[pa.Table] = []
+    merged = 0
+    for rows, _, _ in arrays.slices(batches):
+        ends, words, index = _words(rows)
+        coded = rows.column(rows.schema.get_field_index("lang")).dictionary_encode()
+        langs = coded.dictionary
+        of = np.repeat(np.asarray(coded.indices), np.diff(ends))
+        cells, n = np.unique(index.astype(np.int64) * len(langs) + of, return_counts=True)
+        word, lang = np.divmod(cells, max(1, len(langs)))
+        columns = [words.take(pa.array(word)), langs.take(pa.array(lang)), pa.array(n, pa.int64())]
+        held.append(pa.table(columns, ["word", "lang", "n"]))
+        if sum(t.nbytes for t in held) > merged + HELD_BYTES:
+            one = pa.concat_tables(held).group_by(["word", "lang"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"})
+            held, merged = [one], one.nbytes
+            if merged > HELD_BYTES:
+                yield one
+                held, merged = [], 0
+    if held:
+        yield pa.concat_tables(held)
+
+
 def fit(docs: DataFrame, pieces: list[bytes]) -> LanguageModel:
     """Learn from all rows of ``docs`` (text, lang) whose lang is not null.
 
@@ -394,15 +425,19 @@ def fit(docs: DataFrame, pieces: list[bytes]) -> LanguageModel:
         table = Pieces(shared.value)
         prior = rank_prior(table.count)
         total: dict[str, np.ndarray] = {}
-        for rows, _, _ in arrays.slices(batches):
-            ends, words, index = _words(rows)
-            coded = rows.column(rows.schema.get_field_index("lang")).dictionary_encode()
-            langs, lang = coded.dictionary.to_pylist(), np.asarray(coded.indices)
-            of = np.repeat(lang, np.diff(ends))
-            weights = np.bincount(index * len(langs) + of, minlength=len(words) * len(langs)).reshape(len(words), -1)
-            counts = expected_counts(table, prior, words, weights.astype(float))
+
+        def add(held: pa.Table) -> None:
+            words = held.column("word").combine_chunks().dictionary_encode()
+            coded = held.column("lang").combine_chunks().dictionary_encode()
+            langs = coded.dictionary.to_pylist()
+            cells = np.asarray(words.indices).astype(np.int64) * len(langs) + np.asarray(coded.indices)
+            weights = np.bincount(cells, held.column("n").to_numpy(), minlength=len(words.dictionary) * len(langs))
+            counts = expected_counts(table, prior, words.dictionary, weights.reshape(len(words.dictionary), len(langs)))
             for k, name in enumerate(langs):
                 total[name] = total.get(name, 0) + counts[:, k]
+
+        for held in _word_counts(batches):
+            add(held)
         for name, counts in total.items():
             some = np.flatnonzero(counts)
             columns = [pa.array([name] * len(some), pa.string()), pa.array(some), pa.array(counts[some])]

@@ -139,6 +139,25 @@ def test_languages(odd_docs, no_docs, clashing, spark):
     assert {r.lang_pred for r in language.identify(odd_docs, empty).collect()} == {"und"}
 
 
+@pytest.mark.parametrize(("held", "repeats"), [(8_000_000, 1), (1, 40)])
+def test_learning_works_a_word_out_once_for_many_slices(monkeypatch, held, repeats):
+    monkeypatch.setattr(language, "HELD_BYTES", held)
+    rng = random.Random(5)
+    rows = [(rng.choice(["a b", "a", "B c  d", None, "", "é d d"]), rng.choice("xy")) for _ in range(40)]
+    columns = list(zip(*rows, strict=True))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 1], pa.string()) for c in columns], ["text", "lang"]) for i in range(40)]
+    tables = list(language._word_counts(iter(batches)))
+    found = collections.Counter()
+    times = collections.Counter()
+    for t in tables:
+        times.update({(r["word"], r["lang"]) for r in t.to_pylist()})
+        for r in t.to_pylist():
+            found[r["word"], r["lang"]] += r["n"]
+    found = collections.Counter({k: n for k, n in found.items() if k[0]})  # splitting may leave empty words
+    assert found == collections.Counter((w, lang) for text, lang in rows for w in (text or "").lower().split())
+    assert len(tables) <= repeats and max(times.values()) <= repeats
+
+
 def test_very_long_words_are_summed_in_blocks(monkeypatch):
     """One unbroken word, in blocks of places, gives what all places at once give, and takes no memory for all of them."""
     import random
