@@ -47,6 +47,8 @@ SPARE = 0.1
 NO_ID = -(2**63)
 SKETCH_BITS = 4096
 """Bits of the whole sketch by which two sets are compared first."""
+BUCKET_KEYS = 4_000_000
+"""Keys that are looked through for repeats at once, in numpy."""
 CHUNK_ROWS = 140
 CHUNK_BYTES = 8_000_000
 """A chunk holds about so many nodes and bytes of sets, or one larger set."""
@@ -199,27 +201,91 @@ def _sets(docs: DataFrame, wanted: np.ndarray, n: int) -> DataFrame:
     return docs.select(rep, "text").mapInArrow(run, "node long, rep long, set binary")
 
 
-def _with_keys_of(full: DataFrame, shared: DataFrame) -> DataFrame:
-    """(node, key) of all keys of ``full`` that are in ``shared``, and of some others.
+def _short(keys: np.ndarray, bucket_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and 31 further bits of each key."""
+    return keys >> U64(63 - bucket_bits), (keys & U64(2**31 - 1)).astype(np.uint32)
 
-    Few keys are shared by two nodes, so a bit field of those spares shuffling
-    the rest. It has 16 bits per shared key; where these would fill half of its
-    largest size, all keys go on to the exact join.
+
+def _short_hash(bucket, rest: np.ndarray) -> np.ndarray:
+    """Well mixed, for the bit field."""
+    return arrays.mix((np.asarray(bucket).astype(U64) << U64(31)) + rest.astype(U64) + U64(1))
+
+
+def _one_of_each_node(full: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, keys) of one document per node, and of some others: equal sets have equal keys."""
+    rows = full.select("node", F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "keys")
+    bits = bloom.bits_for(reps.count())
+    if bits is None:
+        return rows.select("node", "keys")
+    mark = F.col("node").bitwiseXOR(F.col("rep"))
+    field = full.sparkSession.sparkContext.broadcast(bloom.build(reps.select(mark.alias("mark")), "mark", bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, rep = (batch.column(i).to_numpy().view(U64) for i in (0, 1))
+            kept = pa.array(bloom.holds(field.value, node ^ rep))
+            yield batch.select(["node", "keys"]).filter(kept)
+
+    return rows.mapInArrow(run, "node long, keys array<long>")
+
+
+def _maybe_shared(single: DataFrame, bucket_bits: int) -> DataFrame:
+    """(hash) of the short keys that occur more than once, and probe.
+
+    Few keys are shared, so all of them are shuffled in 32 bits each, packed by
+    bucket: 31 bits that, with the bucket, tell keys apart but for one in some
+    hundreds, and whether the key probes.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tagged = batch.column(0).flatten().to_numpy().view(U64)
+            bucket, rest = _short(tagged >> U64(1), bucket_bits)
+            order = np.argsort(bucket, kind="stable")
+            rest = ((rest << np.uint32(1)) | (tagged & U64(1)).astype(np.uint32))[order]
+            own, first = np.unique(bucket[order], return_index=True)
+            raw = [part.tobytes() for part in np.split(rest, first[1:])] if len(own) else []
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(raw, pa.binary())], ["bucket", "rest"])
+
+    def repeated(table: pa.Table) -> pa.Table:
+        rest = np.sort(np.frombuffer(b"".join(table.column("rest").to_pylist()), dtype=np.uint32))
+        begins = np.flatnonzero(np.append(True, rest[1:] >> 1 != rest[:-1] >> 1))
+        ends = np.append(begins[1:], len(rest))
+        # The last of equal ones probes, if any does.
+        own = begins[(ends - begins > 1) & (rest[ends - 1] & 1 == 1)]
+        found = _short_hash(table.column("bucket")[0].as_py(), rest[own] >> 1)
+        return pa.table({"hash": pa.array(found.view(np.int64))})
+
+    packs = single.select("keys").mapInArrow(pack, "bucket int, rest binary")
+    return packs.groupBy("bucket").applyInArrow(repeated, "hash long")
+
+
+def _shared_keys(full: DataFrame, reps: DataFrame) -> DataFrame:
+    """(node, tagged) of all keys of two nodes or more of which one probes, and of some others.
+
+    A bit field of the keys that may be shared spares shuffling the rest. It has
+    16 bits per such key; where these would fill half of its largest size, all
+    keys go on to the exact aggregation.
     """
-    bits = bloom.bits_for(shared.count())
+    single = _one_of_each_node(full, reps)
+    # More buckets with more keys, so that one is never large.
+    many = full.agg(F.sum(F.size("keys"))).first()[0] or 0
+    bucket_bits = min(max(6, (many // BUCKET_KEYS).bit_length()), 24)
+    maybe = written(_maybe_shared(single, bucket_bits), "maybe")
+    bits = bloom.bits_for(maybe.count())
     if bits is None:
-        return full.select("node", F.explode("keys").alias("tagged")).select("node", F.shiftrightunsigned("tagged", 1).alias("key"))
-    field = full.sparkSession.sparkContext.broadcast(bloom.build(shared, "key", bits))
+        return single.select("node", F.explode("keys").alias("tagged"))
+    field = single.sparkSession.sparkContext.broadcast(bloom.build(maybe, "hash", bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
-            keys = lists.flatten().to_numpy().view(U64) >> U64(1)
+            tagged = lists.flatten().to_numpy()
             nodes = np.repeat(batch.column(0).to_numpy(), np.diff(np.asarray(lists.offsets)))
-            kept = bloom.holds(field.value, keys)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[kept]), pa.array(keys[kept].view(np.int64))], ["node", "key"])
+            kept = bloom.holds(field.value, _short_hash(*_short(tagged.view(U64) >> U64(1), bucket_bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[kept]), pa.array(tagged[kept])], ["node", "tagged"])
 
-    return full.select("node", "keys").mapInArrow(run, "node long, key long")
+    return single.select("node", "keys").mapInArrow(run, "node long, tagged long")
 
 
 def _links(units: DataFrame, sets: DataFrame, above: int, below: int) -> DataFrame:
@@ -327,17 +393,16 @@ def one_of_each(docs: DataFrame, n: int = 5, above: int = 4, below: int = 5) ->
 
 def similar_links(docs: DataFrame, full: DataFrame, reps: DataFrame, n: int, above: int, below: int) -> DataFrame:
     """Verified links between nodes that connect all that any links connect."""
-    emitted = full.select("node", F.explode("keys").alias("tagged"))
+    tagged = written(_shared_keys(full, reps), "shared-keys")
     key = F.shiftrightunsigned("tagged", 1).alias("key")
-    probes = F.col("tagged").bitwiseAND(F.lit(1))
+    emitted = tagged.select("node", key, F.col("tagged").bitwiseAND(F.lit(1)).alias("probe"))
     shared = (
-        emitted.select("node", key, probes.alias("probe"))
-        .groupBy("key")
+        emitted.groupBy("key")
         .agg(F.min("node").alias("first"), F.max("node").alias("last"), F.max("probe").alias("probe"))
         .where("first <> last AND probe = 1")
     )
     shared = written(shared.select("key", "first"), "shared")
-    members = _with_keys_of(full, shared).join(shared, "key").select("node", "first").distinct()
+    members = emitted.join(shared, "key").select("node", "first").distinct()
     members = written(members, "members")
     # Nodes that share a block, directly or by way of others.
     wide = components(members, "node", "first").withColumnRenamed("component", "wide")

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.llm import arrays, bloom, jaccard
 from tests.llm import brute
@@ -77,6 +78,27 @@ def test_shingles_of_texts_next_to_each_other_do_not_mix():
     assert len(arrays.mix(hashes)) == 6
 
 
+def test_keys_are_shuffled_packed_and_only_shared_ones_whole(spark):
+    rng = random.Random(8)
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(120)] for _ in range(30)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)] + [(100 + i, " ".join(words[i])) for i in range(20)]
+    rows += [(200 + i, " ".join([*words[i][:-1], "other"])) for i in range(3)]
+    info = jaccard.nodes(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100)
+    reps = info.groupBy("node").agg(F.min("doc_id").alias("rep")).cache()
+    nodes = {r.node: r["keys"] for r in info.collect()}
+    holders = collections.defaultdict(list)
+    for node, keys in nodes.items():
+        for k in keys:
+            holders[(k % 2**64) >> 1].append((node, k))
+    wanted = {h for own in holders.values() if len(own) > 1 and any(k & 1 for _, k in own) for h in own}
+    assert sorted(r.node for r in jaccard._one_of_each_node(info, reps).collect()) == sorted(nodes)
+    found = [(r.node, r.tagged) for r in jaccard._shared_keys(info, reps).collect()]
+    assert wanted <= set(found) and len(found) == len(set(found)) < len(wanted) + sum(map(len, nodes.values())) / 20
+    assert {n for n, _ in wanted} == {r.node for r in info.where("doc_id < 3 OR doc_id >= 200").collect()}
+    maybe = jaccard._maybe_shared(jaccard._one_of_each_node(info, reps), 6)
+    assert maybe.count() == len({(k % 2**64) >> 1 for _, k in wanted})
+
+
 def test_the_field_of_shared_keys_may_be_small_or_left_out(odd_docs, odd_rows, monkeypatch):
     expected = brute.jaccard_components(odd_rows, 4, 85, 100)
     for most in (9, 16):
