@@ -39,6 +39,8 @@ CACHED_LENGTH = 64
 SLOT_BITS = 20
 HELD_BYTES = 8_000_000
 """A learning task holds word counts of about so many bytes before it works their pieces out."""
+BATCH_BYTES = 100_000
+"""About so many bytes of words are worked on at once; each takes some 200 bytes for its pieces and sums."""
 LONG = 4096
 """Longer words (in bytes) are gone through one by one, in blocks of so many places."""
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -254,7 +256,7 @@ def _classes(lengths: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
     high = 12
     while low < lengths.max(initial=0) and low < LONG:
         own = np.flatnonzero((lengths > low) & (lengths <= high))
-        batch = max(1, 400_000 // high)
+        batch = max(1, BATCH_BYTES // high)
         for begin in range(0, len(own), batch):
             yield own[begin : begin + batch], high > SHORT
         low, high = high, SHORT if high < SHORT else min(high * 2, LONG)
@@ -343,6 +345,7 @@ def expected_counts(pieces: Pieces, prior: np.ndarray, words: pa.StringArray, we
         total = alpha[np.arange(len(own)), length]
         beta = np.full(alpha.shape, -np.inf if logs else 0.0)
         beta[np.arange(len(own)), length] = 0.0 if logs else 1.0
+        shares = []
         for t in range(steps.last, 0, -1):
             for n, word, piece in steps.by_end[t]:
                 if logs:
@@ -353,8 +356,12 @@ def expected_counts(pieces: Pieces, prior: np.ndarray, words: pa.StringArray, we
                     through = beta[word, t] * used[piece, 0]
                     share = alpha[word, t - n] * through / total[word]
                     beta[word, t - n] += through
-                for k in range(weights.shape[1]):
-                    counts[:, k] += np.bincount(piece, share * weights[own[word], k], minlength=pieces.count)
+                shares.append((word, piece, share))
+        if not shares:
+            continue
+        word, piece, share = (np.concatenate(part) for part in zip(*shares, strict=True))
+        for k in range(weights.shape[1]):
+            counts[:, k] += np.bincount(piece, share * weights[own[word], k], minlength=pieces.count)
     return counts
 
 
@@ -432,6 +439,8 @@ def fit(docs: DataFrame, pieces: list[bytes]) -> LanguageModel:
             langs = coded.dictionary.to_pylist()
             cells = np.asarray(words.indices).astype(np.int64) * len(langs) + np.asarray(coded.indices)
             weights = np.bincount(cells, held.column("n").to_numpy(), minlength=len(words.dictionary) * len(langs))
+            del held, cells
+            arrays.give_back()
             counts = expected_counts(table, prior, words.dictionary, weights.reshape(len(words.dictionary), len(langs)))
             for k, name in enumerate(langs):
                 total[name] = total.get(name, 0) + counts[:, k]
@@ -442,6 +451,7 @@ def fit(docs: DataFrame, pieces: list[bytes]) -> LanguageModel:
             some = np.flatnonzero(counts)
             columns = [pa.array([name] * len(some), pa.string()), pa.array(some), pa.array(counts[some])]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "piece", "n"])
+        arrays.give_back()
 
     found = named.mapInArrow(run, "lang string, piece long, n double").groupBy("lang", "piece")
     # Rounded, so that the order in which tasks are added up leaves no trace.

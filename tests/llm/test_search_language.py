@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +159,23 @@ def test_learning_works_a_word_out_once_for_many_slices(monkeypatch, held, repea
     assert len(tables) <= repeats and max(times.values()) <= repeats
 
 
+def test_learning_holds_little_at_once():
+    """Two workers of an executor learn beside a grown heap."""
+    pieces = language.read_pieces(vocabulary("byte_bpe_50k.tiktoken"))
+    table, prior = language.Pieces(pieces), language.rank_prior(len(pieces))
+    rng = np.random.default_rng(6)
+    words = pa.array(["".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(3, 12))) for _ in range(100_000)])
+    weights = rng.integers(0, 3, (len(words), 2)).astype(float)
+    tracemalloc.start()
+    counts = language.expected_counts(table, prior, words, weights)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 30_000_000
+    lengths = np.array([len(p) for p in pieces])
+    letters = np.array([len(w) + 1 for w in words.to_pylist()])
+    assert np.allclose(lengths @ counts, letters @ weights)
+
+
 def test_very_long_words_are_summed_in_blocks(monkeypatch):
     """One unbroken word, in blocks of places, gives what all places at once give, and takes no memory for all of them."""
     import random
