@@ -181,7 +181,8 @@ def nodes(docs: DataFrame, n: int, above: int, below: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: np.ndarray, n: int) -> DataFrame:
-    """(node, rep, set) of the documents that the bit field may hold."""
+    """(node, set) of the documents that the bit field may hold."""
+    field = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in arrays.slices(batches):
@@ -189,16 +190,29 @@ def _sets(docs: DataFrame, wanted: np.ndarray, n: int) -> DataFrame:
             text, hashes = shingles(data, offsets, n)
             one, _ = _digests(text, hashes, many)
             ids = rows.column(rows.schema.get_field_index("rep")).to_numpy(zero_copy_only=False)
-            keep = np.flatnonzero(bloom.holds(wanted, one ^ ids.view(U64)) & (np.bincount(text, minlength=many) > 0))
+            keep = np.flatnonzero(bloom.holds(field.value, one ^ ids.view(U64)) & (np.bincount(text, minlength=many) > 0))
             bounds = np.searchsorted(text, np.stack([keep, keep + 1]))
             raw = [hashes[a:b].tobytes() for a, b in bounds.T]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(one[keep].view(np.int64)), pa.array(ids[keep]), pa.array(raw, pa.binary())],
-                ["node", "rep", "set"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(one[keep].view(np.int64)), pa.array(raw, pa.binary())], ["node", "set"])
 
     rep = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rep")
-    return docs.select(rep, "text").mapInArrow(run, "node long, rep long, set binary")
+    return docs.select(rep, "text").mapInArrow(run, "node long, set binary")
+
+
+def _some_sets(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, set) of the given nodes, and of some others."""
+    field = sets.sparkSession.sparkContext.broadcast(_field(nodes.select("node")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bloom.holds(field.value, batch.column(0).to_numpy().view(U64))))
+
+    return sets.select("node", "set").mapInArrow(run, "node long, set binary")
+
+
+def _field(hashes: DataFrame) -> np.ndarray:
+    """Bit field of the one column, as large as its rows want it, or the largest."""
+    return bloom.build(hashes, hashes.columns[0], bloom.bits_for(hashes.count()) or bloom.MOST_BITS)
 
 
 def _short(keys: np.ndarray, bucket_bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -288,8 +302,8 @@ def _shared_keys(full: DataFrame, reps: DataFrame) -> DataFrame:
     return single.select("node", "keys").mapInArrow(run, "node long, tagged long")
 
 
-def _links(units: DataFrame, sets: DataFrame, above: int, below: int) -> DataFrame:
-    """Verified links (a, b) inside units: rows (unit, node, group, low, role), compared left (1) with right (2) ones.
+def _links(rows: DataFrame, above: int, below: int) -> DataFrame:
+    """Verified links (a, b) inside units: rows (unit, node, group, low, role, set), compared left (1) with right (2) ones.
 
     Nodes of one group are connected already; of a pair one must be low.
     """
@@ -345,7 +359,7 @@ def _links(units: DataFrame, sets: DataFrame, above: int, below: int) -> DataFra
         if held:
             yield done()
 
-    rows = units.join(sets, "node").select("unit", "node", "group", "low", "role", "set")
+    rows = rows.select("unit", "node", "group", "low", "role", "set")
     return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -412,11 +426,6 @@ def similar_links(docs: DataFrame, full: DataFrame, reps: DataFrame, n: int, abo
     found = found.select("node", "rep", "wide", "size", (F.col("shared") / F.col("size")).alias("rank"), band.alias("own"))
     found = written(found, "candidates")
 
-    mark = F.col("node").bitwiseXOR(F.col("rep"))
-    wanted = bloom.build(found.select(mark.alias("mark")), "mark")
-    sets = written(_sets(docs, wanted, n).join(found.select("node", "rep"), ["node", "rep"]).dropDuplicates(["node"]), "sets")
-    sets = sets.select("node", "set")
-
     # A pair's bands are the same or neighbours: each group holds a band and the next.
     group = ["wide", "band"]
     rows = found.select("*", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("band"))
@@ -427,7 +436,7 @@ def similar_links(docs: DataFrame, full: DataFrame, reps: DataFrame, n: int, abo
     chunks = tallies.where("n > 1 AND low")
     chunks = written(chunks.select(*group, "chunks"), "groups")
     placed = rows.join(chunks, group).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    placed = written(placed.select("node", *group, "size", "rank", "low", "chunks", "chunk"), "placed")
+    placed = written(placed.select("node", "rep", *group, "size", "rank", "low", "chunks", "chunk"), "placed")
 
     salt = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(CENTRES)).alias("salt")
     centres = placed.where("chunks > 1").groupBy(*group, salt).agg(F.max(F.struct("rank", "node", "low", "chunks")).alias("c"))
@@ -435,7 +444,11 @@ def similar_links(docs: DataFrame, full: DataFrame, reps: DataFrame, n: int, abo
     own = F.col("node").alias("group")
     columns = [_unit(*group, "chunk"), "node", own, "low"]
     units = placed.select(*columns, F.lit(3).alias("role")).union(centres.select(*columns, F.lit(2).alias("role")))
-    links = written(_links(units, sets, above, below), "links")
+    # Sets are what is large: they meet the list of their units by node, and are shuffled once more, by unit.
+    lists = units.groupBy("node").agg(F.collect_list(F.struct("unit", "group", "low", "role")).alias("units"))
+    wanted = _field(placed.select(F.col("node").bitwiseXOR(F.col("rep")).alias("mark")))
+    sets = written(_sets(docs, wanted, n).join(lists, "node").dropDuplicates(["node"]), "sets")
+    links = written(_links(sets.select("node", "set", F.inline("units")), above, below), "links")
 
     joined = components(links, "a", "b").withColumnRenamed("component", "group")
     large = placed.where("chunks > 1").join(joined, "node", "left").withColumn("group", F.coalesce("group", "node"))
@@ -454,7 +467,8 @@ def similar_links(docs: DataFrame, full: DataFrame, reps: DataFrame, n: int, abo
     right = right.select("node", "group", *group, "low", "chunk", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"))
     columns = [_unit(*group, "chunk", "side"), "node", "group", "low"]
     units = left.select(*columns, F.lit(1).alias("role")).union(right.select(*columns, F.lit(2).alias("role")))
-    return links.union(written(_links(units, sets, above, below), "late-links"))
+    late = units.join(_some_sets(sets, open_rows), "node")
+    return links.union(written(_links(late, above, below), "late-links"))
 
 
 def _unit(*columns: str):

@@ -38,6 +38,32 @@ def test_large_group_of_near_copies_in_small_chunks(spark, monkeypatch):
     assert found(jaccard.jaccard_components(docs, 4, 85, 100)) == brute.jaccard_components(rows, 4, 85, 100)
 
 
+def test_sets_are_shuffled_by_node_once_and_by_unit_once(spark, monkeypatch):
+    plans, real = {}, jaccard.written
+
+    def recorded(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name)
+
+    monkeypatch.setattr(jaccard, "written", recorded)
+    monkeypatch.setattr(jaccard, "CHUNK_ROWS", 7)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rng = random.Random(4)
+        words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        rows = [(i % 25, " ".join([*words[:-1 - i % 3], *(f"n{i}" for _ in range(i % 3))])) for i in range(60)]
+        rows += [(None, rows[1][1]), (None, rows[1][1]), (3, rows[3][1]), (70, None)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert found(jaccard.jaccard_components(docs, 4, 85, 100)) == brute.jaccard_components(rows, 4, 85, 100)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # One exchange of the sets and one of the units, then nothing but the one by unit and that of the links.
+    assert plans["sets"].count("Exchange hashpartitioning(") - plans["sets"].count("ReusedExchange") <= 3
+    assert "Exchange hashpartitioning(rep" not in plans["sets"] and ", rep#" not in plans["sets"]
+    assert "Join" not in plans["links"] and plans["links"].count("Exchange hashpartitioning(") == 2
+    assert plans["late-links"].count("MapInArrow") == 2
+
+
 def test_one_of_each_keeps_the_smallest_and_all_columns(clashing, no_docs):
     kept = jaccard.one_of_each(clashing)
     assert kept.columns == clashing.columns
