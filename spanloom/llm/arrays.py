@@ -11,6 +11,8 @@ import pyarrow as pa
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
 """Texts are worked on in runs of about so many bytes, which bounds a task's memory; one longer text forms a run of its own."""
+PART_ROWS = 1000
+"""Rows of an Arrow batch that numpy works on at once."""
 
 
 def lower_ascii() -> np.ndarray:
@@ -49,6 +51,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         give_back()
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows, so many at a time; what they took is given back at the end."""
+    give_back()
+    batch = None
+    for batch in batches:
+        for begin in range(0, len(batch), rows):
+            yield batch.slice(begin, rows)
+        give_back()
+    del batch
+    give_back()
+
+
 def give_back() -> None:
     """Return freed memory to the system: workers are used again and would keep the most that any task held."""
     pa.default_memory_pool().release_unused()

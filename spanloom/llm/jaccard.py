@@ -15,7 +15,8 @@ blocks, which many unrelated sets share, are so indexed but hardly ever probed.
 Equal sets are one node from the start. Nodes that share a block are candidates;
 their connected groups, cut by size so that only sizes that may be similar meet,
 are compared in chunks of bounded rows and bytes: by the Hamming distance of
-whole sketches first, then on the whole sets. A chunk keeps to itself, without
+whole sketches first, a few bits per n-gram, and only what these leave similar to
+something in its chunk goes there once more with its whole set. A chunk keeps to itself, without
 emitting pairs, what is connected already, and returns links only. Groups of
 several chunks are compared in two steps: each chunk in itself and with the most
 connected nodes of the group; then, only what is still apart from most of its
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import arrays, bloom
@@ -45,8 +46,8 @@ BAND_RATIO = 1.6
 SPARE = 0.1
 """Blocks beyond d + 1, as a share of them: what a probe may leave out."""
 NO_ID = -(2**63)
-SKETCH_BITS = 4096
-"""Bits of the whole sketch by which two sets are compared first."""
+SKETCH_RATIO = 2
+"""Bits per member, at least, of the whole sketch by which two sets are compared first."""
 BUCKET_KEYS = 4_000_000
 """Keys that are looked through for repeats at once, in numpy."""
 CHUNK_ROWS = 140
@@ -151,11 +152,30 @@ def _digests(text: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray,
     return arrays.mix(one), two
 
 
+def whole_sketches(text: np.ndarray, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches as 64-bit words, and the first word of each text; as many words as a power of two, none for no members.
+
+    A longer sketch, cut into parts of a shorter one's length and XORed, is the set's sketch of that length.
+    """
+    words = 2 ** np.ceil(np.log2(np.maximum(sizes * SKETCH_RATIO / 64, 1))).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(np.where(sizes > 0, words, 0))])
+    bit = arrays.mix(hashes) & (words[text].astype(U64) * U64(64) - U64(1))
+    sketch = np.zeros(begin[-1], dtype=U64)
+    np.bitwise_xor.at(sketch, begin[text] + (bit >> U64(6)).astype(np.int64), U64(1) << (bit & U64(63)))
+    return sketch, begin
+
+
+def _folded(raw: list[bytes]) -> np.ndarray:
+    """The sketches, one a row, at the length of the shortest."""
+    words = min(map(len, raw)) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(r, dtype=U64).reshape(-1, words), axis=0) for r in raw])
+
+
 def nodes(docs: DataFrame, n: int, above: int, below: int) -> DataFrame:
-    """(doc_id, row key, size, node, check, keys) per document.
+    """(doc_id, row key, size, node, check, keys, sketch) per document.
 
     ``node`` and ``check`` are digests of the set; both and the size together
-    tell sets apart. Documents without words have size 0 and no keys.
+    tell sets apart. Documents without words have size 0, no keys and an empty sketch.
     """
     bands = Bands(above, below)
 
@@ -167,47 +187,71 @@ def nodes(docs: DataFrame, n: int, above: int, below: int) -> DataFrame:
             one, two = _digests(text, hashes, many)
             owner, keys = sketch_keys(text, hashes, sizes, bands)
             order = np.argsort(owner, kind="stable")
+            sketch, begin = whole_sketches(text, hashes, sizes)
+            bounds = pa.py_buffer((begin * 8).astype(np.int32))
             columns = [
                 *rows.columns[:4],
                 pa.array(sizes.astype(np.int64)),
                 pa.array(one.view(np.int64)),
                 pa.array(two.view(np.int64)),
                 _runs(keys[order], owner[order], many),
+                pa.Array.from_buffers(pa.binary(), many, [None, bounds, pa.py_buffer(sketch)]),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *KEY, "size", "node", "check", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *KEY, "size", "node", "check", "keys", "sketch"])
 
-    schema = "doc_id long, key_id long, key_hash long, key_size long, size long, node long, check long, keys array<long>"
+    schema = "doc_id long, key_id long, key_hash long, key_size long, size long, node long, check long, keys array<long>, sketch binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key(), "text").mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, wanted: np.ndarray, n: int) -> DataFrame:
-    """(node, set) of the documents that the bit field may hold."""
-    field = docs.sparkSession.sparkContext.broadcast(wanted)
+def _sets(docs: DataFrame, rows: DataFrame, n: int) -> DataFrame:
+    """(node, set) of the documents that ``rows`` (node, rep, ...) name, and of some others."""
+    context = docs.sparkSession.sparkContext
+    named = context.broadcast(_field(rows.select(F.xxhash64("rep").alias("mark"))))
+    field = context.broadcast(_field(rows.select(_mark())))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts of other ids need no shingles."""
+        for batch in arrays.parts(batches):
+            kept = batch.filter(pa.array(bloom.holds(named.value, batch.column(1).to_numpy().view(U64))))
+            if kept.num_rows:
+                yield kept
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in arrays.slices(batches):
+        for rows, data, offsets in arrays.slices(some(batches)):
             many = len(rows)
             text, hashes = shingles(data, offsets, n)
             one, _ = _digests(text, hashes, many)
-            ids = rows.column(rows.schema.get_field_index("rep")).to_numpy(zero_copy_only=False)
+            ids = rows.column(0).to_numpy(zero_copy_only=False)
             keep = np.flatnonzero(bloom.holds(field.value, one ^ ids.view(U64)) & (np.bincount(text, minlength=many) > 0))
             bounds = np.searchsorted(text, np.stack([keep, keep + 1]))
             raw = [hashes[a:b].tobytes() for a, b in bounds.T]
             yield pa.RecordBatch.from_arrays([pa.array(one[keep].view(np.int64)), pa.array(raw, pa.binary())], ["node", "set"])
 
-    rep = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("rep")
-    return docs.select(rep, "text").mapInArrow(run, "node long, set binary")
+    rep = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    return docs.select(rep.alias("rep"), F.xxhash64(rep).alias("mark"), "text").mapInArrow(run, "node long, set binary")
 
 
-def _some_sets(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, set) of the given nodes, and of some others."""
-    field = sets.sparkSession.sparkContext.broadcast(_field(nodes.select("node")))
+def _with_units(sets: DataFrame, units: DataFrame) -> DataFrame:
+    """Of each node its columns of ``sets`` and the list of its units, once, whatever its repeats."""
+    lists = units.groupBy("node").agg(F.collect_list(F.struct("unit", "group", "low", "role")).alias("units"))
+    return sets.join(lists, "node").dropDuplicates(["node"])
+
+
+def _held(rows: DataFrame, field: np.ndarray) -> DataFrame:
+    """The rows (node, rep, ...) that the bit field may hold."""
+    wanted = rows.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(bloom.holds(field.value, batch.column(0).to_numpy().view(U64))))
+        for batch in arrays.parts(batches):
+            node, rep = (batch.column(i).to_numpy().view(U64) for i in (0, 1))
+            yield batch.filter(pa.array(bloom.holds(wanted.value, node ^ rep)))
 
-    return sets.select("node", "set").mapInArrow(run, "node long, set binary")
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _mark() -> Column:
+    """Names one document, or equal ones, of a node."""
+    return F.col("node").bitwiseXOR(F.col("rep")).alias("mark")
 
 
 def _field(hashes: DataFrame) -> np.ndarray:
@@ -231,16 +275,8 @@ def _one_of_each_node(full: DataFrame, reps: DataFrame) -> DataFrame:
     bits = bloom.bits_for(reps.count())
     if bits is None:
         return rows.select("node", "keys")
-    mark = F.col("node").bitwiseXOR(F.col("rep"))
-    field = full.sparkSession.sparkContext.broadcast(bloom.build(reps.select(mark.alias("mark")), "mark", bits))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, rep = (batch.column(i).to_numpy().view(U64) for i in (0, 1))
-            kept = pa.array(bloom.holds(field.value, node ^ rep))
-            yield batch.select(["node", "keys"]).filter(kept)
-
-    return rows.mapInArrow(run, "node long, keys array<long>")
+    # Written, not filtered by each reader anew: a task would need two Python workers at once.
+    return written(_held(rows, bloom.build(reps.select(_mark()), "mark", bits)).select("node", "keys"), "single")
 
 
 def _maybe_shared(single: DataFrame, bucket_bits: int) -> DataFrame:
@@ -252,7 +288,7 @@ def _maybe_shared(single: DataFrame, bucket_bits: int) -> DataFrame:
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrays.parts(batches):
             tagged = batch.column(0).flatten().to_numpy().view(U64)
             bucket, rest = _short(tagged >> U64(1), bucket_bits)
             order = np.argsort(bucket, kind="stable")
@@ -292,7 +328,7 @@ def _shared_keys(full: DataFrame, reps: DataFrame) -> DataFrame:
     field = single.sparkSession.sparkContext.broadcast(bloom.build(maybe, "hash", bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrays.parts(batches):
             lists = batch.column(1)
             tagged = lists.flatten().to_numpy()
             nodes = np.repeat(batch.column(0).to_numpy(), np.diff(np.asarray(lists.offsets)))
@@ -302,6 +338,58 @@ def _shared_keys(full: DataFrame, reps: DataFrame) -> DataFrame:
     return single.select("node", "keys").mapInArrow(run, "node long, tagged long")
 
 
+def _fits(x: int, sizes: np.ndarray, node: np.ndarray, low: np.ndarray, role: np.ndarray, above: int, below: int) -> np.ndarray:
+    """What the x-th row of a unit, a left one, is compared with: right ones of a size that may be similar."""
+    fits = (role & 2 > 0) & (np.minimum(sizes, sizes[x]) * below >= np.maximum(sizes, sizes[x]) * above)
+    return fits & (low | low[x]) & (((role & 1) == 0) | (node > node[x])) & (node != node[x])
+
+
+def _distances(x: int, ys: np.ndarray, sketch: np.ndarray, sizes: np.ndarray, above: int, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hamming distances, and whether they are such that the sets may be similar."""
+    distance = np.bitwise_count(sketch[ys] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+    return distance, distance <= (sizes[ys] + sizes[x]) * (below - above) // (below + above)
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(unit, its rows as tuples) of rows sorted by unit, the first column."""
+    held: list[tuple] = []
+    current = None
+    for part in arrays.parts(batches, 200):
+        for unit, *row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            if held and unit != current:
+                yield current, held
+                held = []
+            current = unit
+            held.append(tuple(row))
+    if held:
+        yield current, held
+
+
+def _near(rows: DataFrame, above: int, below: int) -> DataFrame:
+    """Of rows (unit, node, group, low, role, rep, size, sketch) those that by their sketch may be linked with one of another group in the unit."""
+    columns = ["unit", "node", "group", "low", "role", "rep"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit, held in _units(batches):
+            if len(held) == 1:
+                continue
+            *kept, size, raw = zip(*held, strict=True)
+            node, group, low, role, sizes = map(np.array, (*kept[:4], size))
+            sketch = _folded(raw)
+            near = np.zeros(len(held), dtype=bool)
+            for x in np.flatnonzero(role & 1):
+                ys = np.flatnonzero(_fits(x, sizes, node, low, role, above, below) & (group != group[x]))
+                ys = ys[_distances(x, ys, sketch, sizes, above, below)[1]]
+                near[ys] = True
+                near[x] |= len(ys) > 0
+            found = [[unit] * int(near.sum()), *([v for v, is_near in zip(c, near, strict=True) if is_near] for c in kept)]
+            schema = pa.schema(list(zip(columns, [pa.int64()] * 3 + [pa.bool_(), pa.int32(), pa.int64()], strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(found, schema, strict=True)], schema=schema)
+
+    rows = rows.select(*columns, "size", "sketch").repartition("unit").sortWithinPartitions("unit")
+    return rows.mapInArrow(run, "unit long, node long, group long, low boolean, role int, rep long")
+
+
 def _links(rows: DataFrame, above: int, below: int) -> DataFrame:
     """Verified links (a, b) inside units: rows (unit, node, group, low, role, set), compared left (1) with right (2) ones.
 
@@ -312,8 +400,8 @@ def _links(rows: DataFrame, above: int, below: int) -> DataFrame:
         found: list[tuple[int, int]] = []
         hashes = [np.frombuffer(r, dtype=U64) for r in raw]
         sizes = np.array([len(h) for h in hashes])
-        bits = [np.bincount((arrays.mix(h) & U64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1 for h in hashes]
-        sketch = np.packbits(np.array(bits, dtype=np.uint8), axis=1).view(U64)
+        words, begin = whole_sketches(np.repeat(np.arange(len(sizes)), sizes), np.concatenate(hashes), sizes)
+        sketch = _folded([words[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)])
         root = {g: g for g in group}
 
         def find(g: int) -> int:
@@ -322,14 +410,9 @@ def _links(rows: DataFrame, above: int, below: int) -> DataFrame:
                 g = root[g]
             return g
 
-        right = (role & 2) > 0
         for x in np.flatnonzero(role & 1):
-            fits = right & (np.minimum(sizes, sizes[x]) * below >= np.maximum(sizes, sizes[x]) * above)
-            fits &= (low | low[x]) & (((role & 1) == 0) | (node > node[x])) & (node != node[x])
-            ys = np.flatnonzero(fits)
-            distance = np.bitwise_count(sketch[ys] ^ sketch[x]).sum(axis=1, dtype=np.int64)
-            bound = (sizes[ys] + sizes[x]) * (below - above) // (below + above)
-            near = distance <= bound
+            ys = np.flatnonzero(_fits(x, sizes, node, low, role, above, below))
+            distance, near = _distances(x, ys, sketch, sizes, above, below)
             for y in ys[near][np.argsort(distance[near], kind="stable")]:
                 one, two = find(group[x]), find(group[y])
                 if one == two:
@@ -341,23 +424,10 @@ def _links(rows: DataFrame, above: int, below: int) -> DataFrame:
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        current = None
-
-        def done() -> pa.RecordBatch:
+        for _, held in _units(batches):
             node, group, low, role, raw = zip(*held, strict=True)
             pairs = compare(np.array(node), group, np.array(low), np.array(role), raw) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-        for batch in batches:
-            for unit, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and unit != current:
-                    yield done()
-                    held.clear()
-                current = unit
-                held.append(tuple(row))
-        if held:
-            yield done()
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     rows = rows.select("unit", "node", "group", "low", "role", "set")
     return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(run, "a long, b long").distinct()
@@ -444,10 +514,10 @@ def similar_links(docs: DataFrame, full: DataFrame, reps: DataFrame, n: int, abo
     own = F.col("node").alias("group")
     columns = [_unit(*group, "chunk"), "node", own, "low"]
     units = placed.select(*columns, F.lit(3).alias("role")).union(centres.select(*columns, F.lit(2).alias("role")))
-    # Sets are what is large: they meet the list of their units by node, and are shuffled once more, by unit.
-    lists = units.groupBy("node").agg(F.collect_list(F.struct("unit", "group", "low", "role")).alias("units"))
-    wanted = _field(placed.select(F.col("node").bitwiseXOR(F.col("rep")).alias("mark")))
-    sets = written(_sets(docs, wanted, n).join(lists, "node").dropDuplicates(["node"]), "sets")
+    # Sets are what is large: only those go to their units that sketches leave similar to something there. They meet
+    # the list of their units by node, and are shuffled once more, by unit.
+    near = written(_near(_sketched(full, placed, units), above, below), "near")
+    sets = written(_with_units(_sets(docs, near, n), near), "sets")
     links = written(_links(sets.select("node", "set", F.inline("units")), above, below), "links")
 
     joined = components(links, "a", "b").withColumnRenamed("component", "group")
@@ -467,10 +537,18 @@ def similar_links(docs: DataFrame, full: DataFrame, reps: DataFrame, n: int, abo
     right = right.select("node", "group", *group, "low", "chunk", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("side"))
     columns = [_unit(*group, "chunk", "side"), "node", "group", "low"]
     units = left.select(*columns, F.lit(1).alias("role")).union(right.select(*columns, F.lit(2).alias("role")))
-    late = units.join(_some_sets(sets, open_rows), "node")
+    near = written(_near(_sketched(full, open_rows, units), above, below), "late-near")
+    late = _with_units(_sets(docs, near, n), near).select("node", "set", F.inline("units"))
     return links.union(written(_links(late, above, below), "late-links"))
 
 
+def _sketched(full: DataFrame, nodes: DataFrame, units: DataFrame) -> DataFrame:
+    """The units' rows, each with the size and sketch of its node; ``nodes`` (node, rep) are all that occur."""
+    rows = full.select("node", F.coalesce("doc_id", F.lit(NO_ID)).alias("rep"), "size", "sketch")
+    found = _with_units(_held(rows, _field(nodes.select(_mark()))), units)
+    return found.select("node", "rep", "size", "sketch", F.inline("units"))
+
+
 def _unit(*columns: str):
     """Number of a unit; should two units get the same, they are compared as one, which adds no wrong link."""
     return F.xxhash64(*columns).alias("unit")

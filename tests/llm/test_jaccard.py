@@ -64,6 +64,36 @@ def test_sets_are_shuffled_by_node_once_and_by_unit_once(spark, monkeypatch):
     assert plans["late-links"].count("MapInArrow") == 2
 
 
+def test_only_sets_whose_sketch_is_near_another_go_to_their_units(spark, monkeypatch):
+    """Texts with a passage in common share blocks; their sketches tell that they are not similar."""
+    tables, real = {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: tables.setdefault(name, real(df, name)))
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(120)]
+    own = [[f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(60)]
+    rows = [(i, " ".join(passage + words)) for i, words in enumerate(own)]
+    rows += [(100 + i, " ".join([*passage, *own[i][:-1], "other"])) for i in range(5)] + [(None, rows[9][1] + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(jaccard.jaccard_components(docs, 5, 4, 5)) == brute.jaccard_components(rows, 5, 4, 5)
+    assert tables["placed"].select("node").distinct().count() > 30
+    assert tables["near"].select("node").distinct().count() == tables["sets"].count() == 12
+
+
+def test_sketches_fold_to_the_length_of_shorter_ones():
+    rng = np.random.default_rng(2)
+    sizes = np.array([900, 0, 40, 1, 300])
+    hashes = rng.integers(0, 2**63, sizes.sum(), dtype=np.uint64)
+    words, begin = jaccard.whole_sketches(np.repeat(np.arange(5), sizes), hashes, sizes)
+    assert np.diff(begin).tolist() == [32, 0, 2, 1, 16]
+    rows = [words[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+    parts = np.split(hashes, np.cumsum(sizes)[:-1])
+    for length, chosen in ((16, [0, 4]), (2, [0, 2, 4]), (1, [0, 2, 3, 4])):
+        folded = jaccard._folded([rows[i] for i in chosen])
+        for row, i in zip(folded, chosen, strict=True):
+            bits = np.bincount((arrays.mix(parts[i]) % np.uint64(64 * length)).astype(int), minlength=64 * length) % 2
+            assert np.unpackbits(row.view(np.uint8), bitorder="little").tolist() == bits.tolist()
+
+
 def test_one_of_each_keeps_the_smallest_and_all_columns(clashing, no_docs):
     kept = jaccard.one_of_each(clashing)
     assert kept.columns == clashing.columns
