@@ -12,8 +12,9 @@ blocks, the fullest ones (d of them may differ, one must agree); the larger is
 *indexed* under all blocks of every band its partner may be in. Nearly empty
 blocks, which many unrelated sets share, are so indexed but hardly ever probed.
 
-Equal sets are one node from the start. Nodes that share a block are candidates;
-their connected groups, cut by size so that only sizes that may be similar meet,
+Equal sets are one node from the start. Nodes that share a block are candidates:
+all holders of the blocks of which one node is the first holder are a group. Groups,
+cut by size so that only sizes that may be similar meet,
 are compared in chunks of bounded rows and bytes: by the Hamming distance of
 whole sketches first, a few bits per n-gram, and only what these leave similar to
 something in its chunk goes there once more with its whole set. A chunk keeps to itself, without
@@ -488,8 +489,8 @@ def similar_links(docs: DataFrame, full: DataFrame, reps: DataFrame, n: int, abo
     shared = written(shared.select("key", "first"), "shared")
     members = emitted.join(shared, "key").select("node", "first").distinct()
     members = written(members, "members")
-    # Nodes that share a block, directly or by way of others.
-    wide = components(members, "node", "first").withColumnRenamed("component", "wide")
+    # Nodes with a block of which one node is the first holder: whoever share a block meet in its group.
+    wide = members.withColumnRenamed("first", "wide")
     rank = members.groupBy("node").agg(F.count("*").alias("shared"))
     found = wide.join(reps, "node").join(rank, "node")
     band = F.floor(F.log(F.col("size").cast("double")) / math.log(below / above * 1.000001)).cast("int")

@@ -79,6 +79,19 @@ def test_only_sets_whose_sketch_is_near_another_go_to_their_units(spark, monkeyp
     assert tables["near"].select("node").distinct().count() == tables["sets"].count() == 12
 
 
+def test_chains_of_shared_blocks_are_no_group(spark, monkeypatch):
+    """Texts that share blocks with their neighbours only, and are not similar: no group holds the whole chain."""
+    tables, real = {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: tables.setdefault(name, real(df, name)))
+    rng = random.Random(14)
+    links = [[f"p{i}w{rng.randrange(10**6)}" for _ in range(90)] for i in range(41)]
+    rows = [(i, " ".join(links[i] + links[i + 1])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(jaccard.jaccard_components(docs, 5, 4, 5)) == brute.jaccard_components(rows, 5, 4, 5)
+    groups = tables["placed"].groupBy("wide", "band").count().collect()
+    assert len(groups) > 3 and max(r["count"] for r in groups) <= 3
+
+
 def test_sketches_fold_to_the_length_of_shorter_ones():
     rng = np.random.default_rng(2)
     sizes = np.array([900, 0, 40, 1, 300])
