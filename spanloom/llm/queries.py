@@ -94,8 +94,8 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates and which of them are secrets; a fifth of the documents is held out from learning."""
-    # Learning reads them twice and judging once more.
-    found = written(secrets.described(secrets.candidates(table(spark, sf_dir, "documents"))), "candidates")
+    # Learning reads them twice and judging once more, so what their form says is worked out before.
+    found = written(secrets.settled(secrets.described(secrets.candidates(table(spark, sf_dir, "documents")))), "candidates")
     model = secrets.train(secrets.certain_labels(found.where(id_remainder(5) != 0)))
     return secrets.judged(found, model).select(
         "doc_id",

@@ -22,16 +22,18 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import row_key
+from spanloom.llm.common import row_key, written
 
 SIGN = "[A-Za-z0-9+/=_.@-]"
 """What candidates consist of. Only they are consumed, so that neighbours stay whole; the text around is looked at."""
 NEAR = r"[A-Za-z_]{0,24}[\s\"'=:]{0,4}"
+NEAR_SIGNS = 32
+"""It is sought in so many signs, which are more than it and an end of line can have: each place of them is tried."""
 MARGIN = "\x01" * 60
 """Put before a line, so that there are 60 characters before each place."""
 _AFTER = "[^A-Za-z0-9+/=_.@-]{0,2}[A-Za-z]{0,12}"
-RUN = rf"(?<!{SIGN})(?=({SIGN}{{10,}}+{_AFTER}))(?<=([\x{{0}}-\x{{FFFF}}]{{60}})){SIGN}++"
-"""A whole run with what is after it, and the 60 characters before it."""
+RUN = rf"(?<!{SIGN})(?={SIGN}{{10}})(?<=(?=([\x{{0}}-\x{{FFFF}}]{{60}}{SIGN}{{10,}}+{_AFTER}))[\x{{0}}-\x{{FFFF}}]{{60}}){SIGN}++"
+"""The 60 characters before a whole run, the run, and what is after it: one group, so that texts are searched once."""
 KEYWORDS = "pass|pwd|secret|token|key|auth|cred|bearer"
 _NAME = "[A-Za-z0-9_.-]"
 _GIVEN = r"\\*[\"']?\s*[=:]+>?\s*"
@@ -87,24 +89,29 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     group = lambda text, pattern, i: F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
     kind = "array<struct<behind:string,ahead:string,value:string>>"
     none = F.array().cast("array<string>")
-    runs = F.arrays_zip(group(padded, RUN, 2), group(padded, RUN, 1), none).cast(kind)
+    # Of a run all three are in one text, which is parted once there is a row for each.
+    runs = F.arrays_zip(group(padded, RUN, 1), none, none).cast(kind)
     given = F.arrays_zip(group(content, ASSIGNED, 1), group(content, ASSIGNED, 3), group(content, ASSIGNED, 2)).cast(kind)
     some_given = F.when(content.rlike("[=:]") & content.rlike(KEYED), given).otherwise(F.array().cast(kind))
     spots = F.when(content.rlike(f"{SIGN}{{10}}"), F.concat(runs, some_given)).otherwise(some_given)
     # Not posexplode, for which the patterns would be searched once more to leave out lines that have none.
     found = lines.select("doc_id", "path", "line", F.posexplode_outer(spots).alias("nth", "spot")).where("spot IS NOT NULL")
-    behind, value, token = F.col("spot.behind"), F.col("spot.value"), F.col("token")
-    run = F.regexp_extract("spot.ahead", f"^{SIGN}+", 0)
-    found = found.select("doc_id", "path", "line", "nth", "spot", F.coalesce(value, run).alias("token"))
+    value, whole = F.col("spot.value"), F.col("spot.behind")
+    behind = F.when(value.isNull(), F.substring(whole, 1, len(MARGIN))).otherwise(whole)
+    ahead = F.when(value.isNull(), F.substring(whole, len(MARGIN) + 1, 2**31 - 1)).otherwise(F.col("spot.ahead"))
+    found = found.select("doc_id", "path", "line", "nth", value.alias("value"), behind.alias("behind"), ahead.alias("ahead"))
+    behind, ahead, value, token = map(F.col, ("behind", "ahead", "value", "token"))
+    run = F.regexp_extract(ahead, f"^{SIGN}+", 0)
+    found = found.select("*", F.coalesce(value, run).alias("token"))
     given_before = behind.rlike("[=:]") & behind.rlike(COVERED[0])
     found = found.where(value.isNotNull() | ~(given_before | token.contains("=") & token.rlike(COVERED[1])))
     quote = F.regexp_extract(token, r"^\\*[\"']", 0)
     assigned = value.isNotNull()
     found = found.select(
         "doc_id", "path", "line", "nth",
-        F.when(assigned, F.concat(behind, quote)).otherwise(F.regexp_extract(behind, f"{NEAR}$", 0)).alias("before"),
+        F.when(assigned, F.concat(behind, quote)).otherwise(F.regexp_extract(F.substring(behind, -NEAR_SIGNS, NEAR_SIGNS), f"{NEAR}$", 0)).alias("before"),
         F.when(assigned, F.substring(token, F.length(quote) + 1, F.length(token))).otherwise(token).alias("candidate"),
-        F.when(assigned, F.col("spot.ahead")).otherwise(F.substring("spot.ahead", F.length(token) + 1, F.lit(14))).alias("after"),
+        F.when(assigned, ahead).otherwise(F.substring(ahead, F.length(token) + 1, F.lit(14))).alias("after"),
     )
     return found.where("candidate <> ''")
 
@@ -114,19 +121,19 @@ def described(found: DataFrame) -> DataFrame:
     token = F.col("candidate")
     kept = lambda pattern: F.length(F.regexp_replace(token, pattern, ""))
     length = F.length(token)
-    # Each character's class, then one character for each run of a class.
-    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[0-9]", "0"), "[a-z]", "1"), "[A-Z]", "2")
+    # Each run's class, then one character for each run of a class. Runs are replaced whole: each replacement costs a copy.
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[0-9]+", "0"), "[a-z]+", "1"), "[A-Z]+", "2")
     runs = F.length(F.regexp_replace(classes, r"(.)(?=\1)", ""))
     features = {
         "length": length,
-        "digits": kept("[^0-9]") / length,
-        "uppers": kept("[^A-Z]") / length,
-        "letters": kept("[^A-Za-z]") / length,
+        "digits": kept("[^0-9]+") / length,
+        "uppers": kept("[^A-Z]+") / length,
+        "letters": kept("[^A-Za-z]+") / length,
         "changes": runs,
         "changes_per_char": runs / length,
         "covered": 1 - F.length(F.regexp_replace(F.lower(token), WORDS, "")) / length,
-        "dots": kept("[^.]"),
-        "at_signs": kept("[^@]"),
+        "dots": kept("[^.]+"),
+        "at_signs": kept("[^@]+"),
         "distinct_share": F.size(F.array_distinct(F.split(token, ""))) / length,
         "hex_only": token.rlike("^[0-9a-f]+$"),
         "keyword_before": F.lower("before").rlike(KEYWORDS) | F.lower(token).rlike(f"^({KEYWORDS})[a-z_]*="),
@@ -146,19 +153,29 @@ def certain_label() -> Column:
     token, before = F.col("candidate"), F.lower("before")
     named = before.rlike(f"({KEYWORDS})[a-z0-9_.-]*[\\s\"'=:>\\\\]+$") | F.lower(token).rlike(f"^({KEYWORDS})[a-z_]*=")
     issued = ~token.rlike("^[A-Z]?[a-z]+$") & token.rlike(KEY_FORMAT)
-    secret = issued | (named & token.rlike("(?<![0-9a-f])[0-9a-f]{16,}+[,;.)]?$"))
+    hexadecimal = named & token.rlike("(?<![0-9a-f])[0-9a-f]{16,}+[,;.)]?$")
     plain = (
         token.rlike(r"^[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+$")
         | token.rlike(r"^[+]?[0-9][0-9./-]*[0-9.]$")
         | token.rlike(r"^[A-Za-z]++(?:[._/-][A-Za-z0-9]++)++[.]?$") & ~named & ~token.rlike(CHANCE)
         | token.rlike(r"^[A-Za-z]?[a-z]+[.]?$") & ~named
     )
-    return F.when(issued | (secret & ~plain), 1.0).when(plain & ~secret, 0.0)
+    # Each pattern stands here once, as they are searched as often as they stand.
+    return F.when(issued, 1.0).when(plain, F.when(~hexadecimal, 0.0)).when(hexadecimal, 1.0)
+
+
+def settled(found: DataFrame) -> DataFrame:
+    """``found`` with :func:`certain_label` as the column ``settled``, for tables that are read more than once."""
+    return found.withColumn("settled", certain_label())
+
+
+def _settled(found: DataFrame) -> Column:
+    return F.col("settled") if "settled" in found.columns else certain_label()
 
 
 def certain_labels(found: DataFrame) -> DataFrame:
     """Findings whose form settles it, with their ``label``."""
-    return found.withColumn("label", certain_label()).where("label IS NOT NULL")
+    return found.withColumn("label", _settled(found)).where("label IS NOT NULL")
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS, seed: int = 7) -> RandomForestClassificationModel | None:
@@ -178,8 +195,10 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, seed: int = 7) -> RandomF
     part = {rare: few / kinds[rare], 1 - rare: min(1.0, (rows - few) / kinds[1 - rare])}
     threshold = F.when(F.col("label") == rare, int(part[rare] * 2**31)).otherwise(int(part[1 - rare] * 2**31))
     sample = labelled.where(mark.bitwiseAND(2**31 - 1) < threshold)
-    # The same rows in the same partitions and order: the forest's own sampling depends on them.
     sample = sample.groupBy(*LEARNED, "label").agg(F.count(F.lit(1)).cast("double").alias("times"))
+    # Written, as fitting reads it many times. The same rows in the same partitions and order: the forest's own
+    # sampling depends on them.
+    sample = written(sample, "findings")
     sample = sample.repartition(8, *LEARNED, "label").sortWithinPartitions(*LEARNED, "label")
     data = VectorAssembler(inputCols=LEARNED, outputCol="features").transform(sample).select("features", "label", "times")
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, weightCol="times").fit(data)
@@ -192,10 +211,10 @@ def judged(found: DataFrame, model: RandomForestClassificationModel | None) -> D
     else whether the probability is 0.5 or more. Without a model nothing is taken
     out: the probability is null, and ``is_secret`` true or null.
     """
-    settled = certain_label()
+    certain = _settled(found)
     if model is None:
-        return found.withColumns({"probability": F.lit(None).cast("double"), "is_secret": F.when(settled == 1, True)})
+        return found.withColumns({"probability": F.lit(None).cast("double"), "is_secret": F.when(certain == 1, True)})
     vectors = VectorAssembler(inputCols=LEARNED, outputCol="features").transform(found)
     chance: Column = F.get(vector_to_array("probability"), F.lit(1))
     out = model.transform(vectors).withColumn("probability", F.round(chance, 6))
-    return out.select(*found.columns, "probability", F.coalesce(settled == 1, F.col("probability") >= 0.5).alias("is_secret"))
+    return out.select(*found.columns, "probability", F.coalesce(certain == 1, F.col("probability") >= 0.5).alias("is_secret"))

@@ -257,3 +257,19 @@ def test_forest_learns_without_what_made_the_labels(spark):
     true = {i for i, key in unknown.items() if key}
     assert len(said & true) >= 0.9 * len(true) and len(said & true) >= 0.9 * len(said)
     assert any(0 < r.probability < 1 for r in judged)
+
+
+def test_findings_are_read_twice_to_learn(spark):
+    """Fitting makes many passes; they are over the sample, not over all findings and their patterns."""
+    rows = [(i, f"see ghp_{i:036d} now" if i % 3 else f"mail ku.{i}@mail3.example.com") for i in range(90)]
+    found = secrets.settled(secrets.described(secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string"))))
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    known = secrets.certain_labels(found)
+    assert secrets.train(known.mapInArrow(counted, known.schema)) is not None
+    assert read.value == 2 * known.count() > 0
